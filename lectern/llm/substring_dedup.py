@@ -3,17 +3,18 @@
 Every document is cut into non-overlapping blocks of ``block`` words; the hashes
 of these blocks are the index, and every rolling window of ``block`` words
 probes it.  A repeated window of ``window`` words holds a whole block of either
-occurrence when window >= 2 * block - 1, so each of its occurrences has an
+occurrence, as window >= 2 * block - 1, so each of its occurrences has an
 anchor hit.  Hits are then extended: each window around a hit is compared with
 all other windows around hits by its full 64-bit hash, and runs of windows that
 occur elsewhere are the maximal exact repeats.
 
-Index and probes meet in hash partitions as packed rows of slices (``spool``);
-a text of many copies costs each slice one entry.
+Index and probes meet in hash partitions as packed rows of slices (``spool``,
+``repeats``); a text of many copies costs each slice one entry.
 
 Defined cases: null and empty texts have no words and nothing is removed; with
 fewer words than a window nothing is removed; repeated rows are occurrences of
-their own, so both lose the shared words; null ids are kept as ids.
+their own, so both lose the shared words; null ids stay null; other columns are
+not read.
 """
 
 from __future__ import annotations
@@ -22,177 +23,54 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame
 
 from . import spool as S
+from .repeats import View, repeats, spans
 
 RESULT = "doc_id long, n_words long, n_removed long, n_spans long, kept_sha256 string"
-PROBE, HIT, WINDOWS, REPEATED, RUNS = range(5)
-
-
-def _bits(mask: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(np.packbits(mask).tobytes())
-
-
-def _mask(blob: bytes, n: int) -> np.ndarray:
-    raw = zstandard.ZstdDecompressor().decompress(blob, max_output_size=n // 8 + 1)
-    return np.unpackbits(np.frombuffer(raw, np.uint8), count=n).astype(bool)
-
-
-def probes(w: S.Words, block: int, parts: int):
-    """(hashes of all rolling blocks, their places, whether a block of the index stands there)."""
-    h = S.grams(w.hash, block)
-    at = np.flatnonzero(S.starts_within(w.doc, block, len(w.hash)))
-    begin = np.repeat(w.doc[:-1], np.diff(w.doc))[at]
-    return S.Distinct(h[at], parts), at, (at - begin) % block == 0
-
-
-def _meet(only_anchored: bool):
-    """Entries that occur twice at least, one of them in the index if that is asked for."""
-    def answer(part, rows):
-        got = [(s, S.unpack(b)) for s, k, b in rows if k in (PROBE, WINDOWS)]
-        yield from ((s, k, b) for s, k, b in rows if k == RUNS)
-        if not got:
-            return
-        low = np.concatenate([a[0] for _, a in got])
-        flag = np.concatenate([a[1] for _, a in got])
-        rest = np.concatenate([a[2] for _, a in got]) if len(got[0][1]) > 2 else None
-        if rest is None:
-            order = np.argsort(low, kind="stable")
-            new = np.ones(len(low), bool)
-            new[1:] = low[order][1:] != low[order][:-1]
-        else:
-            key = (rest.astype(S.U64) << S.U64(32)) | low
-            order = np.argsort(key, kind="stable")
-            new = np.ones(len(low), bool)
-            new[1:] = key[order][1:] != key[order][:-1]
-        if not len(low):
-            return
-        first = np.flatnonzero(new)
-        size = np.diff(np.append(first, len(low))) + np.add.reduceat((flag[order] & 1).astype(np.int64), first)
-        good = size > 1
-        if only_anchored:
-            good &= np.bitwise_or.reduceat(flag[order], first) >= 2
-        hit = np.zeros(len(low), bool)
-        hit[order] = good[np.cumsum(new) - 1]
-        at = 0
-        for s, a in got:
-            mine = hit[at:at + len(a[0])]
-            at += len(a[0])
-            if mine.any():
-                yield s, HIT if only_anchored else REPEATED, _bits(mine)
-    return answer
-
-
-def _collect(d: S.Distinct, got: dict, kind: int, parts: int) -> np.ndarray:
-    """The hit entries of a slice from the replies of the partitions."""
-    hit = np.zeros(len(d.first), bool)
-    for p in range(parts):
-        if (b := got.get((p, kind))) is not None:
-            lo, hi = d.bounds[p], d.bounds[p + 1]
-            hit[lo:hi] = _mask(b, hi - lo)
-    return hit
-
-
-def around(at: np.ndarray, n: int, block: int, window: int) -> np.ndarray:
-    """Whether window i (of n) holds a whole block at one of the places."""
-    c = np.zeros(n + window + 1, np.int64)
-    c[at] = 1
-    c = np.concatenate(([0], np.cumsum(c)))
-    i = np.arange(n)
-    return c[i + window - block + 1] - c[i] > 0
-
-
-def send_probes(block: int, parts: int):
-    def run(batches):
-        for sid, t, _ in S.each_slice(batches):
-            d, _, anchor = probes(S.words(t), block, parts)
-            flag = (d.count > 1).astype(np.uint8) | (d.any(anchor).astype(np.uint8) << 1)
-            rows = [(p, sid, PROBE, S.pack(d.low[a:b], flag[a:b])) for p in range(parts) if (a := d.bounds[p]) < (b := d.bounds[p + 1])]
-            if rows:
-                yield S.routed(rows)
-    return run
-
-
-def candidates(w: S.Words, hit: np.ndarray, d: S.Distinct, at: np.ndarray, block: int, window: int) -> np.ndarray:
-    """Places of windows around hits, within one document."""
-    n = max(0, len(w.hash) - window + 1)
-    if not n:
-        return np.zeros(0, np.int64)
-    return np.flatnonzero(S.starts_within(w.doc, window, len(w.hash)) & around(at[hit[d.back]], n, block, window))
-
-
-def send_windows(block: int, window: int, parts: int):
-    def run(batches):
-        for sid, t, got in S.each_slice(batches):
-            if not got:
-                continue
-            w = S.words(t)
-            d, at, _ = probes(w, block, parts)
-            cand = candidates(w, _collect(d, got, HIT, parts), d, at, block, window)
-            if not len(cand):
-                continue
-            e = S.Distinct(S.grams(w.hash, window)[cand], parts)
-            one = (e.count > 1).astype(np.uint8)
-            rows = [(p, sid, WINDOWS, S.pack(e.low[a:b], one[a:b], e.rest[a:b])) for p in range(parts) if (a := e.bounds[p]) < (b := e.bounds[p + 1])]
-            # which windows these are goes along, so that it isn't worked out again
-            run_ = np.flatnonzero(np.diff(cand, prepend=-2) != 1)
-            rows.append((int(sid % parts), sid, RUNS, S.pack(cand[run_].astype("<i8"), np.diff(np.append(run_, len(cand))).astype("<i8"))))
-            yield S.routed(rows)
-    return run
-
-
-def finish(window: int, parts: int, joiner: bytes = b" "):
-    def run(batches):
-        for _, t, got in S.each_slice(batches):
-            w = S.words(t)
-            n = len(w.hash)
-            gone = np.zeros(n, bool)
-            blob = next((b for (_, k), b in got.items() if k == RUNS), None)
-            if blob is not None:
-                first, size = S.unpack(blob)
-                cand = np.repeat(first - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(int(size.sum()))
-                e = S.Distinct(S.grams(w.hash, window)[cand], parts)
-                rep = cand[_collect(e, got, REPEATED, parts)[e.back]]
-                c = np.zeros(n + 1, np.int64)
-                np.add.at(c, rep, 1)
-                np.add.at(c, rep + window, -1)
-                gone = np.cumsum(c)[:n] > 0
-            yield kept_rows(t, w, gone)
-    return run
-
-
-def kept_rows(t: S.Texts, w: S.Words, gone: np.ndarray) -> pa.RecordBatch:
-    n = len(gone)
-    owner = np.repeat(np.arange(len(t)), np.diff(w.doc))
-    lost = np.bincount(owner[gone], minlength=len(t)) if n else np.zeros(len(t), np.int64)
-    first = gone.copy()
-    first[1:] &= ~(gone[:-1] & (owner[1:] == owner[:-1]))
-    spans = np.bincount(owner[first], minlength=len(t)) if n else lost
-    keep = np.flatnonzero(~gone)
-    size = w.size[keep] + 1
-    end = np.cumsum(size)
-    out = np.full(int(end[-1]) if len(end) else 0, 0x20, np.uint8)
-    a = 0
-    while a < len(keep):
-        b = max(a + 1, int(np.searchsorted(end, (end[a - 1] if a else 0) + (1 << 20), "right")))
-        ks = w.size[keep[a:b]]
-        within = np.arange(int(ks.sum())) - np.repeat(np.cumsum(ks) - ks, ks)
-        out[np.repeat(end[a:b] - size[a:b], ks) + within] = t.data[np.repeat(w.start[keep[a:b]], ks) + within]
-        a = b
-    upto = np.concatenate(([0], end))[np.searchsorted(keep, w.doc)]
-    view = memoryview(out)
-    digest = [hashlib.sha256(view[x:max(x, y - 1)]).hexdigest() for x, y in zip(upto[:-1].tolist(), upto[1:].tolist(), strict=True)]
-    return pa.RecordBatch.from_arrays([t.ids, pa.array(np.diff(w.doc)), pa.array(lost.astype(np.int64)), pa.array(spans.astype(np.int64)), pa.array(digest)],
-                                      ["doc_id", "n_words", "n_removed", "n_spans", "kept_sha256"])
+
+
+class WordView(View):
+    def __init__(self, t: S.Texts):
+        super().__init__(t)
+        self.words = S.words(t)
+
+    def bounds(self):
+        return self.words.doc
+
+    def anchors(self):
+        w = self.words
+        h = S.grams(w.hash, self.block)
+        at = np.flatnonzero(S.starts_within(w.doc, self.block, len(w.hash)))
+        begin = np.repeat(w.doc[:-1], np.diff(w.doc))[at]
+        return h[at], at, (at - begin) % self.block == 0
+
+    def hashes(self, at):
+        return S.grams(self.words.hash, self.window)[at]
+
+    def result(self, gone):
+        t, w = self.t, self.words
+        lost, runs = spans(gone, w.doc)
+        keep = np.flatnonzero(~gone)
+        size = w.size[keep] + 1
+        end = np.cumsum(size)
+        out = np.full(int(end[-1]) if len(end) else 0, 0x20, np.uint8)
+        a = 0
+        while a < len(keep):  # a MB at a time bounds the temporaries
+            b = max(a + 1, int(np.searchsorted(end, (end[a - 1] if a else 0) + (1 << 20), "right")))
+            n = w.size[keep[a:b]]
+            within = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+            out[np.repeat(end[a:b] - size[a:b], n) + within] = t.data[np.repeat(w.start[keep[a:b]], n) + within]
+            a = b
+        at = np.concatenate(([0], end))[np.searchsorted(keep, w.doc)].tolist()
+        view = memoryview(out)
+        digest = [hashlib.sha256(view[x:max(x, y - 1)]).hexdigest() for x, y in zip(at[:-1], at[1:], strict=True)]
+        return pa.RecordBatch.from_arrays([t.ids, pa.array(np.diff(w.doc)), pa.array(lost), pa.array(runs), pa.array(digest, pa.string())],
+                                          ["doc_id", "n_words", "n_removed", "n_spans", "kept_sha256"])
 
 
 def substring_dedup(docs: DataFrame, window: int = 35, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Remove each word that lies in a window of words which starts anywhere else too."""
-    block = (window + 1) // 2
-    sl = S.slices(docs, id_col, text_col)
-    parts = S.n_parts(docs)
-    hits = S.exchange(sl.mapInArrow(send_probes(block, parts), S.ROUTED), parts, _meet(True))
-    found = S.exchange(S.join_replies(sl, hits).mapInArrow(send_windows(block, window, parts), S.ROUTED), parts, _meet(False))
-    return S.join_replies(sl, found).mapInArrow(finish(window, parts), RESULT)
+    view = type("WordView", (WordView,), {"window": window, "block": (window + 1) // 2})
+    return repeats(docs, view, RESULT, id_col, text_col)
