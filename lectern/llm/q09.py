@@ -15,7 +15,7 @@ g AS (
 gone AS (SELECT doc_id, list(p) AS ps FROM g GROUP BY doc_id)
 SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(len(ps), 0) AS BIGINT) AS n_removed,
   sha256(array_to_string(CASE WHEN ps IS NULL THEN words ELSE
-    list_transform(list_filter(list_zip(words, range(1, len(words) + 1)), x -> NOT list_contains(ps, x[2])), x -> x[1]) END, ' ')) AS kept_sha256
+    list_transform(list_filter(list_zip(words, range(1, len(words) + 1)), lambda x: NOT list_contains(ps, x[2])), lambda x: x[1]) END, ' ')) AS kept_sha256
 FROM w LEFT JOIN gone USING (doc_id)
 """
 
