@@ -9,6 +9,7 @@ MODULES = {
     "op3_bpe": "q03",
     "op4_suffix_array_dedup": "q04",
     "op5_exact_dedup": "q05",
+    "op6_decontaminate": "q06",
     "op9_substring_dedup": "q09",
 }
 
