@@ -10,6 +10,7 @@ MODULES = {
     "op4_suffix_array_dedup": "q04",
     "op5_exact_dedup": "q05",
     "op6_decontaminate": "q06",
+    "op7_near_dedup": "q07",
     "op9_substring_dedup": "q09",
 }
 
