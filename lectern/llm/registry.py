@@ -6,11 +6,13 @@ import importlib
 
 #: Query name -> module with ``query(spark, sf_dir)`` and, where SQL can express it, ``SQL``.
 MODULES = {
+    "op1_quality": "q01",
     "op3_bpe": "q03",
     "op4_suffix_array_dedup": "q04",
     "op5_exact_dedup": "q05",
     "op6_decontaminate": "q06",
     "op7_near_dedup": "q07",
+    "op8_toxicity": "q08",
     "op9_substring_dedup": "q09",
 }
 
