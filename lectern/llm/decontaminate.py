@@ -183,7 +183,7 @@ def _send_items(window: int, parts: int):
         for sid, t, _ in S.each_slice(batches):
             h, item = item_windows(S.words(t, S.ALNUM, lower=True), window)
             ids = t.ids.to_pylist()
-            part = (h >> S.U64(32)) % S.U64(parts)
+            part = S.part_of(h, parts)
             rows = []
             for p in np.unique(part).tolist():
                 at = np.flatnonzero(part == p)

@@ -7,7 +7,7 @@ as one compressed row.  A slice sends each hash partition one row holding its
 sorted distinct window hashes, delta-coded; the partition sends each slice one
 row back.  Rows stay few, a frequent window costs a slice one entry at most
 (so no key can gather its copies in a task), and the texts move once, into a
-checkpoint that is partitioned by slice so that later joins leave them in place.
+checkpoint, and later joins read that.
 """
 
 from __future__ import annotations
@@ -291,31 +291,35 @@ def unpack(blob: bytes) -> list[np.ndarray]:
     return out
 
 
+def part_of(h: np.ndarray, parts: int) -> np.ndarray:
+    """The hash partition of each hash; it grows with the hash."""
+    return (((h >> U64(32)) * U64(parts)) >> U64(32)).astype(np.int64)
+
+
 class Distinct:
-    """The distinct hashes of a slice in the order in which they are sent.
+    """The distinct hashes of a slice in increasing order, which is that of their partitions.
 
-    Order: hash partition, then the low 32 bits, then the rest.  ``count``
-    holds their numbers, ``back`` the entry of each given hash.
+    ``low`` holds the leading 32 bits of a hash within its partition, ``rest``
+    what follows; ``count`` their numbers and ``back`` the entry of each given hash.
     """
 
     def __init__(self, h: np.ndarray, parts: int):
-        hi = h >> U64(32)
-        part = hi % U64(parts)
-        key = (part << U64(32)) | (h & U64(0xFFFFFFFF))
-        rest = (hi // U64(parts)).astype(np.uint32)
-        order = np.lexsort((rest, key)) if len(h) else np.zeros(0, np.int64)
-        k, r = key[order], rest[order]
+        self.order = np.argsort(h)
+        k = h[self.order]
         new = np.ones(len(k), bool)
-        new[1:] = (k[1:] != k[:-1]) | (r[1:] != r[:-1])
+        new[1:] = k[1:] != k[:-1]
         self.first = np.flatnonzero(new)
-        self.order = order
         self.back = np.empty(len(h), np.int64)
-        self.back[order] = np.cumsum(new) - 1
+        self.back[self.order] = np.cumsum(new) - 1
         self.count = np.diff(np.append(self.first, len(h)))
-        self.low = (k[self.first] & U64(0xFFFFFFFF)).astype(np.uint32)
-        self.rest = r[self.first]
-        part = (k[self.first] >> U64(32)).astype(np.int64)
+        k = k[self.first]
+        part = part_of(k, parts)
         self.bounds = np.searchsorted(part, np.arange(parts + 1))
+        floor = -(-(np.arange(parts).astype(object) << 32) // parts)  # least leading half of each partition
+        inside = k - (np.array([int(x) for x in floor], U64) << U64(32))[part]
+        shift = U64((-(-(1 << 32) // parts) - 1).bit_length())
+        self.low = (inside >> shift).astype(np.uint32)
+        self.rest = (inside & ((U64(1) << shift) - U64(1))).astype(np.uint32)
 
     def any(self, flag: np.ndarray) -> np.ndarray:
         """Whether any of the hashes of an entry has the flag."""
