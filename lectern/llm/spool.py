@@ -124,11 +124,10 @@ def _cut(limit: int):
 
 
 def slices(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = SLICE_BYTES) -> DataFrame:
-    """The documents as slices, partitioned by slice_id and checkpointed."""
+    """The documents as slices, checkpointed."""
     ensure_checkpoint_dir(docs.sparkSession)
-    part = n_parts(docs)
     cut = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_cut(limit), SLICE_SCHEMA)
-    return cut.repartition(part, "slice_id").checkpoint()
+    return cut.checkpoint()
 
 
 def open_slice(ids, lens: bytes, body: bytes) -> Texts:
