@@ -7,6 +7,7 @@ import importlib
 #: Query name -> module with ``query(spark, sf_dir)`` and, where SQL can express it, ``SQL``.
 MODULES = {
     "op1_quality": "q01",
+    "op2_lm_score": "q02",
     "op3_bpe": "q03",
     "op4_suffix_array_dedup": "q04",
     "op5_exact_dedup": "q05",
