@@ -15,6 +15,7 @@ MODULES = {
     "op7_near_dedup": "q07",
     "op8_toxicity": "q08",
     "op9_substring_dedup": "q09",
+    "op10_license_scan": "q10",
 }
 
 
