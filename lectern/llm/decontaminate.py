@@ -246,15 +246,21 @@ def _large(k: int, window: int, lengths: list[int], parts: int):
     return run
 
 
+def _broadcast(benchmark: DataFrame, k: int, window: int, limit: int, item_id: str, item_text: str):
+    """What a task builds the index from, or None beyond the limit."""
+    items = benchmark.select(F.col(item_id).cast("string").alias("item_id"), F.col(item_text).cast("string").alias("text"))
+    size = items.agg(F.coalesce(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + F.lit(64)), F.lit(0)).alias("n")).first().n
+    if size > limit:
+        return None
+    got = items.collect()
+    return benchmark.sparkSession.sparkContext.broadcast(([r.item_id or "" for r in got], [r.text for r in got], k, window))
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, k: int = 5, limit: int = 16 << 20,
                   id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """For each document, the words that lie in a window of a benchmark item, and the items."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    items = benchmark.select(F.col(item_id).cast("string").alias("item_id"), F.col(item_text).cast("string").alias("text"))
-    size = items.agg(F.coalesce(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + F.lit(64)), F.lit(0)).alias("n")).first().n
-    if size <= limit:
-        got = items.collect()
-        shared = docs.sparkSession.sparkContext.broadcast(([r.item_id or "" for r in got], [r.text for r in got], k, window))
+    if (shared := _broadcast(benchmark, k, window, limit, item_id, item_text)) is not None:
         return rows.mapInArrow(_small(shared), RESULT)
     parts = S.n_parts(docs)
     sl, bench = S.slices(rows), S.slices(benchmark.select(F.col(item_id).cast("long").alias("doc_id"), F.col(item_text).alias("text")))
@@ -266,6 +272,19 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, k: in
     return S.join_replies(sl, found).mapInArrow(_large(k, window, lengths, parts), RESULT)
 
 
+def reject_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, k: int = 5, limit: int = 16 << 20,
+                        id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The documents that share no window with the benchmark, with all their columns."""
+    if (shared := _broadcast(benchmark, k, window, limit, item_id, item_text)) is None:
+        found = decontaminate(docs, benchmark, window, k, limit, id_col, text_col, item_id, item_text)
+        return S.keep_ids(docs, found.where("not contaminated").select("doc_id"), id_col)
+
+    def good():
+        index = Index(*shared.value)
+        return lambda t: ~index.run(t).column(NAMES.index("contaminated")).to_numpy(zero_copy_only=False)
+    return S.keep_where(docs, good, text_col)
+
+
 def _short_lengths(window: int):
     def run(batches):
         for _, t, _ in S.each_slice(batches):

@@ -239,6 +239,5 @@ def exact_groups(docs: DataFrame, keep: str = "largest", id_col: str = "doc_id",
 
 
 def exact_dedup(docs: DataFrame, keep: str = "largest", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows that stay, with all their columns."""
-    kept = exact_groups(docs, keep, id_col, text_col).where("kept").select(F.col("doc_id").alias("__kept_id")).distinct()
-    return docs.join(kept, F.col(id_col).cast("long").eqNullSafe(F.col("__kept_id")), "left_semi")
+    """The rows that stay, with all their columns; of repeated rows of an id one, and all rows without an id."""
+    return S.keep_ids(docs, exact_groups(docs, keep, id_col, text_col).where("kept").select("doc_id"), id_col)

@@ -94,6 +94,28 @@ def pieces(batches, limit: int, id_col: str = "doc_id", text_col: str = "text"):
             i = j
 
 
+def keep_where(docs: DataFrame, good, text_col: str = "text", limit: int = 1 << 20) -> DataFrame:
+    """The rows for whose Texts good() says True, with all their columns; nothing is shuffled.
+
+    good is made in each task by calling ``good()``.
+    """
+    def run(batches):
+        test = good()
+        for b in batches:
+            col = b.column(b.schema.get_field_index(text_col))
+            blank = pa.RecordBatch.from_arrays([pa.nulls(len(col), pa.int64()), col.cast(pa.large_string())], ["doc_id", "text"])
+            mask = [np.asarray(test(t), bool) for t in pieces([blank], limit)]
+            yield b.filter(pa.array(np.concatenate(mask) if mask else np.zeros(0, bool)))
+    return docs.mapInArrow(run, docs.schema)
+
+
+def keep_ids(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """One row of each id that ``ids`` has, with all its columns; rows without an id stay."""
+    wanted = ids.select(F.col(ids.columns[0]).alias("__wanted")).where("__wanted is not null")
+    kept = docs.join(wanted, docs[id_col] == F.col("__wanted"), "left_semi").dropDuplicates([id_col])
+    return kept.unionByName(docs.where(docs[id_col].isNull()))
+
+
 SLICE_SCHEMA = "slice_id long, ids array<long>, lens binary, body binary"
 
 

@@ -379,10 +379,8 @@ def _score(shared):
     return run
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, train_on=None, label_col: str = "toxic", rows: int = 2500, letters: int = 4000,
-             id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, score) of every document; the machine learns from labels for which ``train_on``, a Column, holds."""
-    spark = docs.sparkSession
+def learn(docs: DataFrame, labels: DataFrame, train_on=None, label_col: str = "toxic", rows: int = 2500, letters: int = 4000, id_col: str = "doc_id", text_col: str = "text") -> Model:
+    """The machine, from labels for which ``train_on``, a Column, holds."""
     known = (labels if train_on is None else labels.where(train_on)).select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label")).where("label in (0, 1)")
     sample = None
     for k in (0, 1):  # a bounded sample of each class, drawn by hash
@@ -392,5 +390,17 @@ def toxicity(docs: DataFrame, labels: DataFrame, train_on=None, label_col: str =
     got = (text.join(F.broadcast(sample), "doc_id").select("doc_id", "label", F.substring(F.coalesce("text", F.lit("")), 1, letters).alias("text"))
            .orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(4 * rows).collect())
     share = known.agg(F.avg("label").alias("share")).first().share
-    model = train([r.text for r in got], np.array([r.label for r in got], int), 0.5 if share is None else float(share))
-    return text.mapInArrow(_score(spark.sparkContext.broadcast(model)), "doc_id long, score double")
+    return train([r.text for r in got], np.array([r.label for r in got], int), 0.5 if share is None else float(share))
+
+
+def toxicity(docs: DataFrame, labels: DataFrame, train_on=None, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """(doc_id, score) of every document."""
+    model = learn(docs, labels, train_on, id_col=id_col, text_col=text_col, **options)
+    text = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return text.mapInArrow(_score(docs.sparkSession.sparkContext.broadcast(model)), "doc_id long, score double")
+
+
+def reject_toxic(docs: DataFrame, labels: DataFrame, train_on=None, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The documents that score below the threshold, with all their columns."""
+    shared = docs.sparkSession.sparkContext.broadcast(learn(docs, labels, train_on, id_col=id_col, text_col=text_col, **options))
+    return S.keep_where(docs, lambda: lambda t: score(shared.value, t) < threshold, text_col)
