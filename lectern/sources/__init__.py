@@ -1 +1 @@
-"""Spark-native text retrieval and analytics."""
+"""Readers and writers."""
