@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules with QUERIES (name -> callable) and SQL (name -> DuckDB text).
-MODULES = ("q_clean", "q_vector", "q_lexical", "q_browse")
+MODULES = ("q_clean", "q_vector", "q_lexical", "q_browse", "q_usage")
 
 
 def queries() -> dict:

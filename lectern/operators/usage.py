@@ -61,14 +61,14 @@ def _with_verdict(rows: DataFrame) -> str:
 
 def rate_limited(hits: DataFrame, most: int, seconds: float, key: str = "user_id", ts: str = "ts", tie: str = "event_id") -> DataFrame:
     """Hits with ``accepted``: at most ``most`` accepted ones within ``seconds``; rejected hits do not count, one exactly at the edge does."""
-    rows = hits.select(key, tie, F.unix_micros(F.col(ts).cast("timestamp")).alias("_us"))
+    rows = hits.select(key, tie, F.unix_micros(F.col(ts).cast("timestamp")).alias("us_"))
     width = int(seconds * 1_000_000)
 
     def make():
         kept: deque[int] = deque()
 
         def step(r) -> bool:
-            t = r._us
+            t = r.us_
             while kept and kept[0] < t - width:
                 kept.popleft()
             if len(kept) >= most:
@@ -76,7 +76,7 @@ def rate_limited(hits: DataFrame, most: int, seconds: float, key: str = "user_id
             kept.append(t)
             return True
         return step
-    return _stream(rows, key, ["_us", tie], make, _with_verdict(rows)).select(key, tie, F.col("verdict").alias("accepted"))
+    return _stream(rows, key, ["us_", tie], make, _with_verdict(rows)).select(key, tie, F.col("verdict").alias("accepted"))
 
 
 def rate_limited_fold(hits: DataFrame, most: int, seconds: float, key: str = "user_id", ts: str = "ts", tie: str = "event_id") -> DataFrame:
@@ -95,7 +95,7 @@ def rate_limited_fold(hits: DataFrame, most: int, seconds: float, key: str = "us
 
 def quota_admission(calls: DataFrame, limit: int, user: str = "user_id", ts: str = "ts", tie: str = "event_id", units: str = "units", ok: str = "ok") -> DataFrame:
     """Calls with ``admitted``: while the month's used units are below the limit; the last may overshoot, failed calls are free."""
-    rows = calls.select(user, tie, units, ok, F.unix_micros(F.col(ts).cast("timestamp")).alias("_us"), period(ts).alias("_p")).withColumn("_key", F.concat_ws("|", F.col(user).cast("string"), "_p"))
+    rows = calls.select(user, tie, units, ok, F.unix_micros(F.col(ts).cast("timestamp")).alias("us_"), period(ts).alias("p_")).withColumn("key_", F.concat_ws("|", F.col(user).cast("string"), "p_"))
 
     def make():
         used = 0
@@ -108,7 +108,7 @@ def quota_admission(calls: DataFrame, limit: int, user: str = "user_id", ts: str
                 used += int(getattr(r, units))
             return True
         return step
-    return _stream(rows, "_key", ["_us", tie], make, _with_verdict(rows)).select(user, tie, F.col("verdict").alias("admitted"))
+    return _stream(rows, "key_", ["us_", tie], make, _with_verdict(rows)).select(user, tie, F.col("verdict").alias("admitted"))
 
 
 # The changes of status that are allowed.
