@@ -17,7 +17,7 @@ def _search(expression, k=20, condition=None):
     def run(spark, sf):
         docs = _docs(spark, sf)
         total, avgdl = lexical.statistics(docs)
-        out = lexical.literal(lexical.postings(docs), total, avgdl, expression, docs, k, condition)
+        out = lexical.literal(lexical.postings(docs), total, avgdl, expression, docs, k, F.expr(condition) if condition else None)
         return out.select("id", F.round("score", 6).alias("score"))
     return run
 
@@ -47,7 +47,7 @@ def literal_or_like(spark, sf):
 QUERIES = {
     "postings_stats": postings_stats, "corpus_stats": corpus_stats, "benchmark_queries_bm25": benchmark_queries_bm25, "literal_or_like": literal_or_like,
     "bm25_term": _search("the"), "bm25_and": _search("the of"), "bm25_or": _search("lanor OR thble OR anin"), "bm25_not": _search("the NOT of"),
-    "bm25_nested": _search("(anin AND thble) OR inan"), "bm25_filtered_topk": _search("the of", 7, F.col("source") == "src3"),
+    "bm25_nested": _search("(anin AND thble) OR inan"), "bm25_filtered_topk": _search("the of", 7, "source = 'src3'"),
     "bm25_phrase": _search('"of the"'), "bm25_prefix": _search("tion*"), "bm25_near": _search("NEAR(the of, 3)"), "bm25_initial": _search("^the"),
 }
 
