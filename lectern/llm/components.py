@@ -11,18 +11,18 @@ from .spool import ensure_checkpoint_dir
 def components(links: DataFrame) -> DataFrame:
     """(node, root) for each node of links (a, b); the root is the least node of its component.
 
-    Each round takes the least label of all neighbours, then the label of that
-    label; rounds grow with the logarithm of the longest chain.  A node of very
+    Each round takes the least label of all neighbours, then the label that this
+    one had; rounds grow with the logarithm of the longest chain.  A node of very
     many links is aggregated by each task first, and its links are joined by
     sort-merge, which splits such partitions.
     """
     ensure_checkpoint_dir(links.sparkSession)
-    both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct().checkpoint()
+    both = links.where("a <> b").select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("l")).select("l.*").distinct().checkpoint()
     label = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("root")).checkpoint()
     while True:
         near = both.join(label.select(F.col("node").alias("b"), "root"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
-        step = label.join(near, "node").select("node", F.col("root").alias("old"), F.least("root", "near").alias("root"))
-        jump = step.select(F.col("node").alias("root"), F.col("root").alias("far"))
+        step = near.join(label, "node").select("node", F.col("root").alias("old"), F.least("root", "near").alias("root"))
+        jump = label.select(F.col("node").alias("root"), F.col("root").alias("far"))
         new = step.join(jump, "root", "left").select("node", "old", F.least("root", F.coalesce("far", "root")).alias("root")).checkpoint()
         changed = new.where("root <> old").limit(1).count()
         label = new.select("node", "root")

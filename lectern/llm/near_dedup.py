@@ -114,6 +114,7 @@ def _hash(*parts: np.ndarray) -> np.ndarray:
 
 
 NODE = "node long, key binary"
+CHILD = "node long, key binary, sketch binary"
 
 
 def _roots(trees: int):
@@ -136,15 +137,10 @@ def _branch(level: int):
                 salt = np.full(len(m), level * BRANCHES + x + 1, S.U64)
                 token = m[row, (S.mix(_hash(node, salt)) % S.U64(SEEDS)).astype(np.int64)] if len(m) else np.zeros(0)
                 out.append(_hash(node, salt, token).view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out)), pa.concat_arrays([b.column(1)] * BRANCHES)], ["node", "key"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out)), *(pa.concat_arrays([b.column(i)] * BRANCHES) for i in (1, 2))], ["node", "key", "sketch"])
     return run
 
 
-def agreement(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Shares of equal minimum hashes of the rows of a with those of b."""
-    return np.stack([(a == y).mean(1) for y in b], 1) if len(b) else np.zeros((len(a), 0))
-
-
 class Sets:
     """Union and find over 0..n-1."""
 
@@ -189,15 +185,16 @@ def grouped(batches, column: int):
 
 
 def _small_nodes(batches):
-    """Exhaustive comparison of the classes of a node (node, key, sketch)."""
+    """Exhaustive comparison of the classes of a node (node, key, sketch): each is linked to the least of its group."""
     out = []
     for g in grouped(batches, 0):
-        key, m = g.column(1).to_pylist(), _matrix(g.column(2))
+        order = np.argsort(np.array(g.column(1).to_pylist(), object), kind="stable")
+        key, m = [g.column(1)[int(i)].as_py() for i in order], _matrix(g.column(2))[order]
         s = Sets(len(key))
         for i in range(len(key) - 1):
             for j in (np.flatnonzero((m[i + 1:] == m[i]).mean(1) >= GROUP) + i + 1).tolist():
-                if s.join(i, j):
-                    out.append((key[i], key[j]))
+                s.join(i, j)
+        out += [(key[i], key[s.find(i)]) for i in range(len(key)) if s.find(i) != i]
         if len(out) > 10_000:
             yield _link_batch(out)
             out = []
@@ -209,15 +206,27 @@ PIVOTED = "node long, key binary, sketch binary, core boolean, a binary, b binar
 
 
 def _to_pivots(batches):
-    """(node, key, sketch, pivots): a row for each pivot of the same group, and one to go on with unless it is near one."""
+    """(node, key, sketch, pivots): each class near a pivot is linked to the least of that pivot's group, and goes on unless it is very near one.
+
+    Pivots are compared with each other once for each node and batch.
+    """
     for b in batches:
-        rows = []
+        rows, known = [], {}
         for node, key, sketch, pivots in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
             near = False
             if pivots:
-                share = (np.frombuffer(b"".join(p["sketch"] for p in pivots), np.uint32).reshape(-1, SEEDS) == np.frombuffer(sketch, np.uint32)).mean(1)
+                if node not in known:
+                    pivots = sorted(pivots, key=lambda p: p["key"])
+                    m = np.frombuffer(b"".join(p["sketch"] for p in pivots), np.uint32).reshape(-1, SEEDS)
+                    s = Sets(len(pivots))
+                    for i in range(len(pivots)):
+                        for j in (np.flatnonzero((m[i + 1:] == m[i]).mean(1) >= GROUP) + i + 1).tolist():
+                            s.join(i, j)
+                    known[node] = m, [pivots[s.find(i)]["key"] for i in range(len(pivots))]
+                m, least = known[node]
+                share = (m == np.frombuffer(sketch, np.uint32)).mean(1)
                 near = bool((share >= CORE).any())
-                rows += [(None, None, None, True, key, p["key"]) for p, x in zip(pivots, share.tolist(), strict=True) if x >= GROUP and p["key"] != key]
+                rows += [(None, None, None, True, key, x) for x in {least[i] for i in np.flatnonzero(share >= GROUP).tolist()} if x != key]
             if not near:
                 rows.append((node, key, sketch, False, None, None))
         if rows:
@@ -231,24 +240,25 @@ def candidate_links(classes: DataFrame, trees: int, small: int, parts: int) -> D
     live = classes.select("key", "sketch").mapInArrow(_roots(trees), NODE)
     found, level = None, 0
     while True:
-        size = live.groupBy("node").agg(F.count("*").alias("n")).where("n > 1")
-        live = live.join(size, "node").join(classes.select("key", "sketch"), "key").select("node", "key", "sketch", "n").checkpoint()
+        # checkpointed, so that the join below is of two plain shuffles, whose large partitions can be split
+        size = live.groupBy("node").agg(F.count("*").alias("n")).where("n > 1").checkpoint()
+        live = live.join(size, "node")
+        if level == 0:
+            live = live.join(classes.select("key", "sketch"), "key")
+        live = live.select("node", "key", "sketch", "n").checkpoint()
         links = (live.where(F.col("n") <= small).select("node", "key", "sketch").repartition(parts, "node").sortWithinPartitions("node")
                  .mapInArrow(_small_nodes, LINK))
-        large = live.where(F.col("n") > small)
-        if large.limit(1).count():
-            # pivots are drawn by hash, so that no task needs to see a whole node
-            draw = F.pmod(F.xxhash64("key", "node", F.lit(level)), F.lit(1 << 30)) < F.lit(float(PIVOTS << 30)) / F.col("n")
-            pivots = large.where(draw).groupBy("node").agg(F.slice(F.collect_list(F.struct("key", "sketch")), 1, 4 * PIVOTS).alias("pivots"))
-            out = large.join(pivots, "node", "left").select("node", "key", "sketch", "pivots").mapInArrow(_to_pivots, PIVOTED).checkpoint()
-            links = links.union(out.where("core").select("a", "b"))
-            live = out.where("not core").select("node", "key", "sketch").mapInArrow(_branch(level), NODE)
-        else:
-            live = None
         found = links if found is None else found.union(links)
-        level += 1
-        if live is None:
+        if not size.where(F.col("n") > small).limit(1).count():
             return found
+        large = live.where(F.col("n") > small)
+        # pivots are drawn by hash, so that no task needs to see a whole node; trees draw alike
+        draw = F.pmod(F.xxhash64("key", F.lit(level)), F.lit(1 << 30)) < F.lit(float(PIVOTS << 30)) / F.col("n")
+        pivots = large.where(draw).groupBy("node").agg(F.collect_list(F.struct("key", "sketch")).alias("pivots")).checkpoint()
+        out = large.join(pivots, "node", "left").select("node", "key", "sketch", "pivots").mapInArrow(_to_pivots, PIVOTED).checkpoint()
+        found = found.union(out.where("core").select("a", "b"))
+        live = out.where("not core").select("node", "key", "sketch").mapInArrow(_branch(level), CHILD)
+        level += 1
 
 
 def _sets(k: int):
@@ -271,35 +281,39 @@ def linked(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
     return den * both >= num * (len(a) + len(b) - both)
 
 
-def _compare(key, m, full, mine: int, num: int, den: int):
-    """Links that join something new: rows from ``mine`` on against all rows before, most alike first."""
-    s = Sets(len(key))
-    for i in range(1, len(key)):
-        if i < mine:
-            continue
+def _compare(m, full, mine: int, num: int, den: int) -> Sets:
+    """What links join: rows from ``mine`` on against all rows before, most alike first."""
+    s = Sets(len(full))
+    for i in range(max(1, mine), len(full)):
         share = (m[:i] == m[i]).mean(1)
-        for j in np.argsort(-share, kind="stable").tolist():
-            if share[j] < COMPARE:
-                break
+        near = np.flatnonzero(share >= COMPARE)
+        for j in near[np.argsort(-share[near], kind="stable")].tolist():
             if s.find(i) != s.find(j) and linked(full[i], full[j], num, den):
                 s.join(i, j)
-                yield key[i], key[j]
+    return s
 
 
 def _group_links(num: int, den: int):
-    """(unit, shown, key, sketch, full), sorted by unit and shown: rows not shown are compared with all rows of the unit, shown ones only with those."""
+    """(unit, shown, key, sketch, full), sorted by unit: each key with the least key that links join it to.
+
+    Rows not shown are compared with all rows of the unit, shown ones only with those.
+    """
     def run(batches):
         out = []
         for g in grouped(batches, 0):
-            shown = np.array(g.column(1).to_pylist(), bool)
-            order = np.argsort(~shown, kind="stable")
-            key, seen, pick = g.column(2).to_pylist(), set(), []
-            for i in order.tolist():  # a class may be shown to its own chunk
-                if key[i] not in seen:
+            shown, key = g.column(1).to_pylist(), g.column(2).to_pylist()
+            seen, pick = set(), []
+            for i in sorted(range(len(key)), key=lambda i: (not shown[i], key[i])):
+                if key[i] not in seen:  # a class may be shown to its own chunk
                     seen.add(key[i])
                     pick.append(i)
             full = g.column(4)
-            out += _compare([key[i] for i in pick], _matrix(g.column(3))[pick], [np.frombuffer(full[i].as_buffer(), S.U64) for i in pick], int(shown[pick].sum()), num, den)
+            s = _compare(_matrix(g.column(3))[pick], [np.frombuffer(full[i].as_buffer(), S.U64) for i in pick], sum(shown[i] for i in pick), num, den)
+            least: dict[int, bytes] = {}
+            for x, i in enumerate(pick):
+                r = s.find(x)
+                least[r] = min(least.get(r, key[i]), key[i])
+            out += [(key[i], least[s.find(x)]) for x, i in enumerate(pick)]
             if len(out) > 10_000:
                 yield _link_batch(out)
                 out = []
@@ -308,33 +322,30 @@ def _group_links(num: int, den: int):
     return run
 
 
-def confirmed_links(members: DataFrame, num: int, den: int, task: int, parts: int) -> DataFrame:
-    """Links on full sets that join what all links of a group join; members: root, key, n, sketch, full.
+def confirmed(members: DataFrame, num: int, den: int, task: int, parts: int) -> DataFrame:
+    """(node, root) of components of links on full sets; members: root, key, n, sketch, full.
 
     task: shingles that one task compares at once.
     """
     def run(units: DataFrame) -> DataFrame:
-        return (units.select("unit", "shown", "key", "sketch", "full").repartition(parts, "unit").sortWithinPartitions("unit", "shown")
-                .mapInArrow(_group_links(num, den), LINK))
+        return units.select("unit", "shown", "key", "sketch", "full").repartition(parts, "unit").sortWithinPartitions("unit").mapInArrow(_group_links(num, den), LINK)
 
-    size = members.groupBy("root").agg(F.sum("n").alias("total"))
+    size = members.groupBy("root").agg(F.sum("n").alias("total")).checkpoint()
     members = members.join(size, "root").checkpoint()
     fits = F.col("total") <= task
-    links = run(members.where(fits).select(F.xxhash64("root").alias("unit"), F.lit(False).alias("shown"), "key", "sketch", "full"))
+    whole = run(members.where(fits).select(F.xxhash64("root").alias("unit"), F.lit(False).alias("shown"), "key", "sketch", "full")).select(F.col("a").alias("node"), F.col("b").alias("root"))
+    if not size.where(~fits).limit(1).count():
+        return whole
     big = members.where(~fits)
-    if not big.limit(1).count():
-        return links
     chunks = F.ceil(F.col("total") * 2 / task)
-    chunk = F.pmod(F.xxhash64("key", F.lit(11)), chunks)
-    dealt = big.withColumn("chunk", chunk).withColumn("unit", F.xxhash64("root", "chunk")).checkpoint()
+    dealt = big.withColumn("chunk", F.pmod(F.xxhash64("key", F.lit(11)), chunks)).withColumn("unit", F.xxhash64("root", "chunk")).checkpoint()
     units = dealt.select("root", "unit").distinct()
     # a quarter of a chunk of pivots at most
     pivot = big.where((F.pmod(F.xxhash64("key", F.lit(12)), F.lit(1 << 30)) < F.lit(float(task << 27)) / F.col("total")) & (F.col("n") <= max(1, task // 64)))
-    first = run(dealt.select("unit", F.lit(False).alias("shown"), "key", "sketch", "full").union(
+    done = run(dealt.select("unit", F.lit(False).alias("shown"), "key", "sketch", "full").union(
         units.join(pivot, "root").select("unit", F.lit(True), "key", "sketch", "full"))).checkpoint()
-    done = links.union(first)
     # classes outside the largest part of their group are shown to all chunks, a bounded number at a time
-    part = dealt.join(components(first).withColumnRenamed("node", "key").withColumnRenamed("root", "sub"), "key", "left").withColumn("sub", F.coalesce("sub", "key"))
+    part = dealt.join(components(done).withColumnRenamed("node", "key").withColumnRenamed("root", "sub"), "key", "left").withColumn("sub", F.coalesce("sub", "key"))
     per = part.groupBy("root", "sub").agg(F.count("*").alias("c"))
     best = per.groupBy("root").agg(F.max_by("sub", F.struct("c", "sub")).alias("best"))
     apart = part.join(best, "root").where("sub <> best").select("root", "key", "n", "sketch", "full", "total").checkpoint()
@@ -345,7 +356,9 @@ def confirmed_links(members: DataFrame, num: int, den: int, task: int, parts: in
         now = apart.where(F.col("turn") == turn)
         done = done.union(run(dealt.join(now.select("root").distinct(), "root", "left_semi").select("unit", F.lit(False).alias("shown"), "key", "sketch", "full").union(
             units.join(now, "root").select("unit", F.lit(True), "key", "sketch", "full"))).checkpoint())
-    return done
+    found = components(done)
+    alone = big.select(F.col("key").alias("node")).join(found, "node", "left_anti").select("node", F.col("node").alias("root"))
+    return whole.union(found).union(alone)
 
 
 RESULT = ["doc_id", "n_shingles", "component_id", "kept"]
@@ -366,7 +379,7 @@ def near_duplicates(docs: DataFrame, num: int = 85, den: int = 100, k: int = 5,
     full = (rows.join(wanted, rows.doc_id.eqNullSafe(wanted.doc_id), "left_semi").mapInArrow(_sets(k), "key binary, full binary")
             .groupBy("key").agg(F.first("full").alias("full")))
     members = named.select("root", "key", "n", "sketch").join(full, "key")
-    label = components(confirmed_links(members, num, den, task, parts))
+    label = confirmed(members, num, den, task, parts).checkpoint()
     label = label.withColumnRenamed("node", "key").join(classes.select("key", "least"), "key")
     least = label.groupBy("root").agg(F.min("least").alias("component"))
     label = label.join(least, "root").select("key", "component")
