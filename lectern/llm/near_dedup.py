@@ -8,7 +8,8 @@
    ``small`` classes are compared exhaustively, by their minimum hashes.  In a
    larger node every class is compared with a few pivots; the near ones join
    the pivot's group and need no more branching, the others branch again, by
-   ``BRANCHES`` new tokens each.  Two sets of similarity s agree on a token with
+   one new token each and, in one node of four, by another: 1.25 children, as
+   many as keep a pair of similarity 0.8 together once on average.  Two sets of similarity s agree on a token with
    probability s, so they miss each other in all trees with (1 - s) ** trees at
    the first level: 2.6e-7 for 8 trees at 0.85.
 3. What these comparisons join are candidate groups, looser than links.  Full
@@ -38,8 +39,8 @@ from .components import components
 
 #: Minimum hashes of a set.
 SEEDS = 64
-#: Trees, children of a class in a large node, and pivots of a large node.
-TREES, BRANCHES, PIVOTS = 8, 2, 16
+#: Trees, share of large nodes whose classes have a second child, and pivots of a large node.
+TREES, SECOND, PIVOTS = 8, 0.25, 16
 #: Agreement of minimum hashes from which two classes are one group, and are so near that one need not branch.
 GROUP, CORE = 0.45, 0.65
 #: Agreement from which full sets are compared: 0.85 less over five standard errors.
@@ -132,12 +133,15 @@ def _branch(level: int):
     def run(batches):
         for b in batches:
             node, m = b.column(0).to_numpy().view(S.U64), _matrix(b.column(2))
-            out, row = [], np.arange(len(m))
-            for x in range(BRANCHES):
-                salt = np.full(len(m), level * BRANCHES + x + 1, S.U64)
-                token = m[row, (S.mix(_hash(node, salt)) % S.U64(SEEDS)).astype(np.int64)] if len(m) else np.zeros(0)
-                out.append(_hash(node, salt, token).view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out)), *(pa.concat_arrays([b.column(i)] * BRANCHES) for i in (1, 2))], ["node", "key", "sketch"])
+            if not len(m):
+                continue
+            for x in range(2):
+                salt = np.full(len(m), level * 2 + x + 1, S.U64)
+                h = S.mix(_hash(node, salt))
+                row = np.arange(len(m)) if x == 0 else np.flatnonzero((h >> S.U64(32)) < S.U64(int(SECOND * (1 << 32))))
+                token = m[row, (h[row] % S.U64(SEEDS)).astype(np.int64)]
+                at = pa.array(row)
+                yield pa.RecordBatch.from_arrays([pa.array(_hash(node[row], salt[row], token).view(np.int64)), b.column(1).take(at), b.column(2).take(at)], ["node", "key", "sketch"])
     return run
 
 
@@ -210,7 +214,7 @@ def _to_pivots(batches):
 
     Pivots are compared with each other once for each node and batch.
     """
-    for b in batches:
+    for b in (x.slice(i, 256) for x in batches for i in range(0, x.num_rows, 256)):  # a few rows with their pivots as Python objects
         rows, known = [], {}
         for node, key, sketch, pivots in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
             near = False
@@ -322,16 +326,17 @@ def _group_links(num: int, den: int):
     return run
 
 
-def confirmed(members: DataFrame, num: int, den: int, task: int, parts: int) -> DataFrame:
-    """(node, root) of components of links on full sets; members: root, key, n, sketch, full.
+def confirmed(members: DataFrame, size: DataFrame, num: int, den: int, task: int, parts: int) -> DataFrame:
+    """(node, root) of components of links on full sets; members: root, key, n, sketch, full; size: root, total of n.
 
     task: shingles that one task compares at once.
     """
     def run(units: DataFrame) -> DataFrame:
         return units.select("unit", "shown", "key", "sketch", "full").repartition(parts, "unit").sortWithinPartitions("unit").mapInArrow(_group_links(num, den), LINK)
 
-    size = members.groupBy("root").agg(F.sum("n").alias("total")).checkpoint()
-    members = members.join(size, "root").checkpoint()
+    members = members.join(size, "root")
+    if size.where(F.col("total") > task).limit(1).count():
+        members = members.checkpoint()
     fits = F.col("total") <= task
     whole = run(members.where(fits).select(F.xxhash64("root").alias("unit"), F.lit(False).alias("shown"), "key", "sketch", "full")).select(F.col("a").alias("node"), F.col("b").alias("root"))
     if not size.where(~fits).limit(1).count():
@@ -379,7 +384,8 @@ def near_duplicates(docs: DataFrame, num: int = 85, den: int = 100, k: int = 5,
     full = (rows.join(wanted, rows.doc_id.eqNullSafe(wanted.doc_id), "left_semi").mapInArrow(_sets(k), "key binary, full binary")
             .groupBy("key").agg(F.first("full").alias("full")))
     members = named.select("root", "key", "n", "sketch").join(full, "key")
-    label = confirmed(members, num, den, task, parts).checkpoint()
+    size = named.groupBy("root").agg(F.sum("n").alias("total")).checkpoint()
+    label = confirmed(members, size, num, den, task, parts).checkpoint()
     label = label.withColumnRenamed("node", "key").join(classes.select("key", "least"), "key")
     least = label.groupBy("root").agg(F.min("least").alias("component"))
     label = label.join(least, "root").select("key", "component")
@@ -390,6 +396,5 @@ def near_duplicates(docs: DataFrame, num: int = 85, den: int = 100, k: int = 5,
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The documents of which each component keeps one, with all their columns."""
-    kept = near_duplicates(docs, id_col=id_col, text_col=text_col, **options).where("kept").select(F.col("doc_id").alias("__kept_id")).distinct()
-    return docs.join(kept, F.col(id_col).cast("long").eqNullSafe(F.col("__kept_id")), "left_semi")
+    """One document of each component, with all its columns, and all rows without an id."""
+    return S.keep_ids(docs, near_duplicates(docs, id_col=id_col, text_col=text_col, **options).where("kept").select("doc_id"), id_col)
