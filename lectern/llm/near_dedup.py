@@ -41,6 +41,8 @@ from .components import components
 SEEDS = 64
 #: Trees, share of large nodes whose classes have a second child, and pivots of a large node.
 TREES, SECOND, PIVOTS = 8, 0.25, 16
+#: Classes of a large node that one task compares with its pivots.
+CHUNK = 1000
 #: Agreement of minimum hashes from which two classes are one group, and are so near that one need not branch.
 GROUP, CORE = 0.45, 0.65
 #: Agreement from which full sets are compared: 0.85 less over five standard errors.
@@ -210,29 +212,19 @@ PIVOTED = "node long, key binary, sketch binary, core boolean, a binary, b binar
 
 
 def _to_pivots(batches):
-    """(node, key, sketch, pivots): each class near a pivot is linked to the least of that pivot's group, and goes on unless it is very near one.
-
-    Pivots are compared with each other once for each node and batch.
-    """
-    for b in (x.slice(i, 256) for x in batches for i in range(0, x.num_rows, 256)):  # a few rows with their pivots as Python objects
-        rows, known = [], {}
-        for node, key, sketch, pivots in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
-            near = False
-            if pivots:
-                if node not in known:
-                    pivots = sorted(pivots, key=lambda p: p["key"])
-                    m = np.frombuffer(b"".join(p["sketch"] for p in pivots), np.uint32).reshape(-1, SEEDS)
-                    s = Sets(len(pivots))
-                    for i in range(len(pivots)):
-                        for j in (np.flatnonzero((m[i + 1:] == m[i]).mean(1) >= GROUP) + i + 1).tolist():
-                            s.join(i, j)
-                    known[node] = m, [pivots[s.find(i)]["key"] for i in range(len(pivots))]
-                m, least = known[node]
-                share = (m == np.frombuffer(sketch, np.uint32)).mean(1)
-                near = bool((share >= CORE).any())
-                rows += [(None, None, None, True, key, x) for x in {least[i] for i in np.flatnonzero(share >= GROUP).tolist()} if x != key]
-            if not near:
-                rows.append((node, key, sketch, False, None, None))
+    """(unit, node, key, sketch, pivot), sorted by unit: each class near a pivot is linked to the least of that pivot's group, and goes on unless it is very near one."""
+    for g in grouped(batches, 0):
+        node, key, m, pivot = g.column(1)[0].as_py(), g.column(2).to_pylist(), _matrix(g.column(3)), np.array(g.column(4).to_pylist(), bool)
+        marks = sorted(np.flatnonzero(pivot).tolist(), key=lambda i: key[i])
+        mine = np.flatnonzero(~pivot)
+        share = np.stack([(m[mine] == m[i]).mean(1) for i in marks], 1) if marks else np.zeros((len(mine), 0))
+        s = Sets(len(marks))
+        for x, i in enumerate(marks):
+            for y in (np.flatnonzero((m[marks[x + 1:]] == m[i]).mean(1) >= GROUP) + x + 1).tolist():
+                s.join(x, y)
+        least = [key[marks[s.find(x)]] for x in range(len(marks))]
+        rows = [(None, None, None, True, key[i], z) for i, near in zip(mine.tolist(), share >= GROUP, strict=True) for z in {least[x] for x in np.flatnonzero(near).tolist()} if z != key[i]]
+        rows += [(node, key[i], m[i].tobytes(), False, None, None) for i in mine[~(share >= CORE).any(1)].tolist()]
         if rows:
             cols = list(zip(*rows, strict=True))
             types = (pa.int64(), pa.binary(), pa.binary(), pa.bool_(), pa.binary(), pa.binary())
@@ -258,8 +250,11 @@ def candidate_links(classes: DataFrame, trees: int, small: int, parts: int) -> D
         large = live.where(F.col("n") > small)
         # pivots are drawn by hash, so that no task needs to see a whole node; trees draw alike
         draw = F.pmod(F.xxhash64("key", F.lit(level)), F.lit(1 << 30)) < F.lit(float(PIVOTS << 30)) / F.col("n")
-        pivots = large.where(draw).groupBy("node").agg(F.collect_list(F.struct("key", "sketch")).alias("pivots")).checkpoint()
-        out = large.join(pivots, "node", "left").select("node", "key", "sketch", "pivots").mapInArrow(_to_pivots, PIVOTED).checkpoint()
+        # a large node is dealt in chunks by a salt, each with all its pivots
+        chunks = F.ceil(F.col("n") / CHUNK)
+        dealt = large.select(F.xxhash64("node", F.pmod(F.xxhash64("key", F.lit(7)), chunks)).alias("unit"), "node", "key", "sketch", F.lit(False).alias("pivot"))
+        pivots = large.where(draw).withColumn("c", F.explode(F.sequence(F.lit(0).cast("bigint"), chunks - 1))).select(F.xxhash64("node", "c"), "node", "key", "sketch", F.lit(True))
+        out = dealt.union(pivots).repartition(parts, "unit").sortWithinPartitions("unit").mapInArrow(_to_pivots, PIVOTED).checkpoint()
         found = found.union(out.where("core").select("a", "b"))
         live = out.where("not core").select("node", "key", "sketch").mapInArrow(_branch(level), CHILD)
         level += 1
