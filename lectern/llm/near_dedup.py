@@ -237,11 +237,11 @@ def candidate_links(classes: DataFrame, trees: int, small: int, parts: int) -> D
     found, level = None, 0
     while True:
         # checkpointed, so that the join below is of two plain shuffles, whose large partitions can be split
-        size = live.groupBy("node").agg(F.count("*").alias("n")).where("n > 1").checkpoint()
+        size = S.cut(live.groupBy("node").agg(F.count("*").alias("n")).where("n > 1"))
         live = live.join(size, "node")
         if level == 0:
             live = live.join(classes.select("key", "sketch"), "key")
-        live = live.select("node", "key", "sketch", "n").checkpoint()
+        live = S.cut(live.select("node", "key", "sketch", "n"), skewed=True)
         links = (live.where(F.col("n") <= small).select("node", "key", "sketch").repartition(parts, "node").sortWithinPartitions("node")
                  .mapInArrow(_small_nodes, LINK))
         found = links if found is None else found.union(links)
@@ -254,7 +254,7 @@ def candidate_links(classes: DataFrame, trees: int, small: int, parts: int) -> D
         chunks = F.ceil(F.col("n") / CHUNK)
         dealt = large.select(F.xxhash64("node", F.pmod(F.xxhash64("key", F.lit(7)), chunks)).alias("unit"), "node", "key", "sketch", F.lit(False).alias("pivot"))
         pivots = large.where(draw).withColumn("c", F.explode(F.sequence(F.lit(0).cast("bigint"), chunks - 1))).select(F.xxhash64("node", "c"), "node", "key", "sketch", F.lit(True))
-        out = dealt.union(pivots).repartition(parts, "unit").sortWithinPartitions("unit").mapInArrow(_to_pivots, PIVOTED).checkpoint()
+        out = S.cut(dealt.union(pivots).repartition(parts, "unit").sortWithinPartitions("unit").mapInArrow(_to_pivots, PIVOTED), skewed=True)
         found = found.union(out.where("core").select("a", "b"))
         live = out.where("not core").select("node", "key", "sketch").mapInArrow(_branch(level), CHILD)
         level += 1
@@ -371,16 +371,15 @@ def near_duplicates(docs: DataFrame, num: int = 85, den: int = 100, k: int = 5,
     parts = S.n_parts(docs)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     sketched = rows.mapInArrow(_sketch(k), SKETCH).checkpoint()
-    classes = (sketched.where("key is not null").groupBy("key")
-               .agg(F.min("doc_id").alias("least"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")).checkpoint())
+    classes = S.cut(sketched.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("least"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")))
     groups = components(candidate_links(classes, trees, small, parts))
-    named = groups.withColumnRenamed("node", "key").join(classes, "key").checkpoint()
+    named = S.cut(groups.withColumnRenamed("node", "key").join(classes, "key"))
     wanted = named.select(F.col("least").alias("doc_id")).distinct()
     full = (rows.join(wanted, rows.doc_id.eqNullSafe(wanted.doc_id), "left_semi").mapInArrow(_sets(k), "key binary, full binary")
             .groupBy("key").agg(F.first("full").alias("full")))
     members = named.select("root", "key", "n", "sketch").join(full, "key")
-    size = named.groupBy("root").agg(F.sum("n").alias("total")).checkpoint()
-    label = confirmed(members, size, num, den, task, parts).checkpoint()
+    size = S.cut(named.groupBy("root").agg(F.sum("n").alias("total")))
+    label = S.cut(confirmed(members, size, num, den, task, parts), skewed=True)
     label = label.withColumnRenamed("node", "key").join(classes.select("key", "least"), "key")
     least = label.groupBy("root").agg(F.min("least").alias("component"))
     label = label.join(least, "root").select("key", "component")

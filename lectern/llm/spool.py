@@ -50,6 +50,16 @@ def n_parts(df: DataFrame, bytes_each: int = 32 << 20) -> int:
     return int(max(conf, min(size // bytes_each, 50_000)))
 
 
+def cut(df: DataFrame, skewed: bool = False) -> DataFrame:
+    """A checkpoint of narrow rows in an eighth of the partitions that its plan has: each file costs the executor a process.
+
+    skewed: rows are dealt anew first, as large partitions that a join was split in would come together again.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    n = max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 8)
+    return (df.repartition(n) if skewed else df.coalesce(n)).checkpoint()
+
+
 # ---------------------------------------------------------------- texts
 
 class Texts:
