@@ -45,7 +45,7 @@ LETTERS = 32
 TELLING, OTHERS = 260, 140
 RIDGE, ROUNDS = 2e-5, 4
 #: Clean words that a fit sees.
-WORDS = 40_000
+WORDS = 30_000
 
 #: Codes of bytes: 0 marks, letters for themselves, then digits and bytes beyond ASCII.
 CODES = np.zeros(256, np.uint8)
@@ -95,6 +95,15 @@ def word_scores(codes: np.ndarray, begin: np.ndarray, size: np.ndarray, table: n
     return np.add.reduceat(total, begin).astype(float) / norms(size) if len(begin) else np.zeros(0)
 
 
+def pick_scores(t: S.Texts, w: S.Words, pick: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Scores of the picked words, a block at a time."""
+    out = np.zeros(len(pick))
+    for a, b in blocks(w.size[pick], 1 << 18):
+        codes, begin = padded(t, w, pick[a:b])
+        out[a:b] = word_scores(codes, begin, w.size[pick[a:b]], table)
+    return out
+
+
 def kernel(codes: np.ndarray, begin: np.ndarray, size: np.ndarray, column: np.ndarray, marks: np.ndarray) -> np.ndarray:
     """Words x landmarks; column: sequence -> row of marks (weights of landmarks), the last row is zero."""
     out = np.zeros((len(begin), marks.shape[1]), np.float32)
@@ -185,6 +194,15 @@ def highest(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.maximum.reduceat(values, first) if len(first) else values[:0]
 
 
+def blocks(size: np.ndarray, limit: int = 1 << 20):
+    """Ranges of words of about so many bytes, which bounds temporaries."""
+    end, a = np.cumsum(size), 0
+    while a < len(size):
+        b = max(a + 1, int(np.searchsorted(end, (end[a - 1] if a else 0) + limit, "right")))
+        yield a, b
+        a = b
+
+
 def coded(t: S.Texts, w: S.Words) -> S.Words:
     """The words without marks around them, hashed by codes: what the kernel can't tell apart is one word."""
     start, size = w.start.copy(), w.size.copy()
@@ -195,11 +213,13 @@ def coded(t: S.Texts, w: S.Words) -> S.Words:
         mark = (size > 1) & (CODES[t.data[start + size - 1]] == 0) if len(start) else mark
         size -= mark
     h = np.zeros(len(start), S.U64)
-    if len(start):
-        first = np.cumsum(size) - size
-        within = np.arange(int(size.sum())) - np.repeat(first, size)
-        codes = CODES[t.data[np.repeat(start, size) + within]].astype(S.U64)
-        h = S.mix(np.add.reduceat(S.powers(int(size.max()) + 1)[within] * codes, first))
+    for a, b in blocks(size):
+        n = size[a:b]
+        first = np.cumsum(n) - n
+        within = np.arange(int(n.sum())) - np.repeat(first, n)
+        codes = CODES[t.data[np.repeat(start[a:b], n) + within]].astype(S.U64)
+        h[a:b] = np.add.reduceat(S.powers(int(n.max()) + 1)[within] * codes, first)
+    h = S.mix(h)
     return S.Words(start, size, h, w.doc)
 
 
@@ -257,8 +277,7 @@ def score(model: Model, t: S.Texts) -> np.ndarray:
         return np.full(len(t), model.share)
     w, first, bounds = prepared(t)
     _, pick, back = np.unique(w.hash, return_index=True, return_inverse=True)
-    codes, begin = padded(t, w, pick)
-    f = word_scores(codes, begin, w.size[pick], model.table)[back] if len(pick) else np.zeros(0)
+    f = pick_scores(t, w, pick, model.table)[back]
     x = seen(two_highest(highest(f, first) + model.bias, bounds, model.bias), bounds)
     return _logistic(x @ model.logistic[1:] + model.logistic[0])
 
@@ -271,16 +290,20 @@ def _logistic(x: np.ndarray) -> np.ndarray:
 
 def machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray, start: np.ndarray | None) -> np.ndarray:
     """Squared hinge loss with a ridge, by Newton steps; the last weight is the bias."""
-    x = np.concatenate([x, np.ones((len(x), 1), x.dtype)], 1).astype(float)
-    v = np.zeros(x.shape[1]) if start is None else start
-    ridge = np.full(x.shape[1], RIDGE)
+    d = x.shape[1] + 1
+    v = np.zeros(d) if start is None else start
+    ridge = np.full(d, RIDGE)
     ridge[-1] = 1e-8
     total = weight.sum()
     for _ in range(25):
-        gap = 1 - y * (x @ v)
-        on = gap > 0
-        g = -(x[on] * (weight[on] * y[on] * gap[on])[:, None]).sum(0) / total + ridge * v
-        h = (x[on] * weight[on][:, None]).T @ x[on] / total + np.diag(ridge)
+        g, h = ridge * v, np.diag(ridge)
+        for a in range(0, len(x), 4096):
+            z = np.concatenate([x[a:a + 4096], np.ones((len(x[a:a + 4096]), 1), x.dtype)], 1).astype(float)
+            gap = 1 - y[a:a + 4096] * (z @ v)
+            on = gap > 0
+            z, w = z[on], weight[a:a + 4096][on]
+            g = g - z.T @ (w * y[a:a + 4096][on] * gap[on]) / total
+            h = h + (z * w[:, None]).T @ z / total
         step = np.linalg.solve(h, g)
         v = v - step
         if np.abs(step).max() < 1e-6:
@@ -320,9 +343,9 @@ def apart(t: S.Texts) -> list[int]:
 
 def landmarks(uniq: np.ndarray, size: np.ndarray, back: np.ndarray, doc: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(landmarks, words that many more toxic documents hold than clean ones) among the different words."""
-    seen = np.unique(np.stack([back, doc], 1), axis=0)
-    bad = np.bincount(seen[:, 0], weights=y[seen[:, 1]], minlength=len(uniq))
-    good = np.bincount(seen[:, 0], minlength=len(uniq)) - bad
+    seen = np.unique(back * len(y) + doc)
+    bad = np.bincount(seen // len(y), weights=y[seen % len(y)], minlength=len(uniq))
+    good = np.bincount(seen // len(y), minlength=len(uniq)) - bad
     odds = np.log((bad + 0.5) / (y.sum() + 1)) - np.log((good + 0.5) / ((1 - y).sum() + 1))
     ok = (size >= 4) & (size <= 24)
     sure = ok & (bad >= min(8, max(2, y.sum() / 20))) & (odds > np.log(6))
@@ -349,7 +372,6 @@ def train(texts: list[str], y: np.ndarray, share: float) -> Model:
     column, marks, among = landmark_table([t.data[w.start[i]:w.start[i] + w.size[i]].tobytes() for i in pick[marks_at].tolist()])
     value, vector = np.linalg.eigh(among.astype(float) + 1e-6 * np.eye(len(among)))
     white = vector / np.sqrt(np.maximum(value, 1e-4))  # Nystroem features of a word: its kernel row times this
-    codes, begin = padded(t, w, pick)
     toxic = y[doc] == 1
     clean = np.zeros(len(uniq), bool)
     clean[back[~toxic]] = True
@@ -358,11 +380,13 @@ def train(texts: list[str], y: np.ndarray, share: float) -> Model:
         # all positives, the clean words that score highest, and some others
         some = np.argsort(np.where(clean & ~positive, -f, np.inf) + (uniq >> S.U64(40)) / 2.0**40, kind="stable")[:min(WORDS, int((clean & ~positive).sum()))]
         use = np.sort(np.concatenate([np.flatnonzero(positive), some]))
-        part, at = padded(t, w, pick[use])
-        x = kernel(part, at, w.size[pick[use]], column, marks) @ white.astype(np.float32)
+        x = np.empty((len(use), white.shape[1]), np.float32)
+        for a, b in blocks(w.size[pick[use]], 1 << 15):
+            part, at = padded(t, w, pick[use[a:b]])
+            x[a:b] = kernel(part, at, w.size[pick[use[a:b]]], column, marks) @ white.astype(np.float32)
         v = machine(x, np.where(positive[use], 1.0, -1.0), np.where(positive[use], len(use) / positive.sum() / 4, 1.0), v)
         table = (marks @ (white @ v[:-1]).astype(np.float32))[np.minimum(column, len(marks) - 1)].astype(np.float32)
-        f = word_scores(codes, begin, w.size[pick], table) + v[-1]
+        f = pick_scores(t, w, pick, table) + v[-1]
         best = np.full(len(t), -np.inf)
         np.maximum.at(best, doc[toxic], f[back[toxic]])
         positive = np.zeros(len(uniq), bool)
