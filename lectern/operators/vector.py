@@ -64,9 +64,15 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id"
     return found.withColumn("ann_rank", F.row_number().over(w)).where(F.col("ann_rank") <= k)
 
 
-def scored(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """All scores as a plain expression; for small sides, or after a filter."""
-    return vectors.join(F.broadcast(queries), F.lit(True)).select("qid", F.col(id_col).alias("id"), V.dot("qvec", vec_col).alias("score"))
+def scored(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", most: int = 1000) -> DataFrame:
+    """All scores as a plain expression, for up to ``most`` queries; top_k takes any number."""
+    rows = queries.select("qid", F.col("qvec").cast("array<double>").alias("qvec")).limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"over {most} queries: use top_k")
+    if not rows:
+        return vectors.limit(0).select(F.lit(0).cast("long").alias("qid"), F.col(id_col).alias("id"), F.lit(0.0).alias("score"))
+    asked = F.array(*[F.struct(F.lit(r.qid).cast("long").alias("qid"), F.array(*map(F.lit, r.qvec)).alias("qvec")) for r in rows])
+    return vectors.select(F.col(id_col).alias("id"), F.col(vec_col).alias("v"), F.explode(asked).alias("q")).select("q.qid", "id", V.dot("q.qvec", "v").alias("score"))
 
 
 def ivf_fit(vectors: DataFrame, cells: int, sample: int = 50_000, seed: int = 1, vec_col: str = "embedding") -> np.ndarray:
