@@ -136,7 +136,7 @@ def _cut(limit: int):
         def flush():
             ids = pa.concat_arrays([t.ids.cast(pa.int64()) for t in held])
             lens = np.concatenate([np.diff(t.off) for t in held]).astype("<i8")
-            body = zstandard.ZstdCompressor(level=3).compress(b"".join(t.data.tobytes() for t in held))
+            body = zstandard.ZstdCompressor(level=6).compress(b"".join(t.data.tobytes() for t in held))
             return pa.RecordBatch.from_arrays([
                 pa.array([(pid << 32) | seq], pa.int64()),
                 pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids),
