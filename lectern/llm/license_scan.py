@@ -190,7 +190,9 @@ def license_scan(docs: DataFrame, paragraphs: int = 4000, id_col: str = "doc_id"
     paragraphs: bound of the sample of paragraphs that stand for ``unknown`` in training.
     """
     text = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    some = text.where("text is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max(1, paragraphs // 8)).select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "p"))
-    rows = some.where("p <> ''").orderBy(F.xxhash64("doc_id", "i"), "doc_id", "i").limit(paragraphs).select(F.substring("p", 1, 400).alias("p")).collect()
+    # ids are drawn first, so that no text goes along
+    few = text.select("doc_id").where("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max(1, paragraphs // 8))
+    lines = text.join(F.broadcast(few), "doc_id", "left_semi").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "p")).where("p <> ''")
+    rows = lines.select(F.xxhash64("doc_id", "i").alias("h"), "doc_id", "i", F.substring("p", 1, 400).alias("p")).orderBy("h", "doc_id", "i", "p").limit(paragraphs).collect()
     shared = docs.sparkSession.sparkContext.broadcast(fit([r.p for r in rows]))
     return text.mapInArrow(_scan(shared), RESULT)
