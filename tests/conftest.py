@@ -6,8 +6,8 @@ from pathlib import Path
 import pytest
 from pyspark.sql import SparkSession
 
-sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
-SF = "/root/testdata/sf0.001"
+sys.path[:0] = [str(Path(__file__).resolve().parents[1]), str(Path(__file__).resolve().parent)]
+from common import SF  # noqa: E402
 
 
 @pytest.fixture(scope="session")

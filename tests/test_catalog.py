@@ -3,7 +3,7 @@
 import math
 
 import pytest
-from conftest import SF
+from common import SF
 
 from lectern import catalog
 
