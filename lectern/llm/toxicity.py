@@ -15,8 +15,8 @@ chosen again after each fit.  As the machine is linear in kernel values, its
 weights are folded into one table of letter sequences, and scoring a word needs
 no landmark.
 
-A document's score is a logistic of its highest and second highest sentence and
-of the number of sentences, fitted to the share of toxic labels.
+A document's score is a logistic of its highest and second highest word and of
+the number of sentences, fitted to the share of toxic labels.
 
 Only the machine is fitted on a sample, of ``rows`` labelled documents a class
 at most and ``letters`` letters of each; every text is scored whole.
@@ -185,15 +185,10 @@ def joined(t: S.Texts, w: S.Words, first: np.ndarray) -> S.Words:
 class Model(NamedTuple):
     table: np.ndarray
     bias: float
-    logistic: np.ndarray  # of 1, the highest and the second highest sentence, and the number of sentences
+    logistic: np.ndarray  # of 1, the highest and the second highest word, and the number of sentences
     share: float | None
 
 
-def highest(values: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """The highest word of each sentence."""
-    return np.maximum.reduceat(values, first) if len(first) else values[:0]
-
-
 def blocks(size: np.ndarray, limit: int = 1 << 20):
     """Ranges of words of about so many bytes, which bounds temporaries."""
     end, a = np.cumsum(size), 0
@@ -232,28 +227,8 @@ def prepared(t: S.Texts):
     return coded(t, w), first, np.searchsorted(first, w.doc)
 
 
-def highest(values: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """The highest word of each sentence."""
-    return np.maximum.reduceat(values, first) if len(first) else values[:0]
-
-
-def prepared(t: S.Texts):
-    """(words, first words of sentences, bounds of documents among sentences)."""
-    plain = S.words(t, S.BLACK, lower=True)
-    first = sentences(t, plain)
-    starts = plain.start[first]
-    w = joined(t, plain, first)
-    if len(w.start) != len(plain.start):  # a joined word differs by more than its first letter
-        long = np.flatnonzero((w.size > 2) & (CODES[t.data[w.start]] > 0))
-        w.hash[long] = S.mix(w.hash[long] + (w.start[long] * 0).astype(S.U64))
-        again = np.flatnonzero(np.isin(w.start, plain.start[:-1][np.diff(plain.start) <= 3]))
-        w.hash[again] = S.mix(w.start[again].astype(S.U64) + S.U64(1 << 40))
-    first = np.searchsorted(w.start, starts)
-    return w, first, np.searchsorted(first, w.doc)
-
-
 def two_highest(s: np.ndarray, bounds: np.ndarray, none: float) -> np.ndarray:
-    """The highest and second highest sentence of each document."""
+    """The highest and second highest word of each document."""
     n = len(bounds) - 1
     out = np.full((n, 2), none)
     if len(s):
@@ -275,10 +250,10 @@ def seen(two: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 def score(model: Model, t: S.Texts) -> np.ndarray:
     if model.share is not None:
         return np.full(len(t), model.share)
-    w, first, bounds = prepared(t)
+    w, _, bounds = prepared(t)
     _, pick, back = np.unique(w.hash, return_index=True, return_inverse=True)
     f = pick_scores(t, w, pick, model.table)[back]
-    x = seen(two_highest(highest(f, first) + model.bias, bounds, model.bias), bounds)
+    x = seen(two_highest(f + model.bias, w.doc, model.bias), bounds)
     return _logistic(x @ model.logistic[1:] + model.logistic[0])
 
 
@@ -348,7 +323,9 @@ def landmarks(uniq: np.ndarray, size: np.ndarray, back: np.ndarray, doc: np.ndar
     good = np.bincount(seen // len(y), minlength=len(uniq)) - bad
     odds = np.log((bad + 0.5) / (y.sum() + 1)) - np.log((good + 0.5) / ((1 - y).sum() + 1))
     ok = (size >= 4) & (size <= 24)
-    sure = ok & (bad >= min(8, max(2, y.sum() / 20))) & (odds > np.log(6))
+    # so many documents that hardly a word is in toxic ones alone by chance
+    least = max(2, np.ceil(7.6 / -np.log(y.mean())))
+    sure = ok & (bad >= least) & (odds > np.log(6))
     telling = np.argsort(-np.where(sure, odds, -np.inf), kind="stable")[:TELLING]
     rest = np.argsort(np.where(ok, uniq, ~S.U64(0)), kind="stable")[:OTHERS]
     return np.unique(np.concatenate([telling[sure[telling]], rest[ok[rest]]])), sure
@@ -363,7 +340,7 @@ def train(texts: list[str], y: np.ndarray, share: float) -> Model:
     one = apart(t)  # copies would make any word of theirs tell
     texts, y = [texts[i] for i in one], y[one]
     t = S.texts_of(pa.nulls(len(texts)), pa.array(texts, pa.large_string()))
-    w, first, bounds = prepared(t)
+    w, _, bounds = prepared(t)
     uniq, pick, back = np.unique(w.hash, return_index=True, return_inverse=True)
     doc = np.repeat(np.arange(len(t)), np.diff(w.doc))
     marks_at, sure = landmarks(uniq, w.size[pick], back, doc, y)
@@ -392,7 +369,7 @@ def train(texts: list[str], y: np.ndarray, share: float) -> Model:
         positive = np.zeros(len(uniq), bool)
         positive[back[toxic][f[back[toxic]] >= np.minimum(best[doc[toxic]], 0.5) - 1e-9]] = True
         positive = positive & ~clean if (positive & ~clean).any() else positive
-    two = two_highest(highest(f[back], first), bounds, float(v[-1]))
+    two = two_highest(f[back], w.doc, float(v[-1]))
     return Model(table, float(v[-1]), fit_logistic(seen(two, bounds), y.astype(float), share), None)
 
 
