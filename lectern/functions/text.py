@@ -24,7 +24,11 @@ def strip(c) -> Column:
 
 def words(c) -> Column:
     """Words between white space; none for a blank text."""
-    s = strip(c)
+    return words_of_stripped(strip(c))
+
+
+def words_of_stripped(c) -> Column:
+    s = col(c)
     return F.when(s == "", F.array().cast("array<string>")).otherwise(F.split(s, f"[{SPACES}]+"))
 
 
@@ -66,21 +70,28 @@ def lowers(c) -> Column:
 def is_noise(c) -> Column:
     """Page furniture: page numbers, roman numerals, scraps, lines without letters, running heads."""
     s = strip(c)
-    n = letters(s)
+    return noise_of(s, words(c), letters(s), uppers(s))
+
+
+def noise_of(s: Column, w: Column, n: Column, up: Column) -> Column:
+    """The same of a stripped line, its words, letters and upper-case letters."""
     return (F.when(s == "", False)
             .when(s.rlike("^\\d{1,4}$"), True)
             .when(s.rlike("^(?i:[ivxlcdm]{1,8})\\.?$"), True)
             .when(F.length(s) <= 3, True)
             .when(n == 0, True)
-            .otherwise((F.size(words(s)) <= 6) & (n <= 32) & (uppers(s) / n >= 0.7)))
+            .otherwise((F.size(w) <= 6) & (n <= 32) & (up / n >= 0.7)))
 
 
 def is_prose(c) -> Column:
     """Five words or more, mostly letters, more of them lower than upper, and four that are plain words."""
     s = strip(c)
-    bare = F.transform(words(s), lambda w: F.regexp_replace(w, "^[,.;:'\"()\\[\\]]+|[,.;:'\"()\\[\\]]+$", ""))
-    plain = F.size(F.filter(bare, lambda w: w.rlike("^[A-Za-z]{2,}$")))
-    return F.coalesce((F.size(words(s)) >= 5) & (letters(s) / F.greatest(F.length(s), F.lit(1)) >= 0.6) & (lowers(s) > uppers(s)) & (plain >= 4), F.lit(False))
+    return prose_of(s, words(c), letters(s), uppers(s), lowers(s))
+
+
+def prose_of(s: Column, w: Column, n: Column, up: Column, low: Column) -> Column:
+    plain = F.size(F.filter(w, lambda x: F.regexp_replace(x, "^[,.;:'\"()\\[\\]]+|[,.;:'\"()\\[\\]]+$", "").rlike("^[A-Za-z]{2,}$")))
+    return F.coalesce((F.size(w) >= 5) & (n / F.greatest(F.length(s), F.lit(1)) >= 0.6) & (low > up) & (plain >= 4), F.lit(False))
 
 
 def snippet(c, n: int) -> Column:

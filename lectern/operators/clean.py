@@ -23,16 +23,30 @@ def lines(bodies: DataFrame, key: str = "book_id", body: str = "body") -> DataFr
 
 
 def flagged(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("blank", T.strip("line") == "").withColumn("noise", T.is_noise("line")).withColumn("prose", T.is_prose("line"))
+    """Lines with blank, noise and prose; what these share is worked out once."""
+    s, w, n, up = F.col("_s"), F.col("_w"), F.col("_n"), F.col("_up")
+    rows = rows.withColumn("_s", T.strip("line")).withColumns({"_w": T.words_of_stripped("_s"), "_n": T.letters("_s"), "_up": T.uppers("_s"), "_low": T.lowers("_s")})
+    return rows.withColumns({"blank": s == "", "noise": T.noise_of(s, w, n, up), "prose": T.prose_of(s, w, n, up, F.col("_low"))}).drop("_s", "_w", "_n", "_up", "_low")
 
 
-def content_start(rows: DataFrame, key: str = "book_id") -> DataFrame:
-    """(key, start): the first of the first 600 lines that is prose and opens a window with five prose lines; else 0."""
+def _opens(key: str):
+    """Whether a line of the first 600 is prose and opens a window with five prose lines."""
     ahead = W.partitionBy(key).orderBy("line_no").rowsBetween(0, WINDOW - 1)
-    near = F.sum(F.col("prose").cast("int")).over(ahead)
-    ok = rows.where(F.col("line_no") < SEARCH + WINDOW).withColumn("_near", near)
-    first = F.min(F.when(F.col("prose") & (F.col("_near") >= NEEDED) & (F.col("line_no") < SEARCH), F.col("line_no")))
-    return ok.groupBy(key).agg(F.coalesce(first, F.lit(0)).alias("start"))
+    return F.col("prose") & (F.col("line_no") < SEARCH) & (F.sum(F.col("prose").cast("int")).over(ahead) >= NEEDED)
+
+
+def content_start(rows: DataFrame, key: str = "book_id") -> DataFrame:
+    """(key, start): the first line that opens the content; else 0."""
+    ok = rows.where(F.col("line_no") < SEARCH + WINDOW).withColumn("_opens", _opens(key))
+    return ok.groupBy(key).agg(F.coalesce(F.min(F.when(F.col("_opens"), F.col("line_no"))), F.lit(0)).alias("start"))
+
+
+def started(rows: DataFrame, key: str = "book_id") -> DataFrame:
+    """Lines with their body's start and the group of lines between breaks; all windows share one shuffle."""
+    everything = W.partitionBy(key).orderBy("line_no").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    upto = W.partitionBy(key).orderBy("line_no").rowsBetween(W.unboundedPreceding, W.currentRow)
+    rows = rows.withColumn("_opens", _opens(key)).withColumn("start", F.coalesce(F.min(F.when(F.col("_opens"), F.col("line_no"))).over(everything), F.lit(0))).drop("_opens")
+    return rows.withColumn("_group", F.sum((F.col("blank") | F.col("noise")).cast("int")).over(upto))
 
 
 def joined_lines(pieces):
@@ -44,12 +58,8 @@ def joined_lines(pieces):
 
 def paragraphs(bodies: DataFrame, key: str = "book_id", body: str = "body", trim_front: bool = True) -> DataFrame:
     """(key, para_no, text, char_start, char_end): runs of lines from the content start that are neither blank nor noise."""
-    rows = flagged(lines(bodies, key, body))
-    if trim_front:
-        rows = rows.join(content_start(rows, key), key).where("line_no >= start").drop("start")
-    w = W.partitionBy(key).orderBy("line_no").rowsBetween(W.unboundedPreceding, W.currentRow)
-    group = F.sum((F.col("blank") | F.col("noise")).cast("int")).over(w)
-    runs = (rows.withColumn("_group", group).where("not blank and not noise").groupBy(key, "_group")
+    rows = started(flagged(lines(bodies, key, body)), key).where("not blank and not noise")
+    runs = ((rows.where("line_no >= start") if trim_front else rows).groupBy(key, "_group")
             .agg(F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("_lines"), F.min("char_start").alias("char_start"), F.max("char_end").alias("char_end")))
     out = runs.withColumn("text", joined_lines(F.transform("_lines", lambda x: x["line"]))).where(T.strip("text") != "")
     return out.select(key, (F.row_number().over(W.partitionBy(key).orderBy("_group")) - 1).alias("para_no"), "text", "char_start", "char_end")
@@ -57,10 +67,8 @@ def paragraphs(bodies: DataFrame, key: str = "book_id", body: str = "body", trim
 
 def clean_stats(bodies: DataFrame, key: str = "book_id", body: str = "body") -> DataFrame:
     """Per body: lines, blank lines, noise lines from the content start on, paragraphs."""
-    rows = flagged(lines(bodies, key, body))
-    rows = rows.join(content_start(rows, key), key)
-    counts = rows.groupBy(key).agg(
-        F.count("*").alias("total_lines"), F.count_if("blank").alias("blank_lines"),
-        F.count_if(F.col("noise") & (F.col("line_no") >= F.col("start"))).alias("noise_removed"), F.max("start").alias("content_start"))
-    paras = paragraphs(bodies, key, body).groupBy(key).agg(F.count("*").alias("paragraphs"))
-    return counts.join(paras, key, "left").withColumn("paragraphs", F.coalesce("paragraphs", F.lit(0)))
+    rows = started(flagged(lines(bodies, key, body)), key)
+    kept = (F.col("line_no") >= F.col("start")) & ~F.col("blank") & ~F.col("noise")
+    return rows.groupBy(key).agg(
+        F.count("*").alias("total_lines"), F.count_if("blank").alias("blank_lines"), F.count_if(F.col("noise") & (F.col("line_no") >= F.col("start"))).alias("noise_removed"),
+        F.max("start").alias("content_start"), F.size(F.collect_set(F.when(kept, F.col("_group")))).alias("paragraphs"))
