@@ -29,7 +29,8 @@ _MARKED, _PLAIN = _folds()
 
 
 def folded(c: Column) -> Column:
-    return F.translate(F.lower(c), _MARKED, _PLAIN)
+    low = F.lower(c)
+    return F.when(low.rlike("[^\\x00-\\x7F]"), F.translate(low, _MARKED, _PLAIN)).otherwise(low)
 
 
 def fold(s: str) -> str:
@@ -216,22 +217,19 @@ def leaves_of(e) -> list:
     return [x for p in e.parts for x in leaves_of(p)]
 
 
-def _starts(index: DataFrame, leaf: Leaf) -> DataFrame:
-    """(id, len, starts): where a leaf begins in each passage that has it."""
-    n = len(leaf.words)
+def _starts(leaf: Leaf) -> Column:
+    """Where a leaf begins in a passage, from the map ``m`` of its terms to their positions."""
+    n, none = len(leaf.words), F.array().cast("array<int>")
 
-    def of(i: int) -> DataFrame:
-        last = i == n - 1 and leaf.prefix
-        cond = F.col("term").startswith(leaf.words[i]) if last else F.col("term") == leaf.words[i]
-        rows = index.where(cond).select("id", "len", F.transform("positions", lambda p: p - i).alias(f"p{i}"))
-        return rows.groupBy("id", "len").agg(F.array_distinct(F.flatten(F.collect_list(f"p{i}"))).alias(f"p{i}")) if last else rows
-    rows = of(0)
-    for i in range(1, n):
-        rows = rows.join(of(i).drop("len"), "id")
-    s = reduce(F.array_intersect, [F.col(f"p{i}") for i in range(n)])
-    if leaf.initial:
-        s = F.filter(s, lambda p: p == 0)
-    return rows.select("id", "len", F.array_sort(s).alias("starts")).where(F.size("starts") > 0)
+    def of(i: int) -> Column:
+        word = leaf.words[i]
+        if i == n - 1 and leaf.prefix:
+            p = F.array_distinct(F.flatten(F.map_values(F.map_filter("m", lambda k, v: k.startswith(word)))))
+        else:
+            p = F.coalesce(F.element_at("m", F.lit(word)), none)
+        return F.transform(p, lambda x: x - i)
+    s = reduce(F.array_intersect, [of(i) for i in range(n)])
+    return F.array_sort(F.filter(s, lambda p: p == 0) if leaf.initial else s)
 
 
 def _clump(starts: list[Column], sizes: list[int], distance: int) -> list[Column]:
@@ -261,12 +259,12 @@ def match(index: DataFrame, total: int, avgdl: float, expression: str) -> DataFr
     found = leaves_of(tree)
     if any(not x.words for x in found):
         return index.sparkSession.createDataFrame([], f"id {index.schema['id'].dataType.simpleString()}, score double")
-    rows = None
-    for i, leaf in enumerate(found):
-        part = _starts(index, leaf).withColumn("leaf", F.lit(i))
-        rows = part if rows is None else rows.unionByName(part)
-    g = rows.groupBy("id", "len").agg(*[F.coalesce(F.max(F.when(F.col("leaf") == i, F.col("starts"))), F.array().cast("array<int>")).alias(f"s{i}") for i in range(len(found))])
-    n = {r.leaf: r.n for r in rows.groupBy("leaf").agg(F.count("*").alias("n")).collect()}
+    # the terms of the expression only, once for all leaves; a passage holds a few of them
+    exact = sorted({w for x in found for w in (x.words[:-1] if x.prefix else x.words)})
+    cond = reduce(lambda a, b: a | b, [F.col("term").startswith(x.words[-1]) for x in found if x.prefix], F.col("term").isin(exact))
+    terms_of = index.where(cond).groupBy("id", "len").agg(F.map_from_entries(F.collect_list(F.struct("term", "positions"))).alias("m"))
+    g = terms_of.select("id", "len", *[_starts(x).alias(f"s{i}") for i, x in enumerate(found)])
+    n = dict(enumerate(g.agg(*[F.count_if(F.size(f"s{i}") > 0).alias(f"n{i}") for i in range(len(found))]).first()))
     at = iter(range(len(found)))
 
     def leaf_score(i: int, s: Column) -> Column:
