@@ -110,30 +110,36 @@ def fit(sample: list[str], seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
     r = np.random.default_rng(seed)
     filler = sorted({w for x in sample[:2000] for w in x.split()[:20]}) or ["lorem", "ipsum", "dolor", "sit", "amet"]
     known = [_words_of(x) for family in FAMILIES for x in TEMPLATES[family]]
-    clean = [x for x in dict.fromkeys(sample) if x.strip() and not any(held(x, k) >= 0.5 for k in known)]
+    clean = [x for x in dict.fromkeys(sample) if x.strip() and not like_any(_words_of(x), known)]
     texts, y = variants(r, filler, 40)
     texts, y = texts + clean, np.array(y + [UNKNOWN] * len(clean))
     _, index, line, size = features(_texts(texts))
     value = 1 / np.sqrt(np.maximum(1, size))[line]
     held_out = np.arange(len(texts)) % 5 == 4
     share = np.where(y == UNKNOWN, 0.5 / max(1, (y == UNKNOWN).sum()), 0.5 / max(1, (y != UNKNOWN).sum())) * len(y)
-    weights, bias = np.zeros((FEATURES, UNKNOWN + 1)), np.zeros(UNKNOWN + 1)
+    kinds, index = np.unique(index, return_inverse=True)  # features that no row has stay at zero
+    weights, bias = np.zeros((UNKNOWN + 1, len(kinds))), np.zeros(UNKNOWN + 1)
     past = np.full_like(weights, 1e-8)
+
+    def scores() -> np.ndarray:
+        return np.stack([np.bincount(line, weights=x[index] * value, minlength=len(texts)) for x in weights], 1) + bias
     for _ in range(120):  # AdaGrad over whole batches of the sparse rows
-        out = np.stack([np.bincount(line, weights=weights[index, k] * value, minlength=len(texts)) for k in range(UNKNOWN + 1)], 1) + bias
-        g = _softmax(out)
+        g = _softmax(scores())
         g[np.arange(len(y)), y] -= 1
         g *= (share * ~held_out / len(y))[:, None]
-        step = np.stack([np.bincount(index, weights=g[line, k] * value, minlength=FEATURES) for k in range(UNKNOWN + 1)], 1) + 1e-6 * weights
-        past += step**2
-        weights -= 0.5 * step / np.sqrt(past)
+        for k, x in enumerate(weights):
+            step = np.bincount(index, weights=g[line, k] * value, minlength=len(kinds)) + 1e-6 * x
+            past[k] += step**2
+            x -= 0.5 * step / np.sqrt(past[k])
         bias -= 0.5 * g.sum(0)
-    out = np.stack([np.bincount(line, weights=weights[index, k] * value, minlength=len(texts)) for k in range(UNKNOWN + 1)], 1) + bias
+    out = scores()
     # the temperature under which the rows that training did not see are likeliest
     rows = np.flatnonzero(held_out)
     loss = {t: -np.log(_softmax(out[rows] / t)[np.arange(len(rows)), y[rows]] + 1e-12).mean() for t in np.geomspace(0.3, 5, 25)}
     best = min(loss, key=loss.get)
-    return (weights / best).astype(np.float32), bias / best
+    table = np.zeros((FEATURES, UNKNOWN + 1), np.float32)
+    table[kinds] = weights.T / best
+    return table, bias / best
 
 
 def _words_of(text: str) -> list[bytes]:
@@ -143,6 +149,12 @@ def _words_of(text: str) -> list[bytes]:
     return [low[a:a + n] for a, n in zip(w.start.tolist(), w.size.tolist(), strict=True)]
 
 
+def like_any(words: list[bytes], templates: list[list[bytes]], share: float = 0.5) -> bool:
+    """Whether a paragraph holds that share of a template's words in order."""
+    have = set(words)
+    return any(sum(x in have for x in k) >= share * len(k) and held(words, k) >= share for k in templates)
+
+
 def held(paragraph: str | list[bytes], template: list[bytes]) -> float:
     """Share of a template's words that stand in the paragraph in order (longest common subsequence)."""
     words = _words_of(paragraph) if isinstance(paragraph, str) else paragraph
