@@ -3,10 +3,11 @@
 from pyspark.sql import functions as F
 
 from .quality import quality
+from .spool import read
 
 
 def query(spark, sf_dir):
-    docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    docs, labels = read(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
     rest = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3))
     out = quality(docs, labels, rest != 1)
     return out.select("doc_id", (rest == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

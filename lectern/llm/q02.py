@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from .lm_score import lm_score
+from .spool import read
 
 SQL = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
@@ -27,5 +28,5 @@ FROM d LEFT JOIN g USING (doc_id)
 
 
 def query(spark, sf_dir):
-    out = lm_score(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    out = lm_score(read(spark, sf_dir))
     return out.withColumn("log_score", F.round("log_score", 3)).withColumn("mean_log_score", F.round("mean_log_score", 5))

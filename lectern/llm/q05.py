@@ -1,6 +1,7 @@
 """Query op5: exact dedup over whole documents."""
 
 from .exact_dedup import exact_groups
+from .spool import read
 
 SQL = """
 WITH d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
@@ -10,4 +11,4 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_
 
 
 def query(spark, sf_dir):
-    return exact_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return exact_groups(read(spark, sf_dir))

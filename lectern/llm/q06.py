@@ -1,6 +1,7 @@
 """Query op6: benchmark decontamination of whole documents."""
 
 from .decontaminate import decontaminate
+from .spool import read
 
 SQL = r"""
 WITH dw AS (
@@ -25,4 +26,4 @@ FROM dw LEFT JOIN hw USING (doc_id) LEFT JOIN hi USING (doc_id)
 
 
 def query(spark, sf_dir):
-    return decontaminate(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return decontaminate(read(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))

@@ -1,5 +1,6 @@
 """Query op9: substring dedup over whole documents."""
 
+from .spool import read
 from .substring_dedup import substring_dedup
 
 SQL = r"""
@@ -21,5 +22,5 @@ FROM w LEFT JOIN gone USING (doc_id)
 
 
 def query(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = read(spark, sf_dir)
     return substring_dedup(docs).drop("n_spans")

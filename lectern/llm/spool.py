@@ -50,6 +50,13 @@ def n_parts(df: DataFrame, bytes_each: int = 32 << 20) -> int:
     return int(max(conf, min(size // bytes_each, 50_000)))
 
 
+def read(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
+    """A table; one of fewer splits than cores is dealt over all of them."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+
+
 def cut(df: DataFrame, skewed: bool = False) -> DataFrame:
     """A checkpoint of narrow rows in an eighth of the partitions that its plan has: each file costs the executor a process.
 
