@@ -295,17 +295,16 @@ def _compare(m, full, mine: int, num: int, den: int) -> Sets:
 def _group_links(num: int, den: int):
     """(unit, shown, key, sketch, full), sorted by unit: each key with the least key that links join it to.
 
-    Rows not shown are compared with all rows of the unit, shown ones only with those.
+    Rows not shown are compared with all rows of the unit, shown ones only with those;
+    two shown ones meet in the unit that deals either.
     """
     def run(batches):
         out = []
         for g in grouped(batches, 0):
             shown, key = g.column(1).to_pylist(), g.column(2).to_pylist()
-            seen, pick = set(), []
-            for i in sorted(range(len(key)), key=lambda i: (not shown[i], key[i])):
-                if key[i] not in seen:  # a class may be shown to its own chunk
-                    seen.add(key[i])
-                    pick.append(i)
+            # a class shown to its own chunk counts as a row of the chunk there, so it meets all other shown ones
+            at = {key[i]: i for i in sorted(range(len(key)), key=lambda i: not shown[i])}
+            pick = sorted(at.values(), key=lambda i: (not shown[i], key[i]))
             full = g.column(4)
             s = _compare(_matrix(g.column(3))[pick], [np.frombuffer(full[i].as_buffer(), S.U64) for i in pick], sum(shown[i] for i in pick), num, den)
             least: dict[int, bytes] = {}

@@ -76,6 +76,18 @@ def test_large_groups(spark, options):
     assert Counter(tuple(x) for x in near_dedup.near_duplicates(df, **options).collect()) == links(rows)
 
 
+def test_small_clusters_of_a_large_group(spark):
+    """Many small clusters in one group that is dealt in chunks: both ends of a link are often shown, as pivots or in one turn."""
+    r = random.Random(6)
+    base, rows = [f"b{i}" for i in range(44)], []
+    for i in range(120):
+        w = list(base)
+        w[r.randrange(6, 38)] = f"c{i}"
+        rows += [(2 * i, " ".join(["first", *w[1:]])), (2 * i + 1, " ".join([*w[:-1], "last"]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert Counter(tuple(x) for x in near_dedup.near_duplicates(df, task=3000).collect()) == links(rows)
+
+
 def test_near_empty(empty):
     assert near_dedup.near_duplicates(empty).count() == 0 and near_dedup.near_dedup(empty).count() == 0
 
