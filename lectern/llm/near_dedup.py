@@ -8,10 +8,12 @@
    ``small`` classes are compared exhaustively, by their minimum hashes.  In a
    larger node every class is compared with a few pivots; the near ones join
    the pivot's group and need no more branching, the others branch again, by
-   one new token each and, in one node of four, by another: 1.25 children, as
-   many as keep a pair of similarity 0.8 together once on average.  Two sets of similarity s agree on a token with
-   probability s, so they miss each other in all trees with (1 - s) ** trees at
-   the first level: 2.6e-7 for 8 trees at 0.85.
+   one new token each and, in some nodes, by others: ``TOGETHER`` / s children,
+   so that a pair of similarity s, the threshold, stays together a little over
+   once on average (1.25 at 0.85).  Two sets of similarity s agree on a token
+   with probability s, so they miss each other in all trees with
+   (1 - s) ** trees at the first level: at most ``MISS``, by 8 trees at 0.85
+   and 10 at 0.8.
 3. What these comparisons join are candidate groups, looser than links.  Full
    sets are compared inside a group only, exactly, skipping pairs that links
    already join.  A group too large for a task is dealt in chunks by a salt; all
@@ -29,6 +31,8 @@ of it have none; other columns are not read.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -39,14 +43,36 @@ from .components import components
 
 #: Minimum hashes of a set.
 SEEDS = 64
-#: Trees, share of large nodes whose classes have a second child, and pivots of a large node.
-TREES, SECOND, PIVOTS = 8, 0.25, 16
+#: Chance that a pair at the threshold misses in the first level of all trees, children in which it stays together on average, and pivots of a large node.
+MISS, TOGETHER, PIVOTS = 2.6e-7, 1.0625, 16
 #: Classes of a large node that one task compares with its pivots.
 CHUNK = 1000
-#: Agreement of minimum hashes from which two classes are one group, and are so near that one need not branch.
-GROUP, CORE = 0.45, 0.65
-#: Agreement from which full sets are compared: 0.85 less over five standard errors.
-COMPARE = 0.6
+#: Agreement of minimum hashes from which two classes are so near that one need not branch.
+CORE = 0.65
+
+
+class Filters:
+    """What depends on the threshold, s = num / den.
+
+    group: agreement of minimum hashes from which two classes are one group.  What is
+    linked with a class within CORE of a pivot is at most 1 - s farther from that
+    pivot, so it is in the group (0.05 for errors); 0.45 at 0.85, 0.4 at 0.8.
+    compare: agreement from which full sets are compared: s less 5.6 standard errors;
+    0.6 at 0.85, 0.52 at 0.8.
+    trees: as many as keep misses under MISS.  more: children of a class besides its first.
+    """
+
+    def __init__(self, num: int, den: int, trees: int | None = None):
+        s = num / den
+        if not 0 < s <= 1:
+            raise ValueError(f"no similarity: {num} / {den}")
+        self.num, self.den = num, den
+        self.group = max(0.0, CORE - (1 - s) - 0.05)
+        self.compare = s - 5.6 * math.sqrt(s * (1 - s) / SEEDS)
+        self.trees = trees or (math.ceil(math.log(MISS) / math.log(1 - s)) if s < 1 else 1)
+        self.more = max(0.0, TOGETHER / s - 1)
+        if self.trees > SEEDS:
+            raise ValueError(f"{num} / {den} needs {self.trees} trees, and a tree needs a minimum hash of its own: {SEEDS}")
 
 
 def seeds() -> np.ndarray:
@@ -130,17 +156,19 @@ def _roots(trees: int):
     return run
 
 
-def _branch(level: int):
-    """Children of (node, key, sketch): other tokens for each node and level."""
+def _branch(level: int, more: float):
+    """Children of (node, key, sketch), one and ``more`` on average: other tokens for each node and level."""
+    most = 1 + math.ceil(more)
+
     def run(batches):
         for b in batches:
             node, m = b.column(0).to_numpy().view(S.U64), _matrix(b.column(2))
             if not len(m):
                 continue
-            for x in range(2):
-                salt = np.full(len(m), level * 2 + x + 1, S.U64)
+            for x in range(most):
+                salt = np.full(len(m), level * most + x + 1, S.U64)
                 h = S.mix(_hash(node, salt))
-                row = np.arange(len(m)) if x == 0 else np.flatnonzero((h >> S.U64(32)) < S.U64(int(SECOND * (1 << 32))))
+                row = np.flatnonzero((h >> S.U64(32)) < S.U64(int(min(1.0, more + 1 - x) * (1 << 32))))
                 token = m[row, (h[row] % S.U64(SEEDS)).astype(np.int64)]
                 at = pa.array(row)
                 yield pa.RecordBatch.from_arrays([pa.array(_hash(node[row], salt[row], token).view(np.int64)), b.column(1).take(at), b.column(2).take(at)], ["node", "key", "sketch"])
@@ -190,50 +218,54 @@ def grouped(batches, column: int):
         yield pa.Table.from_batches(held).combine_chunks()
 
 
-def _small_nodes(batches):
+def _small_nodes(group: float):
     """Exhaustive comparison of the classes of a node (node, key, sketch): each is linked to the least of its group."""
-    out = []
-    for g in grouped(batches, 0):
-        order = np.argsort(np.array(g.column(1).to_pylist(), object), kind="stable")
-        key, m = [g.column(1)[int(i)].as_py() for i in order], _matrix(g.column(2))[order]
-        s = Sets(len(key))
-        for i in range(len(key) - 1):
-            for j in (np.flatnonzero((m[i + 1:] == m[i]).mean(1) >= GROUP) + i + 1).tolist():
-                s.join(i, j)
-        out += [(key[i], key[s.find(i)]) for i in range(len(key)) if s.find(i) != i]
-        if len(out) > 10_000:
+    def run(batches):
+        out = []
+        for g in grouped(batches, 0):
+            order = np.argsort(np.array(g.column(1).to_pylist(), object), kind="stable")
+            key, m = [g.column(1)[int(i)].as_py() for i in order], _matrix(g.column(2))[order]
+            s = Sets(len(key))
+            for i in range(len(key) - 1):
+                for j in (np.flatnonzero((m[i + 1:] == m[i]).mean(1) >= group) + i + 1).tolist():
+                    s.join(i, j)
+            out += [(key[i], key[s.find(i)]) for i in range(len(key)) if s.find(i) != i]
+            if len(out) > 10_000:
+                yield _link_batch(out)
+                out = []
+        if out:
             yield _link_batch(out)
-            out = []
-    if out:
-        yield _link_batch(out)
+    return run
 
 
 PIVOTED = "node long, key binary, sketch binary, core boolean, a binary, b binary"
 
 
-def _to_pivots(batches):
+def _to_pivots(group: float):
     """(unit, node, key, sketch, pivot), sorted by unit: each class near a pivot is linked to the least of that pivot's group, and goes on unless it is very near one."""
-    for g in grouped(batches, 0):
-        node, key, m, pivot = g.column(1)[0].as_py(), g.column(2).to_pylist(), _matrix(g.column(3)), np.array(g.column(4).to_pylist(), bool)
-        marks = sorted(np.flatnonzero(pivot).tolist(), key=lambda i: key[i])
-        mine = np.flatnonzero(~pivot)
-        share = np.stack([(m[mine] == m[i]).mean(1) for i in marks], 1) if marks else np.zeros((len(mine), 0))
-        s = Sets(len(marks))
-        for x, i in enumerate(marks):
-            for y in (np.flatnonzero((m[marks[x + 1:]] == m[i]).mean(1) >= GROUP) + x + 1).tolist():
-                s.join(x, y)
-        least = [key[marks[s.find(x)]] for x in range(len(marks))]
-        rows = [(None, None, None, True, key[i], z) for i, near in zip(mine.tolist(), share >= GROUP, strict=True) for z in {least[x] for x in np.flatnonzero(near).tolist()} if z != key[i]]
-        rows += [(node, key[i], m[i].tobytes(), False, None, None) for i in mine[~(share >= CORE).any(1)].tolist()]
-        if rows:
-            cols = list(zip(*rows, strict=True))
-            types = (pa.int64(), pa.binary(), pa.binary(), pa.bool_(), pa.binary(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], [x.split()[0] for x in PIVOTED.split(", ")])
-
-
-def candidate_links(classes: DataFrame, trees: int, small: int, parts: int) -> DataFrame:
+    def run(batches):
+        for g in grouped(batches, 0):
+            node, key, m, pivot = g.column(1)[0].as_py(), g.column(2).to_pylist(), _matrix(g.column(3)), np.array(g.column(4).to_pylist(), bool)
+            marks = sorted(np.flatnonzero(pivot).tolist(), key=lambda i: key[i])
+            mine = np.flatnonzero(~pivot)
+            share = np.stack([(m[mine] == m[i]).mean(1) for i in marks], 1) if marks else np.zeros((len(mine), 0))
+            s = Sets(len(marks))
+            for x, i in enumerate(marks):
+                for y in (np.flatnonzero((m[marks[x + 1:]] == m[i]).mean(1) >= group) + x + 1).tolist():
+                    s.join(x, y)
+            least = [key[marks[s.find(x)]] for x in range(len(marks))]
+            rows = [(None, None, None, True, key[i], z) for i, near in zip(mine.tolist(), share >= group, strict=True) for z in {least[x] for x in np.flatnonzero(near).tolist()} if z != key[i]]
+            rows += [(node, key[i], m[i].tobytes(), False, None, None) for i in mine[~(share >= CORE).any(1)].tolist()]
+            if rows:
+                cols = list(zip(*rows, strict=True))
+                types = (pa.int64(), pa.binary(), pa.binary(), pa.bool_(), pa.binary(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], [x.split()[0] for x in PIVOTED.split(", ")])
+    return run
+
+
+def candidate_links(classes: DataFrame, f: Filters, small: int, parts: int) -> DataFrame:
     """Links (a, b) of keys whose components hold all similar pairs; classes: key, sketch."""
-    live = classes.select("key", "sketch").mapInArrow(_roots(trees), NODE)
+    live = classes.select("key", "sketch").mapInArrow(_roots(f.trees), NODE)
     found, level = None, 0
     while True:
         # checkpointed, so that the join below is of two plain shuffles, whose large partitions can be split
@@ -243,7 +275,7 @@ def candidate_links(classes: DataFrame, trees: int, small: int, parts: int) -> D
             live = live.join(classes.select("key", "sketch"), "key")
         live = S.cut(live.select("node", "key", "sketch", "n"), skewed=True)
         links = (live.where(F.col("n") <= small).select("node", "key", "sketch").repartition(parts, "node").sortWithinPartitions("node")
-                 .mapInArrow(_small_nodes, LINK))
+                 .mapInArrow(_small_nodes(f.group), LINK))
         found = links if found is None else found.union(links)
         if not size.where(F.col("n") > small).limit(1).count():
             return found
@@ -254,9 +286,9 @@ def candidate_links(classes: DataFrame, trees: int, small: int, parts: int) -> D
         chunks = F.ceil(F.col("n") / CHUNK)
         dealt = large.select(F.xxhash64("node", F.pmod(F.xxhash64("key", F.lit(7)), chunks)).alias("unit"), "node", "key", "sketch", F.lit(False).alias("pivot"))
         pivots = large.where(draw).withColumn("c", F.explode(F.sequence(F.lit(0).cast("bigint"), chunks - 1))).select(F.xxhash64("node", "c"), "node", "key", "sketch", F.lit(True))
-        out = S.cut(dealt.union(pivots).repartition(parts, "unit").sortWithinPartitions("unit").mapInArrow(_to_pivots, PIVOTED), skewed=True)
+        out = S.cut(dealt.union(pivots).repartition(parts, "unit").sortWithinPartitions("unit").mapInArrow(_to_pivots(f.group), PIVOTED), skewed=True)
         found = found.union(out.where("core").select("a", "b"))
-        live = out.where("not core").select("node", "key", "sketch").mapInArrow(_branch(level), CHILD)
+        live = out.where("not core").select("node", "key", "sketch").mapInArrow(_branch(level, f.more), CHILD)
         level += 1
 
 
@@ -280,19 +312,19 @@ def linked(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
     return den * both >= num * (len(a) + len(b) - both)
 
 
-def _compare(m, full, mine: int, num: int, den: int) -> Sets:
+def _compare(m, full, mine: int, f: Filters) -> Sets:
     """What links join: rows from ``mine`` on against all rows before, most alike first."""
     s = Sets(len(full))
     for i in range(max(1, mine), len(full)):
         share = (m[:i] == m[i]).mean(1)
-        near = np.flatnonzero(share >= COMPARE)
+        near = np.flatnonzero(share >= f.compare)
         for j in near[np.argsort(-share[near], kind="stable")].tolist():
-            if s.find(i) != s.find(j) and linked(full[i], full[j], num, den):
+            if s.find(i) != s.find(j) and linked(full[i], full[j], f.num, f.den):
                 s.join(i, j)
     return s
 
 
-def _group_links(num: int, den: int):
+def _group_links(f: Filters):
     """(unit, shown, key, sketch, full), sorted by unit: each key with the least key that links join it to.
 
     Rows not shown are compared with all rows of the unit, shown ones only with those;
@@ -306,7 +338,7 @@ def _group_links(num: int, den: int):
             at = {key[i]: i for i in sorted(range(len(key)), key=lambda i: not shown[i])}
             pick = sorted(at.values(), key=lambda i: (not shown[i], key[i]))
             full = g.column(4)
-            s = _compare(_matrix(g.column(3))[pick], [np.frombuffer(full[i].as_buffer(), S.U64) for i in pick], sum(shown[i] for i in pick), num, den)
+            s = _compare(_matrix(g.column(3))[pick], [np.frombuffer(full[i].as_buffer(), S.U64) for i in pick], sum(shown[i] for i in pick), f)
             least: dict[int, bytes] = {}
             for x, i in enumerate(pick):
                 r = s.find(x)
@@ -320,13 +352,13 @@ def _group_links(num: int, den: int):
     return run
 
 
-def confirmed(members: DataFrame, size: DataFrame, num: int, den: int, task: int, parts: int) -> DataFrame:
+def confirmed(members: DataFrame, size: DataFrame, f: Filters, task: int, parts: int) -> DataFrame:
     """(node, root) of components of links on full sets; members: root, key, n, sketch, full; size: root, total of n.
 
     task: shingles that one task compares at once.
     """
     def run(units: DataFrame) -> DataFrame:
-        return units.select("unit", "shown", "key", "sketch", "full").repartition(parts, "unit").sortWithinPartitions("unit").mapInArrow(_group_links(num, den), LINK)
+        return units.select("unit", "shown", "key", "sketch", "full").repartition(parts, "unit").sortWithinPartitions("unit").mapInArrow(_group_links(f), LINK)
 
     members = members.join(size, "root")
     if size.where(F.col("total") > task).limit(1).count():
@@ -363,22 +395,23 @@ def confirmed(members: DataFrame, size: DataFrame, num: int, den: int, task: int
 RESULT = ["doc_id", "n_shingles", "component_id", "kept"]
 
 
-def near_duplicates(docs: DataFrame, num: int = 85, den: int = 100, k: int = 5, trees: int = TREES, small: int = 200, task: int = 8 << 20,
+def near_duplicates(docs: DataFrame, num: int = 85, den: int = 100, k: int = 5, trees: int | None = None, small: int = 200, task: int = 8 << 20,
                     id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Each document's component under links of den * intersection >= num * union, and whether it stays."""
+    f = Filters(num, den, trees)
     S.ensure_checkpoint_dir(docs.sparkSession)
     parts = S.n_parts(docs)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     sketched = rows.mapInArrow(_sketch(k), SKETCH).checkpoint()
     classes = S.cut(sketched.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("least"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")))
-    groups = components(candidate_links(classes, trees, small, parts))
+    groups = components(candidate_links(classes, f, small, parts))
     named = S.cut(groups.withColumnRenamed("node", "key").join(classes, "key"))
     wanted = named.select(F.col("least").alias("doc_id")).distinct()
     full = (rows.join(wanted, rows.doc_id.eqNullSafe(wanted.doc_id), "left_semi").mapInArrow(_sets(k), "key binary, full binary")
             .groupBy("key").agg(F.first("full").alias("full")))
     members = named.select("root", "key", "n", "sketch").join(full, "key")
     size = S.cut(named.groupBy("root").agg(F.sum("n").alias("total")))
-    label = S.cut(confirmed(members, size, num, den, task, parts), skewed=True)
+    label = S.cut(confirmed(members, size, f, task, parts), skewed=True)
     label = label.withColumnRenamed("node", "key").join(classes.select("key", "least"), "key")
     least = label.groupBy("root").agg(F.min("least").alias("component"))
     label = label.join(least, "root").select("key", "component")

@@ -88,6 +88,33 @@ def test_small_clusters_of_a_large_group(spark):
     assert Counter(tuple(x) for x in near_dedup.near_duplicates(df, task=3000).collect()) == links(rows)
 
 
+def pairs(changes):
+    """Twenty documents, and each again with so many of its words changed, far apart."""
+    r, rows = random.Random(8), []
+    for i in range(20):
+        w = [f"p{r.randrange(10**6)}" for _ in range(200)]
+        rows.append((2 * i, " ".join(w)))
+        for x in range(changes):
+            w[8 + 15 * x] = "changed"
+        rows.append((2 * i + 1, " ".join(w)))
+    return rows
+
+
+@pytest.mark.parametrize("num, changes", [(80, 4), (50, 12)])
+def test_lower_thresholds(spark, num, changes):
+    rows = pairs(changes)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = near_dedup.near_duplicates(df, num=num).collect()
+    assert Counter(tuple(x) for x in got) == links(rows, num) and sum(r.kept for r in got) == 20
+
+
+def test_near_stage_takes_similarity_from_0_8(spark):
+    import corpus_pipeline as P
+
+    df = spark.createDataFrame(pairs(4), "doc_id long, text string")
+    assert sorted(r.doc_id for r in P.near(spark, df, SF).collect()) == list(range(0, 40, 2))
+
+
 def test_near_empty(empty):
     assert near_dedup.near_duplicates(empty).count() == 0 and near_dedup.near_dedup(empty).count() == 0
 
