@@ -123,7 +123,7 @@ def fix_long_s_text(spark, sf):
 
 def fix_long_s_candidates(spark, sf):
     texts, _ = _long_s(spark, sf)
-    t = texts.where("doc_id < 60").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[A-Za-z]+"), F.lit(0))).alias("token")).distinct()
+    t = texts.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[A-Za-z]+"), F.lit(0))).alias("token")).distinct()
     return longs.candidates(t).select("token", F.col("mask").cast("long").alias("mask"), "candidate")
 
 

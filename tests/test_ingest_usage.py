@@ -94,3 +94,12 @@ def test_entry_without_llm(spark):
     import __spark_entry__ as e
 
     assert e.entry(spark).count() == 30 and set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_long_s_candidates_of_all_documents(spark, tmp_path):
+    from lectern.plans import q_usage
+
+    rows = [(1, "some", "en"), (60, "sea", "en"), (5000, "self", "en"), (5001, "sieben", "de")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r.token, r.mask, r.candidate) for r in q_usage.fix_long_s_candidates(spark, str(tmp_path)).collect()}
+    assert got == {("fome", 1, "some"), ("fea", 1, "sea"), ("felf", 1, "self"), ("felf", 2, "fels"), ("felf", 3, "sels")}
