@@ -1,159 +1,177 @@
-"""Operator 2: language-model scores by stupid backoff.
-
-S(w | u v) = c(u v w) / c(u v) where the trigram occurs ``least`` times at
-least, else BACKOFF * S(w | v); S(w | v) likewise; S(w) = c(w) / all words.
-Counts are of the whole corpus, the scored document included.
-
-Slices send their distinct n-grams with counts to hash partitions, which add
-these up to the count tables; the join back gives each slice the counts of its
-own n-grams, and each document is the sum of the logarithms over its words.
-Counts of one are not sent back, and an n-gram goes out only if the two shorter
-ones in it are frequent, as it can't be frequent else.  An n-gram is known by
-its partition and 48 bits more of its hash.
+"""Operator 2: language-model scores by stupid backoff, as joins of exploded n-grams with count tables.
+
+S(w | context) = c(context w) / c(context) where that n-gram occurs in the
+corpus, else BACKOFF * S(w | shorter context); S(w) = c(w) / all words, and a
+word that the corpus lacks counts as once.  Every n-gram counts, from one
+occurrence on.
+
+``count_tables`` and ``backoff_scores`` are the general form: one table of
+(n, context, word, count, context count), partitioned by the hash of the
+context, and a cascade over the orders in which the words that an order does
+not know go on to the next shorter one.
+
+``lm_score`` scores a corpus against itself.  Every n-gram of a document is then
+in the table, so no word backs off, and the exploded n-grams are the table's own
+rows: they are dealt once by the hash of their context, counted there, and the
+logarithms are summed by document.  The words of the first full context
+have the product c(first context) / all words, as each ratio's numerator is the
+next one's denominator; so have all words of a shorter text, whose count as an
+n-gram is looked up apart.
+
+A context that holds more than a quarter of a partition's share of all n-grams
+(found by a bounded frequent-items sketch over all of them) is dealt by a salt
+besides, and its counts come from a pre-aggregated table joined by the salt.
+The list of such contexts steers only that: counts are the same for any list.
+
+N-grams are known by a 64-bit hash of the context and a 32-bit hash of the word
+after it.
 
 Defined cases: null and empty texts have no words, score 0 and mean 0; words are
-taken as they stand; n-grams never cross documents; repeated rows count twice;
-null ids stay null; other columns are not read.
+taken as they stand; n-grams never cross documents; repeated rows count each and
+get a row each; null ids stay null; an empty table gives an empty one; other
+columns are not read.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import spool as S
 
 BACKOFF = 0.4
-#: Added to the kind of an answer that goes along with a later question.
-ANSWER = 100
-RESULT = "doc_id long, n_words long, log_score double, mean_log_score double"
-
-
-def ngrams(w: S.Words, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, places of first words) of the n-grams within documents."""
-    at = np.flatnonzero(S.starts_within(w.doc, n, len(w.hash)))
-    return S.grams(w.hash, n)[at] if len(at) else np.zeros(0, S.U64), at
-
-
-def _tail(d: S.Distinct, parts: int) -> np.ndarray:
-    """16 bits after the leading 32."""
-    bits = (-(-(1 << 32) // parts) - 1).bit_length()
-    return (d.rest >> np.uint32(max(0, bits - 16))).astype(np.uint16)
-
-
-def _rows(h: np.ndarray, sid: int, n: int, parts: int) -> list:
-    d = S.Distinct(h, parts)
-    tail, count = _tail(d, parts), d.count.astype(np.int32)
-    return [(p, sid, n, S.pack(d.low[a:b], tail[a:b], count[a:b])) for p in range(parts) if (a := d.bounds[p]) < (b := d.bounds[p + 1])]
-
-
-def _send(parts: int):
-    def run(batches):
-        for sid, t, _ in S.each_slice(batches):
-            w = S.words(t)
-            rows = [r for n in (1, 2) for r in _rows(ngrams(w, n)[0], sid, n, parts)]
-            if rows:
-                yield S.routed(rows)
-    return run
-
-
-def _send_longer(n: int, parts: int, least: int):
-    def run(batches):
-        for sid, t, got in S.each_slice(batches):
-            w = S.words(t)
-            h, at = longer(w, n, *_known(w, n - 1, got, parts, least), least)
-            rows = _rows(h, sid, n, parts) + [(p, sid, ANSWER + k, b) for (p, k), b in got.items()]
-            if rows:
-                yield S.routed(rows)
-    return run
-
-
-def longer(w: S.Words, n: int, below_at: np.ndarray, below: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """The n-grams whose two shorter ones are frequent; below: counts of those at their places."""
-    ok = np.zeros(len(w.hash) + 1, bool)
-    ok[below_at] = below >= least
-    h, at = ngrams(w, n)
-    keep = ok[at] & ok[at + 1]
-    return h[keep], at[keep]
-
-
-def _known(w: S.Words, n: int, got: dict, parts: int, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """(places, counts) of the n-grams that were asked for."""
-    h, at = ngrams(w, n) if n <= 2 else longer(w, n, *_known(w, n - 1, got, parts, least), least)
-    return at, _counts(S.Distinct(h, parts), got, n)
-
-
-def _count(part, rows):
-    yield from ((s, k - ANSWER, b) for s, k, b in rows if k >= ANSWER)
-    for n in sorted({k for _, k, _ in rows if k < ANSWER}):
-        got = [(s, S.unpack(b)) for s, k, b in rows if k == n]
-        key = np.concatenate([(a[0].astype(S.U64) << S.U64(16)) | a[1] for _, a in got])
-        order = np.argsort(key)
-        k = key[order]
-        new = np.ones(len(k), bool)
-        new[1:] = k[1:] != k[:-1]
-        total = np.add.reduceat(np.concatenate([a[2] for _, a in got])[order].astype(np.int64), np.flatnonzero(new))
-        count = np.empty(len(k), np.int64)
-        count[order] = total[np.cumsum(new) - 1]
-        at = 0
-        for s, a in got:
-            mine = count[at:at + len(a[0])]
-            at += len(mine)
-            more = mine > 1
-            if more.any():
-                yield s, n, S.pack(np.packbits(more), mine[more])
-
-
-def _counts(d: S.Distinct, got: dict, n: int) -> np.ndarray:
-    """The corpus count of each given n-gram."""
-    out = np.ones(len(d.first), np.int64)
-    for (p, k), b in got.items():
-        if k == n:
-            bits, count = S.unpack(b)
-            lo, hi = d.bounds[p], d.bounds[p + 1]
-            out[lo:hi][np.unpackbits(bits, count=hi - lo).astype(bool)] = count
-    return out[d.back]
-
-
-def _score(order: int, parts: int, least: int, total: int):
-    def run(batches):
-        for _, t, got in S.each_slice(batches):
-            w = S.words(t)
-            m = len(w.hash)
-            log, below = np.zeros(m), None
-            for n in range(1, order + 1):
-                at, c = _known(w, n, got, parts, least)
-                if n == 1:
-                    log = np.log(np.maximum(c, 1) / max(1, total))
-                else:  # words that have so many before them: the n-gram if it is frequent, else what is shorter
-                    last = ngrams(w, n)[1] + n - 1
-                    log[last] += np.log(BACKOFF)
-                    seen = c >= least
-                    log[at[seen] + n - 1] = np.log(c[seen] / below[at[seen]])
-                below = np.zeros(m, np.int64)
-                below[at] = c
-            size = np.diff(w.doc)
-            each = np.zeros(len(t))
-            some = np.flatnonzero(size)
-            if len(some):
-                each[some] = np.add.reduceat(log, w.doc[:-1][some])
-            yield pa.RecordBatch.from_arrays([t.ids, pa.array(size), pa.array(each), pa.array(each / np.maximum(size, 1))], ["doc_id", "n_words", "log_score", "mean_log_score"])
-    return run
-
-
-def _words(batches):
-    for _, t, _ in S.each_slice(batches):
-        yield pa.RecordBatch.from_arrays([pa.array([len(S.words(t, hashed=False).start)], pa.int64())], ["n"])
-
-
-def lm_score(docs: DataFrame, order: int = 3, least: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The sum and the mean of the log scores of each document's words."""
-    sl = S.slices(docs, id_col, text_col)
+#: Contexts that are dealt by a salt, at most, and items that the sketch which finds them tracks.
+HOT, TRACKED = 1000, 10_000
+#: Texts of fewer words than a context up to which these n-grams are broadcast, 8 bytes each; more are joined by a shuffle.
+WANTED = 1 << 20
+
+
+def words(text: str) -> Column:
+    return F.filter(F.split(F.coalesce(F.col(text).cast("string"), F.lit("")), "[ \\t-\\r]+"), lambda x: x != "")
+
+
+def _zipped(w: Column, order: int) -> Column:
+    """Each place with the ``order`` words from there on; null beyond the end."""
+    return F.arrays_zip(*[(w if k == 0 else F.slice(w, F.lit(1 + k), F.size(w))).alias(f"w{k}") for k in range(order)])
+
+
+def _context(k: int) -> Column:
+    """The hash of the first k words of a place, null where the text ends before."""
+    return F.when(F.col(f"w{k - 1}").isNotNull(), F.xxhash64(*[f"w{j}" for j in range(k)]))
+
+
+def _places(docs: DataFrame, order: int, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, text_hash, w0.., head) of each place; head is the number of words at a text's first place, else 0.
+
+    A text without words has one place, of nulls; a text is known by its id and hash.
+    """
+    w = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("text_hash"), words(text_col).alias("w"))
+    z = w.select("doc_id", "text_hash", F.size("w").alias("n"), F.posexplode_outer(_zipped(F.col("w"), order)).alias("at", "z"))
+    return z.select("doc_id", "text_hash", F.when(F.coalesce("at", F.lit(0)) == 0, F.col("n")).otherwise(0).alias("head"), F.coalesce("at", F.lit(0)).alias("at"), "z.*")
+
+
+def grams(docs: DataFrame, order: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, text_hash, first, n, context, word): each context of order - 1 words and the word after it, null at the end.
+
+    A text of fewer words has one row without a context; first marks a text's first row, which holds its number of words.
+    """
+    k = order - 1
+    p = _places(docs, order, id_col, text_col).where(F.col(f"w{k - 1}").isNotNull() | (F.col("at") == 0))
+    return p.select("doc_id", "text_hash", (F.col("at") == 0).alias("first"), F.col("head").alias("n"), _context(k).alias("context"), F.when(F.col(f"w{k}").isNotNull(), F.hash(f"w{k}")).alias("word"))
+
+
+def hot_contexts(rows: DataFrame, parts: int) -> tuple[list[int], int, int]:
+    """(contexts of more than a quarter of a partition's share of the rows, number of words, texts with words but no context)."""
+    got = rows.agg(F.expr(f"approx_top_k(context, {HOT}, {TRACKED})").alias("top"), F.count("context").alias("rows"), F.sum("n").alias("words"), F.count_if(F.expr("context is null and n > 0")).alias("short")).first()
+    limit = (got.rows or 0) / (4 * parts)
+    return [t["item"] for t in got.top or () if t["item"] is not None and t["count"] > max(limit, 1000)], got.words or 0, got.short
+
+
+def short_counts(docs: DataFrame, order: int, short: int, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, text_hash, first, n, below) of texts with fewer than order - 1 words; below counts the whole text as an n-gram of the corpus."""
+    p = _places(docs, order, id_col, text_col)
+    gram = [F.xxhash64(F.lit(j), *[f"w{i}" for i in range(j)]) for j in range(order - 1)]
+    whole = F.coalesce(*[F.when(F.col(f"w{j - 1}").isNotNull(), gram[j]) for j in range(order - 2, 0, -1)])
+    texts = p.where(f"at = 0 and w0 is not null and w{order - 2} is null").select("doc_id", "text_hash", F.lit(True).alias("first"), F.col("head").alias("n"), whole.alias("gram"))
+    wanted = texts.select("gram").distinct()
+    if short <= WANTED:  # at most so many numbers of 8 bytes
+        wanted = F.broadcast(wanted)
+    every = p.select(F.explode(F.array(*[F.when(F.col(f"w{j - 1}").isNotNull(), gram[j]) for j in range(1, order - 1)])).alias("gram"))
+    counts = every.join(wanted, "gram", "left_semi").groupBy("gram").agg(F.count(F.lit(1)).alias("below"))
+    return texts.join(counts, "gram").select("doc_id", "text_hash", "first", "n", "below")
+
+
+def counted(rows: DataFrame, parts: int, hot: list[int]) -> DataFrame:
+    """The rows of ``grams`` with c, the count of context and word, and below, that of the context."""
+    def count(*key: str) -> Column:
+        return F.count(F.lit(1)).over(Window.partitionBy(*key))
+    cold = rows.where(~F.col("context").isin(hot)) if hot else rows.where("context is not null")
+    out = cold.repartition(parts, "context").withColumn("c", count("context", "word")).withColumn("below", count("context"))
+    if hot:
+        some = rows.where(F.col("context").isin(hot))
+        c = some.groupBy("context", F.coalesce("word", F.lit(0)).alias("key"), F.col("word").isNull().alias("end")).agg(F.count(F.lit(1)).alias("c"))
+        below = some.groupBy("context").agg(F.count(F.lit(1)).alias("below"))  # HOT rows at most
+        table = c.join(F.broadcast(below), "context").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+        salted = some.withColumns({"key": F.coalesce("word", F.lit(0)), "end": F.col("word").isNull(), "salt": F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(parts)).cast("int")})
+        out = out.unionByName(salted.join(table, ["context", "key", "end", "salt"]).select(*out.columns))
+    return out
+
+
+def lm_score(docs: DataFrame, order: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The sum and the mean of the log scores of each document's words, counted over all documents."""
+    if order < 2:
+        raise ValueError("an order from 2 on")
     parts = S.n_parts(docs)
-    total = sl.mapInArrow(_words, "n long").agg(F.sum("n").alias("n")).first().n or 0
-    counts = S.exchange(sl.mapInArrow(_send(parts), S.ROUTED), parts, _count)
-    for n in range(3, order + 1):
-        counts = S.exchange(S.join_replies(sl, counts).mapInArrow(_send_longer(n, parts, least), S.ROUTED), parts, _count)
-    return S.join_replies(sl, counts).mapInArrow(_score(order, parts, least, total), RESULT)
+    rows = grams(docs, order, id_col, text_col)
+    hot, total, short = hot_contexts(rows, parts)
+    head = F.log("below") - math.log(max(total, 1))
+    logs = F.when(F.col("word").isNotNull(), F.log("c") - F.log("below")).otherwise(0.0) + F.when(F.col("first"), head).otherwise(0.0)
+    known = counted(rows, parts, hot).select("doc_id", "text_hash", "first", "n", logs.alias("log"))
+    known = known.unionByName(rows.where("context is null and n = 0").select("doc_id", "text_hash", "first", "n", F.lit(0.0).alias("log")))
+    if short:
+        known = known.unionByName(short_counts(docs, order, short, id_col, text_col).select("doc_id", "text_hash", "first", "n", head.alias("log")))
+    by_text = known.groupBy("doc_id", "text_hash").agg(F.max("n").alias("n"), F.count_if("first").alias("copies"), F.sum("log").alias("log"))
+    each = by_text.select("doc_id", F.col("n").cast("long").alias("n_words"), (F.col("log") / F.col("copies")).alias("log_score"), F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
+    return each.select("doc_id", "n_words", "log_score", (F.col("log_score") / F.greatest(F.col("n_words"), F.lit(1))).alias("mean_log_score"))
+
+
+# ------------------------------------------------- any corpus, any texts
+
+def count_tables(corpus: DataFrame, order: int = 3, text_col: str = "text") -> DataFrame:
+    """(n, context, word, c, below) for the n-grams of each order; context is 0 for single words, of which below are all."""
+    p = corpus.select(F.explode(_zipped(words(text_col), order)).alias("z")).select("z.*")
+    out = None
+    for n in range(1, order + 1):
+        rows = p.select((_context(n - 1) if n > 1 else F.lit(0).cast("long")).alias("context"), F.when(F.col(f"w{n - 1}").isNotNull(), F.xxhash64(f"w{n - 1}")).alias("word")).where("context is not null")
+        c = rows.groupBy("context", "word").agg(F.count(F.lit(1)).alias("c"))  # map-side first, as hot contexts have few words
+        c = c.withColumn("below", F.sum("c").over(Window.partitionBy("context"))) if n > 1 else c.crossJoin(F.broadcast(rows.agg(F.count(F.lit(1)).alias("below"))))
+        c = c.where("word is not null").select(F.lit(n).alias("n"), "context", "word", "c", "below")
+        out = c if out is None else out.unionByName(c)
+    return out
+
+
+def backoff_scores(docs: DataFrame, tables: DataFrame, order: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Scores of texts of any origin by the tables of a corpus."""
+    w = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("text_hash"), words(text_col).alias("w"))
+    # reversed, so that a place begins with its word and goes on with those before it
+    back = w.select("doc_id", "text_hash", F.size("w").alias("size"), F.posexplode_outer(_zipped(F.reverse("w"), order)).alias("at", "z")).select("doc_id", "text_hash", "size", "at", "z.*")
+    open_ = back.where("w0 is not null").withColumn("penalty", F.lit(0.0))
+    heads = back.where("coalesce(at, 0) = 0").groupBy("doc_id", "text_hash").agg(F.max("size").alias("size"), F.count(F.lit(1)).alias("copies"))
+    done = None
+    for n in range(order, 0, -1):
+        here = open_.where(F.col(f"w{n - 1}").isNotNull())
+        context = F.xxhash64(*[f"w{j}" for j in range(n - 1, 0, -1)]) if n > 1 else F.lit(0).cast("long")
+        t = tables.where(F.col("n") == n).select("context", "word", "c", "below")
+        met = here.withColumns({"context": context, "word": F.xxhash64("w0")}).join(t, ["context", "word"], "left")
+        found = met.where("c is not null").select("doc_id", "text_hash", (F.log("c") - F.log("below") + F.col("penalty")).alias("log"))
+        done = found if done is None else done.unionByName(found)
+        lost = met.where("c is null").select(*open_.columns).withColumn("penalty", F.col("penalty") + math.log(BACKOFF))
+        open_ = open_.where(F.col(f"w{n - 1}").isNull()).unionByName(lost) if n > 1 else lost
+    total = F.broadcast(tables.where("n = 1").agg(F.coalesce(F.max("below"), F.lit(1)).alias("total")))
+    unseen = open_.crossJoin(total).select("doc_id", "text_hash", (F.col("penalty") - math.log(BACKOFF) - F.log("total")).alias("log"))
+    logs = done.unionByName(unseen).groupBy("doc_id", "text_hash").agg(F.sum("log").alias("log"))
+    on = heads["doc_id"].eqNullSafe(logs["doc_id"]) & (heads["text_hash"] == logs["text_hash"])
+    each = heads.join(logs, on, "left").select(heads["doc_id"], F.col("size").cast("long").alias("n_words"), (F.coalesce("log", F.lit(0.0)) / F.col("copies")).alias("log_score"), F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
+    return each.select("doc_id", "n_words", "log_score", (F.col("log_score") / F.greatest(F.col("n_words"), F.lit(1))).alias("mean_log_score"))

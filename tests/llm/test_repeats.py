@@ -123,23 +123,59 @@ def test_leaks(spark, request, name, limit):
     assert {r.doc_id for r in clean.collect() if r.doc_id is not None} == {k[0] for k in hits(data, items) if not k[5] and k[0] is not None}
 
 
+def word_lists(df):
+    return [(i, re.findall(r"[^\x20\x09-\x0D]+", t or "")) for i, t in rows_of(df)]
+
+
+def backed_off(data, corpus, order):
+    """Sorted (id, words, score) by plain stupid backoff over the counts of corpus."""
+    c = Counter(tuple(w[i:i + n]) for _, w in corpus for n in range(1, order + 1) for i in range(len(w) - n + 1))
+    total = max(1, sum(len(w) for _, w in corpus))
+
+    def s(g):
+        if c[g]:
+            return math.log(c[g] / (c[g[:-1]] if len(g) > 1 else total))
+        return math.log(0.4) + s(g[1:]) if len(g) > 1 else -math.log(total)
+    return sorted(((i or -1), len(w), round(sum(s(tuple(w[max(0, j - order + 1):j + 1])) for j in range(len(w))), 5)) for i, w in data)
+
+
+def scores_are(df, want):
+    got = sorted(((r.doc_id or -1), r.n_words, round(r.log_score, 5)) for r in df.collect())
+    assert [g[:2] for g in got] == [w[:2] for w in want]
+    assert [g[2] for g in got] == pytest.approx([w[2] for w in want], abs=1e-4)
+
+
 @pytest.mark.parametrize("name", ["corpus", "odd"])
 @pytest.mark.parametrize("order", [2, 3, 4])
 def test_language_model(request, name, order):
     df = request.getfixturevalue(name)
     df = df[0] if name == "corpus" else df
-    data = [(i, re.findall(r"[^\x20\x09-\x0D]+", t or "")) for i, t in rows_of(df)]
-    c = Counter(tuple(w[i:i + n]) for _, w in data for n in range(1, order + 1) for i in range(len(w) - n + 1))
-    total = sum(len(w) for _, w in data)
+    data = word_lists(df)
+    scores_are(lm_score.lm_score(df, order), backed_off(data, data, order))
 
-    def s(g):
-        if len(g) == 1:
-            return math.log(c[g] / total)
-        return math.log(c[g] / c[g[:-1]]) if c[g] >= 2 else math.log(0.4) + s(g[1:])
-    want = sorted(((i or -1), len(w), round(sum(s(tuple(w[max(0, j - order + 1):j + 1])) for j in range(len(w))), 5)) for i, w in data)
-    got = sorted(((r.doc_id or -1), r.n_words, round(r.log_score, 5)) for r in lm_score.lm_score(df, order).collect())
-    assert [g[:2] for g in got] == [w[:2] for w in want]
-    assert [g[2] for g in got] == pytest.approx([w[2] for w in want], abs=1e-4)
+
+@pytest.mark.parametrize("order", [2, 3])
+def test_language_model_of_hot_contexts(odd, corpus, monkeypatch, order):
+    df = corpus[0].unionByName(odd.select("doc_id", "text"))
+    data = word_lists(df)
+    rows = lm_score.grams(df, order)
+    hot = [r.context for r in rows.where("context is not null").groupBy("context").count().orderBy("count", "context", ascending=False).limit(5).collect()]
+    monkeypatch.setattr(lm_score, "hot_contexts", lambda r, parts: (hot, sum(len(w) for _, w in data), int(order > 2)))
+    scores_are(lm_score.lm_score(df, order), backed_off(data, data, order))
+
+
+def test_hot_contexts_are_found(spark):
+    df = spark.createDataFrame([(i, "of the " * 40 + f"a{i} b{i}") for i in range(60)], "doc_id long, text string")
+    hot, total, short = lm_score.hot_contexts(lm_score.grams(df, 3), 4)
+    assert total == 60 * 82 and len(hot) == 2 and short == 0
+
+
+@pytest.mark.parametrize("order", [1, 2, 3])
+def test_language_model_of_another_corpus(odd, corpus, order):
+    some = corpus[0].where("doc_id % 3 = 0")
+    texts = corpus[0].unionByName(odd.select("doc_id", "text"))
+    scores_are(lm_score.backoff_scores(texts, lm_score.count_tables(some, order), order), backed_off(word_lists(texts), word_lists(some), order))
+    scores_are(lm_score.backoff_scores(odd, lm_score.count_tables(some.limit(0), order), order), backed_off(word_lists(odd), [], order))
 
 
 def test_empty(spark, empty):
