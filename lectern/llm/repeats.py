@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 
 from . import spool as S
 
-ANCHOR, HIT, WINDOWS, REPEATED, RUNS = range(5)
+ANCHOR, HIT, WINDOWS, REPEATED, RUNS, TIED = range(6)
 
 
 class View:
@@ -22,6 +22,8 @@ class View:
 
     window: int
     block: int
+    #: Whether result() is told which units lie in anchors that occur elsewhere.
+    ties = False
 
     def __init__(self, t: S.Texts):
         self.t = t
@@ -38,8 +40,8 @@ class View:
         """Of the whole windows at these places."""
         raise NotImplementedError
 
-    def result(self, gone: np.ndarray):
-        """A record batch with a row for each document; gone: units to remove."""
+    def result(self, gone: np.ndarray, tied: np.ndarray):
+        """A record batch with a row for each document; gone: units to remove, tied: units in anchors that occur elsewhere."""
         raise NotImplementedError
 
     def candidates(self, hit_at: np.ndarray) -> np.ndarray:
@@ -69,7 +71,7 @@ def _meet(kind: int, reply: int):
     def answer(part, rows):
         got = []
         for s, k, b in rows:
-            if k == RUNS:
+            if k in (RUNS, TIED):
                 yield s, k, b
             else:
                 got.append((s, S.unpack(b)))
@@ -132,8 +134,11 @@ def _send_windows(view, parts: int):
             v = view(t)
             h, at, _ = v.anchors()
             d = S.Distinct(h, parts)
-            cand = v.candidates(at[_hits(d, got, HIT)[d.back]])
+            hit_at = at[_hits(d, got, HIT)[d.back]]
+            cand = v.candidates(hit_at)
             del d, h, at
+            if v.ties and len(hit_at):
+                yield S.routed([(int(sid % parts), sid, TIED, S.pack(*_joined(hit_at, v.block)))])
             if not len(cand):
                 continue
             e = S.Distinct(v.hashes(cand), parts)
@@ -145,23 +150,38 @@ def _send_windows(view, parts: int):
     return run
 
 
+def _joined(at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(begin, length) of what stretches of ``size`` units from increasing places cover together."""
+    first = np.flatnonzero(np.diff(at, prepend=-2 * size) > size)
+    last = np.append(first[1:], len(at)) - 1
+    return at[first], at[last] + size - at[first]
+
+
+def _spread(blob: bytes | None) -> np.ndarray:
+    """The places that packed (begin, length) stretches cover."""
+    if blob is None:
+        return np.zeros(0, np.int64)
+    first, size = S.unpack(blob)
+    return np.repeat(first - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
+
+
 def _finish(view, parts: int):
     def run(batches):
         for _, t, got in S.each_slice(batches):
             v = view(t)
             n = int(v.bounds()[-1])
-            gone = np.zeros(n, bool)
-            runs = next((b for (_, k), b in got.items() if k == RUNS), None)
-            if runs is not None:
-                first, size = S.unpack(runs)
-                cand = np.repeat(first - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
+            gone, tied = np.zeros(n, bool), np.zeros(n, bool)
+            kinds = {k: b for (_, k), b in got.items() if k in (RUNS, TIED)}
+            tied[_spread(kinds.get(TIED))] = True
+            if RUNS in kinds:
+                cand = _spread(kinds[RUNS])
                 e = S.Distinct(v.hashes(cand), parts)
                 rep = cand[_hits(e, got, REPEATED)[e.back]]
                 c = np.zeros(n + 1, np.int32)
                 c[rep] += 1
                 c[rep + v.window] -= 1
                 gone = np.cumsum(c[:-1]) > 0
-            yield v.result(gone)
+            yield v.result(gone, tied)
     return run
 
 

@@ -49,7 +49,7 @@ class WordView(View):
     def hashes(self, at):
         return S.grams(self.words.hash, self.window)[at]
 
-    def result(self, gone):
+    def result(self, gone, tied):
         t, w = self.t, self.words
         lost, runs = spans(gone, w.doc)
         keep = np.flatnonzero(~gone)
