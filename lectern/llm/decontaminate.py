@@ -12,14 +12,17 @@ its size is measured first.  A larger one meets the documents in hash partitions
 (``spool``), with the same results.
 
 Defined cases: null and empty texts have no words, and such items never occur;
-items of equal words all occur together; repeated ids of items count once; a
-null item_id counts as an empty one; repeated rows of documents get a row each;
-null doc_ids stay null; other columns are not read.
+ids of items are strings of any letters; items of equal words all occur
+together; repeated ids of items count once; a null item_id counts as an empty
+one; repeated rows of documents get a row each; null doc_ids stay null; an empty
+benchmark hits nothing; an empty table gives an empty one; other columns are not
+read.  ``reject_contaminated`` judges each row by its text alone.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 
 import numpy as np
 import pyarrow as pa
@@ -187,7 +190,7 @@ def _send_items(window: int, parts: int):
             rows = []
             for p in np.unique(part).tolist():
                 at = np.flatnonzero(part == p)
-                names = ",".join("" if ids[i] is None else str(ids[i]) for i in item[at].tolist()).encode()
+                names = json.dumps(["" if ids[i] is None else ids[i] for i in item[at].tolist()]).encode()
                 rows.append((p, sid, BENCH, len(at).to_bytes(4, "little") + h[at].tobytes() + names))
             if rows:
                 yield S.routed(rows)
@@ -222,15 +225,15 @@ def _meet_items(part, rows):
     for _, k, b in rows:
         if k == BENCH:
             n = int.from_bytes(b[:4], "little")
-            for h, x in zip(np.frombuffer(b, S.U64, n, 4).tolist(), b[4 + 8 * n:].decode().split(","), strict=True):
+            for h, x in zip(np.frombuffer(b, S.U64, n, 4).tolist(), json.loads(b[4 + 8 * n:]), strict=True):
                 names.setdefault(h, set()).add(x)
     for s, k, b in rows:
         if k == HIT:
             yield s, k, b
         elif k == DOC:
-            out = [(h, names[h]) for h in np.frombuffer(b, S.U64).tolist() if h in names]
+            out = [(h, sorted(names[h])) for h in np.frombuffer(b, S.U64).tolist() if h in names]
             if out:
-                yield s, FOUND, "\n".join(f"{h} {','.join(x)}" for h, x in out).encode()
+                yield s, FOUND, json.dumps(out).encode()
 
 
 def _large(k: int, window: int, lengths: list[int], parts: int):
@@ -240,9 +243,11 @@ def _large(k: int, window: int, lengths: list[int], parts: int):
             names = {}
             for (_, kind), b in got.items():
                 if kind == FOUND:
-                    names.update((int(x), y.split(",")) for x, y in (line.split(" ", 1) for line in b.decode().split("\n")))
+                    names.update(json.loads(b))
             ok = is_in(h, np.array(sorted(names), S.U64))
-            yield result(t, w, place[ok], size[ok], [names[x] for x in h[ok].tolist()])
+            out = result(t, w, place[ok], size[ok], [names[x] for x in h[ok].tolist()])
+            digest = [hashlib.sha256(t.doc(i)).hexdigest() for i in range(len(t))]
+            yield pa.RecordBatch.from_arrays([*out.columns, pa.array(digest, pa.string())], [*NAMES, "digest"])
     return run
 
 
@@ -262,22 +267,30 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, k: in
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     if (shared := _broadcast(benchmark, k, window, limit, item_id, item_text)) is not None:
         return rows.mapInArrow(_small(shared), RESULT)
-    parts = S.n_parts(docs)
-    sl, bench = S.slices(rows), S.slices(benchmark.select(F.col(item_id).cast("long").alias("doc_id"), F.col(item_text).alias("text")))
-    lengths = sorted(r.n for r in bench.mapInArrow(_short_lengths(window), "n long").distinct().collect())
+    return _by_partitions(rows, benchmark, window, k, item_id, item_text).drop("digest")
+
+
+def _by_partitions(rows: DataFrame, benchmark: DataFrame, window: int, k: int, item_id: str, item_text: str) -> DataFrame:
+    """RESULT and a digest of the text, for a benchmark of any size."""
+    parts = S.n_parts(rows)
+    sl, bench = S.slices(rows), S.slices(benchmark, item_id, item_text, id_type="string")
+    lengths = sorted(r.n for r in bench.mapInArrow(_short_lengths(window), "n long").distinct().collect())  # less than window numbers
     prints = sl.mapInArrow(_send_prints(DOC, k, window, parts), S.ROUTED).unionByName(bench.mapInArrow(_send_prints(BENCH, k, window, parts), S.ROUTED))
     hits = S.exchange(prints, parts, _meet_prints)
     asked = S.join_replies(sl, hits).mapInArrow(_send_lookups(k, window, lengths, parts), S.ROUTED)
     found = S.exchange(asked.unionByName(bench.mapInArrow(_send_items(window, parts), S.ROUTED)), parts, _meet_items)
-    return S.join_replies(sl, found).mapInArrow(_large(k, window, lengths, parts), RESULT)
+    return S.join_replies(sl, found).mapInArrow(_large(k, window, lengths, parts), RESULT + ", digest string")
 
 
 def reject_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, k: int = 5, limit: int = 16 << 20,
                         id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """The documents that share no window with the benchmark, with all their columns."""
+    """The rows whose text shares no window with the benchmark, with all their columns; only the text decides."""
     if (shared := _broadcast(benchmark, k, window, limit, item_id, item_text)) is None:
-        found = decontaminate(docs, benchmark, window, k, limit, id_col, text_col, item_id, item_text)
-        return S.keep_ids(docs, found.where("not contaminated").select("doc_id"), id_col)
+        rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+        found = _by_partitions(rows, benchmark, window, k, item_id, item_text)
+        clean = found.where("not contaminated").select(F.col("digest").alias("__digest"))
+        text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
+        return docs.withColumn("__digest", F.sha2(text, 256)).join(clean, "__digest", "left_semi").select(*docs.columns)
 
     def good():
         index = Index(*shared.value)

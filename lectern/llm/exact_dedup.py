@@ -6,19 +6,23 @@ most one row a task, however large it is).  These go to partitions by length
 and content hash, where the full byte strings enter a compressed radix trie;
 a terminal node holds the number of copies and the owner: the smallest or
 largest identifier.  A trie beyond ``memory`` bytes writes its heaviest subtree
-to a temporary file of the task, and ends that subtree's work afterwards.
+to a file in Spark's own scratch folders, as Spark's sorts do, and ends that
+subtree's work afterwards; the file goes with the task, and a task that is lost
+is run again.
 
-Owners are joined to the rows by length and SHA-256.  Two different texts with
-one SHA-256 would meet in one trie, which raises an error.
+Owners are joined to the rows by length and SHA-256.
 
 Defined cases: null counts as the empty text; null ids are counted and are the
 owner only if the whole group has none; rows with the owner's id (a repeated
-row) are all kept; other columns are not read.
+row) are all marked as kept by ``exact_groups``, and ``exact_dedup`` keeps one of
+them; rows of one id with different texts are different; an empty table gives an
+empty one; other columns are not read.
 """
 
 from __future__ import annotations
 
 import hashlib
+import os
 import pickle
 import tempfile
 
@@ -29,6 +33,9 @@ from pyspark.sql import functions as F
 from . import spool as S
 
 
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+
 class Node:
     __slots__ = ("label", "kids", "end")
 
@@ -126,7 +133,8 @@ class Trie:
             return
         byte = max(node.kids, key=lambda b: self._weight(node.kids[b]))
         kid = node.kids.pop(byte)
-        file = tempfile.TemporaryFile()
+        # Python workers find Spark's scratch folders here; a test outside Spark has none
+        file = tempfile.TemporaryFile(dir=next((d for d in os.environ.get("SPARK_LOCAL_DIRS", "").split(",") if os.path.isdir(d)), None))
         for entry in self._walk(kid, path + kid.label):
             pickle.dump(entry, file)
             self.ends -= 1
@@ -201,17 +209,7 @@ def _owners(largest: bool, memory: int):
         for b in batches:
             for body, n, who in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True):
                 trie.add(body, n, who)
-        seen: dict[bytes, bytes] = {}
-
-        def rows():
-            for text, n, who in trie.entries():
-                h = hashlib.sha256(text)
-                key = h.digest() + len(text).to_bytes(8, "little")
-                if key in seen:
-                    raise ValueError("two different texts have one SHA-256: " + h.hexdigest())
-                seen[key] = b""
-                yield len(text), h.digest(), None, n, who
-        yield from _chunks(rows())
+        yield from _chunks((len(text), hashlib.sha256(text).digest(), None, n, who) for text, n, who in trie.entries())
     return run
 
 
@@ -239,5 +237,7 @@ def exact_groups(docs: DataFrame, keep: str = "largest", id_col: str = "doc_id",
 
 
 def exact_dedup(docs: DataFrame, keep: str = "largest", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows that stay, with all their columns; of repeated rows of an id one, and all rows without an id."""
-    return S.keep_ids(docs, exact_groups(docs, keep, id_col, text_col).where("kept").select("doc_id"), id_col)
+    """One row of each group of equal texts, with all its columns: the owner's, and any one of rows that have its id and text."""
+    low = F.translate(F.coalesce(F.col(text_col).cast("string"), F.lit("")), UPPER, UPPER.lower())
+    kept = exact_groups(docs, keep, id_col, text_col).where("kept").select("doc_id", "text_sha256")
+    return S.keep_rows(docs, kept, F.sha2(low.cast("binary"), 256), id_col)

@@ -12,6 +12,7 @@ checkpoint, and later joins read that.
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 import numpy as np
@@ -19,7 +20,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text after which a slice is closed.  A longer document is a slice of its own.
@@ -32,11 +33,13 @@ _M1, _M2, _M3 = U64(0x9E3779B97F4A7C15), U64(0xBF58476D1CE4E5B9), U64(0x94D049BB
 # ---------------------------------------------------------------- session
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use spark.checkpoint.dir; set a folder only where it is unset (tests)."""
+    """Use spark.checkpoint.dir; where it is unset, a folder of this machine, and only if all tasks run on it."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
     path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path and not re.fullmatch(r"local(\[[^,]*\])?", sc.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     sc.setCheckpointDir(path or tempfile.mkdtemp(prefix="lectern-checkpoint-"))
 
 
@@ -126,14 +129,17 @@ def keep_where(docs: DataFrame, good, text_col: str = "text", limit: int = 1 <<
     return docs.mapInArrow(run, docs.schema)
 
 
-def keep_ids(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """One row of each id that ``ids`` has, with all its columns; rows without an id stay."""
-    wanted = ids.select(F.col(ids.columns[0]).alias("__wanted")).where("__wanted is not null")
-    kept = docs.join(wanted, docs[id_col] == F.col("__wanted"), "left_semi").dropDuplicates([id_col])
-    return kept.unionByName(docs.where(docs[id_col].isNull()))
+def keep_rows(docs: DataFrame, wanted: DataFrame, digest: Column, id_col: str = "doc_id") -> DataFrame:
+    """One row for each (id, digest) of ``wanted``, with all columns; rows are told apart by id and digest, and null is an id like others."""
+    key = ["__id", "__no_id", "__digest"]
+    who = F.col(id_col).cast("long")
+    marked = docs.withColumns({"__id": F.coalesce(who, F.lit(0)), "__no_id": who.isNull(), "__digest": digest})
+    a, b = (F.col(c) for c in wanted.columns)
+    wanted = wanted.select(F.coalesce(a.cast("long"), F.lit(0)).alias("__id"), a.isNull().alias("__no_id"), b.alias("__digest"))
+    return marked.join(wanted, key, "left_semi").dropDuplicates(key).select(*docs.columns)
 
 
-SLICE_SCHEMA = "slice_id long, ids array<long>, lens binary, body binary"
+SLICE_SCHEMA = "slice_id long, ids array<{}>, lens binary, body binary"
 
 
 def _cut(limit: int):
@@ -141,7 +147,7 @@ def _cut(limit: int):
         pid, seq, held, size = TaskContext.get().partitionId(), 0, [], 0
 
         def flush():
-            ids = pa.concat_arrays([t.ids.cast(pa.int64()) for t in held])
+            ids = pa.concat_arrays([t.ids for t in held])
             lens = np.concatenate([np.diff(t.off) for t in held]).astype("<i8")
             body = zstandard.ZstdCompressor(level=6).compress(b"".join(t.data.tobytes() for t in held))
             return pa.RecordBatch.from_arrays([
@@ -155,17 +161,17 @@ def _cut(limit: int):
                 yield flush()
                 seq, held, size = seq + 1, [], 0
             # a copy, as the batch's buffer must not outlive it
-            held.append(Texts(pa.array(t.ids.to_pylist(), pa.int64()), t.off, t.data.copy()))
+            held.append(Texts(pa.array(t.ids.to_pylist(), t.ids.type), t.off, t.data.copy()))
             size += len(t.data)
         if held:
             yield flush()
     return run
 
 
-def slices(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = SLICE_BYTES) -> DataFrame:
+def slices(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = SLICE_BYTES, id_type: str = "long") -> DataFrame:
     """The documents as slices, checkpointed."""
     ensure_checkpoint_dir(docs.sparkSession)
-    cut = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_cut(limit), SLICE_SCHEMA)
+    cut = docs.select(F.col(id_col).cast(id_type).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_cut(limit), SLICE_SCHEMA.format(id_type))
     return cut.checkpoint()
 
 

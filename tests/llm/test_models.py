@@ -115,6 +115,20 @@ def test_near_stage_takes_similarity_from_0_8(spark):
     assert sorted(r.doc_id for r in P.near(spark, df, SF).collect()) == list(range(0, 40, 2))
 
 
+def test_near_rows(spark, odd):
+    """The stage keeps one row of a component, and all rows without words; rows are judged, not ids."""
+    one, other = " ".join(f"w{i}" for i in range(60)), " ".join(f"v{i}" for i in range(60))
+    rows = [(1, one), (1, other), (1, one + " more"), (2, one.upper()), (3, other + " more"), (3, "quite apart from all the others"), (None, one), (None, "without an id it stays once"), (None, "without an id it stays once"), (4, ""), (4, None), (5, " \t\n")]
+    df = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, digest string, root int").repartition(3)
+    got = near_dedup.near_dedup(df)
+    assert got.columns == df.columns
+    kept = Counter((r.doc_id, r.text) for r in got.collect())
+    first = min((one, one + " more"), key=lambda t: hashlib.sha256(t.encode()).hexdigest())
+    assert kept == Counter([(1, first), (1, other), (3, "quite apart from all the others"), (None, "without an id it stays once"), (4, ""), (4, None), (5, " \t\n")])
+    got = near_dedup.near_dedup(odd)
+    assert got.columns == odd.columns and sorted((r.doc_id or -1) for r in got.collect()) == [-1, -1, 1, 2, 3, 4, 5, 7, 8, 9, 10]
+
+
 def test_near_empty(empty):
     assert near_dedup.near_duplicates(empty).count() == 0 and near_dedup.near_dedup(empty).count() == 0
 
