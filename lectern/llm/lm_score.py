@@ -23,8 +23,11 @@ A context that holds more than a quarter of a partition's share of all n-grams
 besides, and its counts come from a pre-aggregated table joined by the salt.
 The list of such contexts steers only that: counts are the same for any list.
 
-N-grams are known by a 64-bit hash of the context and a 32-bit hash of the word
-after it.
+A context is known by its partition, which the upper bits of its 64-bit hash
+give, and the lower 36 bits; the word after it by 28 bits.  So a row is a key of
+64 bits and its document, in one shuffle and one sort: both counts are windows
+of the sorted rows.  A document is known by its id, and by a hash of its text too
+if ids are null or one id has several texts (looked up first).
 
 Defined cases: null and empty texts have no words, score 0 and mean 0; words are
 taken as they stand; n-grams never cross documents; repeated rows count each and
@@ -44,6 +47,8 @@ from . import spool as S
 BACKOFF = 0.4
 #: Contexts that are dealt by a salt, at most, and items that the sketch which finds them tracks.
 HOT, TRACKED = 1000, 10_000
+#: Bits of a context in a key, and what is left for the word after it; 0 stands for the end.
+CONTEXT_BITS, WORD = 36, 1 << 28
 #: Texts of fewer words than a context up to which these n-grams are broadcast, 8 bytes each; more are joined by a shuffle.
 WANTED = 1 << 20
 
@@ -63,9 +68,9 @@ def _context(k: int) -> Column:
 
 
 def _places(docs: DataFrame, order: int, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, text_hash, w0.., head) of each place; head is the number of words at a text's first place, else 0.
+    """(doc_id, text_hash, w0.., at, head) of each place; head is the number of words at a text's first place, else 0.
 
-    A text without words has one place, of nulls; a text is known by its id and hash.
+    A text without words has one place, of nulls.
     """
     w = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("text_hash"), words(text_col).alias("w"))
     z = w.select("doc_id", "text_hash", F.size("w").alias("n"), F.posexplode_outer(_zipped(F.col("w"), order)).alias("at", "z"))
@@ -73,13 +78,14 @@ def _places(docs: DataFrame, order: int, id_col: str, text_col: str) -> DataFram
 
 
 def grams(docs: DataFrame, order: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text_hash, first, n, context, word): each context of order - 1 words and the word after it, null at the end.
+    """(doc_id, text_hash, n, context, word): each context of order - 1 words and the word after it, 0 at the end.
 
-    A text of fewer words has one row without a context; first marks a text's first row, which holds its number of words.
+    A text of fewer words has one row without a context.  n is the number of words in a text's first row, and 0 in others.
     """
     k = order - 1
     p = _places(docs, order, id_col, text_col).where(F.col(f"w{k - 1}").isNotNull() | (F.col("at") == 0))
-    return p.select("doc_id", "text_hash", (F.col("at") == 0).alias("first"), F.col("head").alias("n"), _context(k).alias("context"), F.when(F.col(f"w{k}").isNotNull(), F.hash(f"w{k}")).alias("word"))
+    word = F.when(F.col(f"w{k}").isNotNull(), F.pmod(F.hash(f"w{k}"), F.lit(WORD - 1)) + 1).otherwise(0)
+    return p.select("doc_id", "text_hash", F.col("head").alias("n"), _context(k).alias("context"), word.alias("word"))
 
 
 def hot_contexts(rows: DataFrame, parts: int) -> tuple[list[int], int, int]:
@@ -90,50 +96,59 @@ def hot_contexts(rows: DataFrame, parts: int) -> tuple[list[int], int, int]:
 
 
 def short_counts(docs: DataFrame, order: int, short: int, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, text_hash, first, n, below) of texts with fewer than order - 1 words; below counts the whole text as an n-gram of the corpus."""
+    """(doc_id, text_hash, n, below) of texts with fewer than order - 1 words; below counts the whole text as an n-gram of the corpus."""
     p = _places(docs, order, id_col, text_col)
     gram = [F.xxhash64(F.lit(j), *[f"w{i}" for i in range(j)]) for j in range(order - 1)]
     whole = F.coalesce(*[F.when(F.col(f"w{j - 1}").isNotNull(), gram[j]) for j in range(order - 2, 0, -1)])
-    texts = p.where(f"at = 0 and w0 is not null and w{order - 2} is null").select("doc_id", "text_hash", F.lit(True).alias("first"), F.col("head").alias("n"), whole.alias("gram"))
+    texts = p.where(f"at = 0 and w0 is not null and w{order - 2} is null").select("doc_id", "text_hash", F.col("head").alias("n"), whole.alias("gram"))
     wanted = texts.select("gram").distinct()
     if short <= WANTED:  # at most so many numbers of 8 bytes
         wanted = F.broadcast(wanted)
     every = p.select(F.explode(F.array(*[F.when(F.col(f"w{j - 1}").isNotNull(), gram[j]) for j in range(1, order - 1)])).alias("gram"))
     counts = every.join(wanted, "gram", "left_semi").groupBy("gram").agg(F.count(F.lit(1)).alias("below"))
-    return texts.join(counts, "gram").select("doc_id", "text_hash", "first", "n", "below")
+    return texts.join(counts, "gram").select("doc_id", "text_hash", "n", "below")
 
 
-def counted(rows: DataFrame, parts: int, hot: list[int]) -> DataFrame:
-    """The rows of ``grams`` with c, the count of context and word, and below, that of the context."""
-    def count(*key: str) -> Column:
-        return F.count(F.lit(1)).over(Window.partitionBy(*key))
+def counted(rows: DataFrame, parts: int, hot: list[int], who: list[str]) -> DataFrame:
+    """(who, n, end, c, below) for the rows of ``grams`` with a context; c counts context and word, below the context."""
     cold = rows.where(~F.col("context").isin(hot)) if hot else rows.where("context is not null")
-    out = cold.repartition(parts, "context").withColumn("c", count("context", "word")).withColumn("below", count("context"))
+    part = F.pmod(F.shiftrightunsigned("context", CONTEXT_BITS), F.lit(parts)).cast("int")
+    key = F.shiftleft(F.col("context").bitwiseAND(F.lit((1 << CONTEXT_BITS) - 1)), 64 - CONTEXT_BITS).bitwiseOR(F.col("word").cast("long"))
+    dealt = cold.select(*who, "n", part.alias("part"), key.alias("key")).repartitionById(parts, F.col("part"))
+    in_order = Window.partitionBy("part", F.shiftrightunsigned("key", 64 - CONTEXT_BITS)).orderBy("key")
+    out = dealt.select(*who, "n", (F.col("key").bitwiseAND(F.lit(WORD - 1)) == 0).alias("end"), F.count(F.lit(1)).over(in_order.rangeBetween(Window.currentRow, Window.currentRow)).alias("c"),
+                       F.count(F.lit(1)).over(in_order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("below"))
     if hot:
         some = rows.where(F.col("context").isin(hot))
-        c = some.groupBy("context", F.coalesce("word", F.lit(0)).alias("key"), F.col("word").isNull().alias("end")).agg(F.count(F.lit(1)).alias("c"))
+        c = some.groupBy("context", "word").agg(F.count(F.lit(1)).alias("c"))
         below = some.groupBy("context").agg(F.count(F.lit(1)).alias("below"))  # HOT rows at most
         table = c.join(F.broadcast(below), "context").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-        salted = some.withColumns({"key": F.coalesce("word", F.lit(0)), "end": F.col("word").isNull(), "salt": F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(parts)).cast("int")})
-        out = out.unionByName(salted.join(table, ["context", "key", "end", "salt"]).select(*out.columns))
+        salted = some.withColumn("salt", F.pmod(F.xxhash64(*who), F.lit(parts)).cast("int"))
+        out = out.unionByName(salted.join(table, ["context", "word", "salt"]).select(*who, "n", (F.col("word") == 0).alias("end"), "c", "below"))
     return out
 
 
+def known_by(docs: DataFrame, id_col: str, text_col: str) -> list[str]:
+    """The columns that tell texts apart: the id, and a hash of the text if ids are null or have several texts."""
+    ids = docs.groupBy(F.col(id_col).cast("long").alias("doc_id")).agg(*[f(F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))).alias(f.__name__) for f in (F.min, F.max)])
+    return ["doc_id", "text_hash"] if ids.where("doc_id is null or min <> max").limit(1).count() else ["doc_id"]
+
+
 def lm_score(docs: DataFrame, order: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The sum and the mean of the log scores of each document's words, counted over all documents."""
     if order < 2:
         raise ValueError("an order from 2 on")
-    parts = S.n_parts(docs)
+    parts, who = S.n_parts(docs), known_by(docs, id_col, text_col)
     rows = grams(docs, order, id_col, text_col)
     hot, total, short = hot_contexts(rows, parts)
     head = F.log("below") - math.log(max(total, 1))
-    logs = F.when(F.col("word").isNotNull(), F.log("c") - F.log("below")).otherwise(0.0) + F.when(F.col("first"), head).otherwise(0.0)
-    known = counted(rows, parts, hot).select("doc_id", "text_hash", "first", "n", logs.alias("log"))
-    known = known.unionByName(rows.where("context is null and n = 0").select("doc_id", "text_hash", "first", "n", F.lit(0.0).alias("log")))
+    logs = F.when(F.col("end"), 0.0).otherwise(F.log("c") - F.log("below")) + F.when(F.col("n") > 0, head).otherwise(0.0)
+    known = counted(rows, parts, hot, who).select(*who, "n", (F.col("n") > 0).cast("int").alias("first"), logs.alias("log"))
+    known = known.unionByName(rows.where("context is null and n = 0").select(*who, "n", F.lit(1).alias("first"), F.lit(0.0).alias("log")))
     if short:
-        known = known.unionByName(short_counts(docs, order, short, id_col, text_col).select("doc_id", "text_hash", "first", "n", head.alias("log")))
-    by_text = known.groupBy("doc_id", "text_hash").agg(F.max("n").alias("n"), F.count_if("first").alias("copies"), F.sum("log").alias("log"))
-    each = by_text.select("doc_id", F.col("n").cast("long").alias("n_words"), (F.col("log") / F.col("copies")).alias("log_score"), F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
+        known = known.unionByName(short_counts(docs, order, short, id_col, text_col).select(*who, "n", F.lit(1).alias("first"), head.alias("log")))
+    by_text = known.groupBy(*who).agg(F.max("n").alias("n"), F.sum("first").alias("copies"), F.sum("log").alias("log"))
+    each = by_text.select("doc_id", F.col("n").cast("long").alias("n_words"), (F.col("log") / F.col("copies")).alias("log_score"), F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
     return each.select("doc_id", "n_words", "log_score", (F.col("log_score") / F.greatest(F.col("n_words"), F.lit(1))).alias("mean_log_score"))
 
 
