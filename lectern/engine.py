@@ -91,11 +91,14 @@ class Library:
         return cls(spark, *tables, embed, c)
 
     @classmethod
-    def build(cls, spark: SparkSession, books: DataFrame, config: EngineConfig | None = None, embed: Embedder | None = None, cfg: chunk.ChunkConfig | None = None) -> Library:
-        """Clean, cut, embed and write books (book_id, ..., content)."""
+    def build(cls, spark: SparkSession, books: DataFrame, config: EngineConfig | None = None, embed: Embedder | None = None, cfg: chunk.ChunkConfig | None = None, apply_long_s: bool = True, lexicon: DataFrame | None = None) -> Library:
+        """Clean, cut, embed and write books (book_id, ..., content).
+
+        apply_long_s repairs words by the lexicon (word, freq); without one, by that of the books' paragraphs.
+        """
         c, embed = config or EngineConfig(), embed or hashed_embedder()
         usable = books.where("content is not null and length(trim(content)) > 0")
-        paras = clean.paragraphs(usable.withColumnRenamed("content", "body"))
+        paras = clean.paragraphs(usable.withColumnRenamed("content", "body"), apply_long_s=apply_long_s, lexicon=lexicon)
         books.drop("content").write.mode("overwrite").parquet(f"{c.folder}/books")
         # the id is a function of book and number, so that a repeated build gives the same
         (chunk.chunks(paras, "book_id", cfg).withColumn("id", F.col("book_id") * 1_000_000 + F.col("chunk_index")).write.mode("overwrite").parquet(f"{c.folder}/passages"))

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from . import longs
 
 #: Lines in which the start of the content is sought, lines of its window, and prose lines that it needs.
 SEARCH, WINDOW, NEEDED = 600, 8, 5
@@ -56,13 +57,22 @@ def joined_lines(pieces):
     return F.translate(text, _SEAM, " ")
 
 
-def paragraphs(bodies: DataFrame, key: str = "book_id", body: str = "body", trim_front: bool = True) -> DataFrame:
-    """(key, para_no, text, char_start, char_end): runs of lines from the content start that are neither blank nor noise."""
+def paragraphs(bodies: DataFrame, key: str = "book_id", body: str = "body", trim_front: bool = True, apply_long_s: bool = False, lexicon: DataFrame | None = None) -> DataFrame:
+    """(key, para_no, text, char_start, char_end): runs of lines from the content start that are neither blank nor noise.
+
+    apply_long_s: words in which an f was read for a long s are repaired, by the lexicon
+    (word, freq) if one is given, else by that of the paragraphs themselves; there is a
+    column ``long_s`` of the words that changed then.
+    """
     rows = started(flagged(lines(bodies, key, body)), key).where("not blank and not noise")
     runs = ((rows.where("line_no >= start") if trim_front else rows).groupBy(key, "_group")
             .agg(F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("_lines"), F.min("char_start").alias("char_start"), F.max("char_end").alias("char_end")))
     out = runs.withColumn("text", joined_lines(F.transform("_lines", lambda x: x["line"]))).where(T.strip("text") != "")
-    return out.select(key, (F.row_number().over(W.partitionBy(key).orderBy("_group")) - 1).alias("para_no"), "text", "char_start", "char_end")
+    out = out.select(key, (F.row_number().over(W.partitionBy(key).orderBy("_group")) - 1).alias("para_no"), "text", "char_start", "char_end")
+    if not apply_long_s:
+        return out
+    fixed = longs.corrected(out, longs.lexicon_of(out) if lexicon is None else lexicon, [key, "para_no"])
+    return fixed.withColumnRenamed("changed", "long_s").select(*out.columns, "long_s")
 
 
 def clean_stats(bodies: DataFrame, key: str = "book_id", body: str = "body") -> DataFrame:

@@ -56,22 +56,26 @@ def corrections(tokens: DataFrame, lexicon: DataFrame, token: str = "token") ->
     return out.where("fixed is not null and fixed <> " + token)
 
 
-def corrected(texts: DataFrame, lexicon: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, text, changed): every word repaired in its case; what stands between words is untouched.
+def corrected(texts: DataFrame, lexicon: DataFrame, key: str | list[str] = "doc_id", text: str = "text") -> DataFrame:
+    """The rows with ``text`` repaired word by word, in its case, and ``changed``; what stands between words is untouched.
 
-    Words with an f go to the corrections table and back as a map for each text, so the lexicon is joined, never sent whole.
+    key tells rows apart.  Distinct words with an f are looked up once each in the lexicon,
+    which is joined and never sent whole; the repairs go back to the rows that hold such a
+    word as a map for each.  A null text becomes empty.
     """
-    low = texts.select(key, F.explode(F.array_distinct(F.filter(F.regexp_extract_all(F.lower(text), F.lit(_WORD), F.lit(0)), lambda w: w.contains("f")))).alias("token"))
-    fixes = low.join(corrections(low, lexicon), "token").groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("token", "fixed"))).alias("fixes"))
-    rows = texts.join(fixes, key, "left")
+    keys = [key] if isinstance(key, str) else key
+    pairs = (texts.select(*keys, F.explode(F.array_distinct(F.filter(F.regexp_extract_all(F.lower(text), F.lit(_WORD), F.lit(0)), lambda w: w.contains("f")))).alias("token")))
+    fixes = pairs.join(corrections(pairs, lexicon), "token").groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("token", "fixed"))).alias("_fixes"))
+    rows = texts.join(fixes, keys, "left")
     words, gaps = F.regexp_extract_all(text, F.lit(_WORD), F.lit(0)), F.split(text, _WORD)
 
     def repair(w: Column) -> Column:
-        return F.coalesce(T.match_case(F.element_at("fixes", F.lower(w)), w), w)
-    rows = rows.withColumn("_w", words).withColumn("_r", F.when(F.col("fixes").isNull(), F.col("_w")).otherwise(F.transform("_w", repair)))
+        return F.coalesce(T.match_case(F.element_at("_fixes", F.lower(w)), w), w)
+    rows = rows.withColumn("_w", words).withColumn("_r", F.when(F.col("_fixes").isNull(), F.col("_w")).otherwise(F.transform("_w", repair)))
     out = F.array_join(F.zip_with(gaps, F.concat("_r", F.array(F.lit(""))), lambda g, w: F.concat(g, w)), "")
     changed = F.size(F.filter(F.zip_with("_w", "_r", lambda a, b: a != b), lambda x: x))
-    return rows.select(key, F.coalesce(out, F.lit("")).alias("text"), F.coalesce(changed, F.lit(0)).alias("changed"))
+    return rows.select(*[F.coalesce(F.when(F.col("_fixes").isNull(), F.col(text)).otherwise(out), F.lit("")).alias(c) if c == text else F.col(c) for c in texts.columns],
+                       F.when(F.col("_fixes").isNull(), 0).otherwise(F.coalesce(changed, F.lit(0))).alias("changed"))
 
 
 def unresolved(texts: DataFrame, lexicon: DataFrame, n: int = 30, text: str = "text") -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import chunk, clean
-from .base import noise, prose, strip, table, tokens
+from .base import lexicon_ctes, long_s_ctes, noise, prose, strip, table, tokens
 
 #: Bodies with short lines, blank lines and hyphens at line ends, from documents.
 _BODY = "replace(replace(replace(text, '. ', '.\n'), 'tion ', 'ti-\non '), 'and the', 'and\n\nthe')"
@@ -77,9 +77,10 @@ def split_sentences(spark, sf):
 
 
 def process_body(spark, sf):
-    """The whole path from bodies to passages, counted by book."""
-    c = chunk.chunks(clean.paragraphs(_bodies(spark, sf)))
-    return c.groupBy("book_id").agg(F.count("*").alias("chunks"), F.sum("n_tokens").alias("tokens"), F.min("char_start").alias("first"), F.max("char_end").alias("last"))
+    """The whole path from bodies to passages, long s and all, counted by book."""
+    c = chunk.chunks(clean.paragraphs(_bodies(spark, sf), apply_long_s=True))
+    return c.groupBy("book_id").agg(F.count("*").alias("chunks"), F.sum("n_tokens").alias("tokens"), F.min("char_start").alias("first"), F.max("char_end").alias("last"),
+                                    F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_index", "text"))), lambda x: x["text"]), "|"), 256).alias("text_sha"))
 
 
 _FLAGGED = f"SELECT book_id, line_no, line, noise, blank, prose FROM (SELECT doc_id AS book_id, line_no, line, {noise('line')} AS noise, {strip('line')} = '' AS blank, {prose('line')} AS prose FROM ({_LINES.format(body=_BODY)}))"
@@ -92,6 +93,36 @@ p AS (SELECT book_id, g, min(a) AS char_start, max(a + length(line)) AS char_end
   string_agg(regexp_replace(""" + strip("line") + r""", '[ \t]+', ' ', 'g'), chr(1) ORDER BY line_no) AS j FROM k WHERE NOT blank AND NOT noise GROUP BY book_id, g),
 q AS (SELECT *, translate(regexp_replace(j, '([A-Za-z])-' || chr(1) || '(\p{Ll})', '\1\2', 'g'), chr(1), ' ') AS text FROM p)"""
 
+
+
+def _packed(paras: str) -> str:
+    """CTEs that end with c(book, chunk_index, a, b, text), from p0(book, para_no, text, a, b); one step of the recursion for each unit."""
+    cut = r"string_split(regexp_replace(text, '([.!?])[ \t\n\x0B\f\r]+([A-Z])', '\1' || chr(1) || '\2', 'g'), chr(1))"
+    return f"""p0 AS MATERIALIZED ({paras}),
+p1 AS (SELECT *, {tokens('text')} AS n FROM p0),
+u0 AS (SELECT book, para_no, 0 AS part, text, a, b, n, NULL AS long FROM p1 WHERE n <= 480 UNION ALL
+  SELECT book, para_no, part, l[part] AS text, a, b, {tokens('l[part]')} AS n, para_no AS long FROM (SELECT *, unnest(range(1, len(l) + 1)) AS part FROM (SELECT *, {cut} AS l FROM p1 WHERE n > 480))),
+u AS MATERIALIZED (SELECT *, row_number() OVER w AS k, CAST(sum(n) OVER w AS BIGINT) AS upto FROM u0 WINDOW w AS (PARTITION BY book ORDER BY para_no, part)),
+g AS (SELECT x.book, x.k, coalesce(min(y.k), x.k + 1) AS g, coalesce(min(y.upto - y.n), x.upto) AS gbase
+  FROM u x LEFT JOIN u y ON y.book = x.book AND y.k BETWEEN x.k - 60 AND x.k AND x.upto - y.upto + y.n <= 60 GROUP BY x.book, x.k, x.upto),
+v AS MATERIALIZED (SELECT u.book, u.k, u.long, u.upto, u.n, g.g, g.gbase FROM u JOIN g USING (book, k)),
+r AS (WITH RECURSIVE r AS (
+  SELECT book, k, long, upto, upto - n AS base, k AS first, g, gbase, NULL::BIGINT AS e FROM v WHERE k = 1
+  UNION ALL
+  SELECT book, k, long, upto, CASE WHEN NOT cut THEN base WHEN fresh THEN upto - n ELSE greatest(base, obase) END, CASE WHEN NOT cut THEN first WHEN fresh THEN k ELSE greatest(first, og) END, g, gbase, CASE WHEN cut THEN first END
+  FROM (SELECT x.*, r.first, r.base, r.g AS og, r.gbase AS obase, x.long IS DISTINCT FROM r.long OR x.long IS NOT NULL AS fresh,
+      x.long IS DISTINCT FROM r.long OR (x.upto - r.base > 400 AND (x.long IS NOT NULL OR r.upto - r.base >= 80)) AS cut
+    FROM r JOIN v x ON x.book = r.book AND x.k = r.k + 1)) SELECT * FROM r),
+e AS (SELECT book, e AS first, k - 1 AS last FROM r WHERE e IS NOT NULL UNION ALL SELECT book, arg_max(first, k), max(k) FROM r GROUP BY book),
+c AS (SELECT e.book, e.first, row_number() OVER (PARTITION BY e.book ORDER BY e.last) - 1 AS chunk_index, min(u.a) AS a, max(u.b) AS b,
+    replace(string_agg(u.text, chr(1) ORDER BY u.k), chr(1), CASE WHEN count(u.long) = 0 THEN chr(10) || chr(10) ELSE ' ' END) AS text
+  FROM e JOIN u ON u.book = e.book AND u.k BETWEEN e.first AND e.last GROUP BY e.book, e.first, e.last)"""
+
+
+_LINE_PARAS = f"""SELECT doc_id AS book, line_no AS para_no, line AS text, CAST(e - length(line) - 1 AS BIGINT) AS a, CAST(e - 1 AS BIGINT) AS b FROM (
+  SELECT *, sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS e FROM ({_LINES.format(body='text')})) WHERE line <> ''"""
+_CHUNKS = f"WITH {_packed(_LINE_PARAS)} SELECT book AS doc_id, chunk_index, a AS char_start, b AS char_end, CAST({tokens('text')} AS BIGINT) AS n_tokens, sha256(text) AS text_sha FROM c"
+
 QUERIES = {f.__name__: f for f in (doc_lines_offsets, noise_lines, prose_lines, content_start, paragraphs, dehyphenate, clean_stats, token_estimate,
                                    chunks_packed, chunks_by_book, chunk_len_stats, split_sentences, process_body)}
 SQL = {
@@ -104,6 +135,11 @@ SQL = {
 t AS (SELECT doc_id, translate(regexp_replace(j, '([A-Za-z])-' || chr(1) || '(\p{{Ll}})', '\1\2', 'g'), chr(1), ' ') AS text FROM j) SELECT doc_id, sha256(text) AS text_sha, length(text) AS n FROM t""",
     "clean_stats": _PARAS + """ SELECT f.book_id, count(*) AS total_lines, count(*) FILTER (blank) AS blank_lines, count(*) FILTER (noise AND line_no >= start) AS noise_removed, max(start) AS content_start,
   coalesce((SELECT count(*) FROM q WHERE q.book_id = f.book_id), 0) AS paragraphs FROM f JOIN st USING (book_id) GROUP BY f.book_id""",
+    "chunks_packed": _CHUNKS, "chunks_by_book": _CHUNKS,
+    "chunk_len_stats": f"WITH {_packed(_LINE_PARAS)} SELECT CAST(min(n) AS BIGINT) AS least, CAST(sum(n) // count(*) AS BIGINT) AS mean, CAST(max(n) AS BIGINT) AS most, count(*) AS chunks FROM (SELECT {tokens('text')} AS n FROM c)",
+    "process_body": _PARAS + f""", z AS (SELECT book_id, row_number() OVER (PARTITION BY book_id ORDER BY g) - 1 AS para_no, char_start, char_end, text FROM q), {lexicon_ctes('z')}, {long_s_ctes('z', 'book_id, para_no')},
+{_packed('SELECT z.book_id AS book, z.para_no, fixed.text, CAST(char_start AS BIGINT) AS a, CAST(char_end AS BIGINT) AS b FROM z JOIN fixed USING (book_id, para_no)')}
+SELECT book AS book_id, count(*) AS chunks, CAST(sum({tokens('text')}) AS BIGINT) AS tokens, min(a) AS first, max(b) AS last, sha256(string_agg(text, '|' ORDER BY chunk_index)) AS text_sha FROM c GROUP BY book""",
     "token_estimate": f"SELECT doc_id, {tokens('text')} AS n_tokens FROM documents",
     "split_sentences": r"""WITH t AS (SELECT doc_id, string_split(regexp_replace(text, '([.!?])[ \t\n\x0B\f\r]+([A-Z])', '\1' || chr(1) || '\2', 'g'), chr(1)) AS s FROM documents)
 SELECT doc_id, CAST(len(s) AS BIGINT) AS n, list_max(list_transform(s, lambda x: length(x))) AS longest FROM t""",

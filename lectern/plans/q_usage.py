@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import longs, usage
 from ..streaming import jobs
-from .base import table
+from .base import CANDIDATES, lexicon_ctes, long_s_ctes, table
 
 
 def _events(spark, sf):
@@ -224,6 +224,9 @@ QUERIES = {f.__name__: f for f in (
     monthly_usage, usage_default_zero, users_overview, valid_keys, quota_precheck, rate_limiter, rate_limiter_fold, quota_admission, submission_state, duplicate_submissions, single_use_codes, rotation_latest, recent_three_status_union,
     partial_update, expiry_filter, redirect_allowed, fix_long_s_text, fix_long_s_candidates, lexicon, unresolved_tokens_topn, stream_usage, stream_windowed_usage, stream_rate_limiter, stream_submission_state, stream_resumable_chunks, stream_postings,
     stream_query_batch)}
+#: English documents in which every s before a letter is an f, and the lexicon of the documents as they were; each second s of a run needs the second round.
+_LONG_S = "d AS (SELECT doc_id, text FROM documents WHERE lang = 'en'), x AS (SELECT doc_id, regexp_replace(regexp_replace(text, 's([a-z])', 'f\\1', 'g'), 's([a-z])', 'f\\1', 'g') AS text FROM d), " + lexicon_ctes("d")
+
 SQL = {
     "monthly_usage": "SELECT user_id, strftime(ts, '%Y-%m') AS period, count(*) AS count FROM events GROUP BY 1, 2",
     "usage_default_zero": "SELECT c_custkey AS user_id, (SELECT count(*) FROM events e WHERE e.user_id = c_custkey AND e.user_id % 2 = 0 AND strftime(ts, '%Y-%m') = '2024-01') AS count FROM customer",
@@ -246,5 +249,9 @@ SELECT user_id, o.id AS event_id, o.ok AS admitted FROM (SELECT user_id, unnest(
     "stream_windowed_usage": "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2",
     "stream_postings": f"SELECT term, count(DISTINCT doc_id) AS df, count(*) AS cf FROM {_TERMS} GROUP BY term HAVING count(DISTINCT doc_id) >= 50",
     "stream_query_batch": _TOP,
+    "fix_long_s_text": f"WITH {_LONG_S}, {long_s_ctes('x', 'doc_id')} SELECT doc_id, sha256(text) AS h, changed FROM fixed",
+    "fix_long_s_candidates": f"WITH {_LONG_S}, t AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[A-Za-z]+')) AS token FROM x) " + CANDIDATES.format(t="t"),
+    "unresolved_tokens_topn": f"""WITH {_LONG_S} SELECT token, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '[A-Za-z]+')) AS token FROM x)
+WHERE token LIKE '%f%' AND length(token) >= 4 AND token NOT IN (SELECT word FROM lex) GROUP BY token ORDER BY n DESC, token LIMIT 30""",
     "lexicon": "SELECT word, count(*) AS freq FROM (SELECT unnest(regexp_extract_all(lower(text), '[A-Za-z]+')) AS word FROM documents) GROUP BY word HAVING count(*) >= 20",
 }
