@@ -8,23 +8,26 @@ and match nothing.  Words are scaled by a norm that depends on their length.
 
 Landmark words are drawn from the training rows; Nystroem features are the
 kernel with the landmarks, whitened by the kernel among these.  A linear machine
-with squared hinge loss learns from labelled sentences, each of which stands for
-the word in it that scores highest: words of clean documents are negative, and
-in a toxic document the words at the margin and the highest one are positive,
-chosen again after each fit.  As the machine is linear in kernel values, its
-weights are folded into one table of letter sequences, and scoring a word needs
-no landmark.
-
-A document's score is a logistic of its highest and second highest word and of
-the number of sentences, fitted to the share of toxic labels.
-
-Only the machine is fitted on a sample, of ``rows`` labelled documents a class
-at most and ``letters`` letters of each; every text is scored whole.
+with squared hinge loss learns words.  Only whole documents are labelled, so a
+word stands for a sentence and the labels of sentences are found along with the
+machine: words of clean documents are negative, words that many more toxic
+documents hold than clean ones are positive, and after each fit so are the words
+of toxic documents half-way to the margin.  As the machine is linear in kernel
+values, its weights are folded into one table of letter sequences, and scoring a
+word needs no landmark.
+
+A document's score is a logistic of its highest and second highest word, from the
+boundary to the margin, and of its number of sentences, fitted to the share of
+toxic labels.
+
+Only the machine is fitted on a sample, of ``rows`` whole labelled documents a
+class at most, drawn by hash, and in the order of the hashes until these have
+``budget`` bytes.  Every text is scored whole.
 
 Defined cases: null and empty texts have no sentence and get the score of a
 sentence without words; null labels are left out; with one class only all
-scores are its share; repeated rows get a row each; null ids stay null; other
-columns are not read.
+scores are its share; repeated rows get a row each; null ids stay null; an empty
+table gives an empty one; other columns are not read.
 """
 
 from __future__ import annotations
@@ -33,7 +36,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import spool as S
@@ -41,8 +44,8 @@ from . import spool as S
 #: Weight of each place that an occurrence spans, and the most places.
 DECAY, SPAN = 0.8, 7
 LETTERS = 32
-#: Landmarks that tell classes apart, and others.
-TELLING, OTHERS = 260, 140
+#: Landmarks that tell classes apart, others, and clean words that a first machine takes for toxic ones.
+TELLING, OTHERS, HARD = 260, 140, 200
 RIDGE, ROUNDS = 2e-5, 4
 #: Clean words that a fit sees.
 WORDS = 30_000
@@ -52,7 +55,7 @@ CODES = np.zeros(256, np.uint8)
 for _i, _c in enumerate(b"abcdefghijklmnopqrstuvwxyz"):
     CODES[_c] = CODES[_c - 32] = 1 + _i
 CODES[0x30:0x3A] = 27
-CODES[0x80:0xC0] = 28 + np.arange(64) % 3
+CODES[0x80:0xC0] = 28 + np.arange(64) % 32 % 3  # Latin letters with marks are alike in either case
 CODES[0xC0:] = 31
 
 _OFFSETS = [(i, j, k) for k in range(3, SPAN) for j in range(2, k) for i in range(1, j)]
@@ -243,8 +246,8 @@ def two_highest(s: np.ndarray, bounds: np.ndarray, none: float) -> np.ndarray:
 
 
 def seen(two: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """What the logistic sees: the two, and the logarithm of the number of sentences."""
-    return np.concatenate([two, np.log1p(np.diff(bounds))[:, None]], 1)
+    """What the logistic sees: the two, from the boundary to the margin, and the logarithm of the number of sentences."""
+    return np.concatenate([np.clip(two, 0, 1), np.log1p(np.diff(bounds))[:, None]], 1)
 
 
 def score(model: Model, t: S.Texts) -> np.ndarray:
@@ -287,7 +290,18 @@ def machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray, start: np.ndarray
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, share: float) -> np.ndarray:
-    """Weights of 1 and the columns of x, as if class 1 had this share of the rows."""
+    """Weights of 1 and the columns of x, as if class 1 had this share of the rows.
+
+    A higher word never lowers a score: where the two highest words together would have it
+    so, the second one, which mostly repeats the first, is left out.
+    """
+    v = _newton(x, y, share)
+    if v[1] < 0 or v[2] < 0:
+        v = np.insert(_newton(x[:, [0, 2]], y, share), 2, 0.0)
+    return v
+
+
+def _newton(x: np.ndarray, y: np.ndarray, share: float) -> np.ndarray:
     w = np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean()))
     x = np.concatenate([np.ones((len(x), 1)), x], 1)
     v = np.zeros(x.shape[1])
@@ -317,7 +331,7 @@ def apart(t: S.Texts) -> list[int]:
 
 
 def landmarks(uniq: np.ndarray, size: np.ndarray, back: np.ndarray, doc: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(landmarks, words that many more toxic documents hold than clean ones) among the different words."""
+    """(landmarks, words that tell: that many more toxic documents hold than clean ones, in number and in share) among the different words."""
     seen = np.unique(back * len(y) + doc)
     bad = np.bincount(seen // len(y), weights=y[seen % len(y)], minlength=len(uniq))
     good = np.bincount(seen // len(y), minlength=len(uniq)) - bad
@@ -325,7 +339,7 @@ def landmarks(uniq: np.ndarray, size: np.ndarray, back: np.ndarray, doc: np.ndar
     ok = (size >= 4) & (size <= 24)
     # so many documents that hardly a word is in toxic ones alone by chance
     least = max(2, np.ceil(7.6 / -np.log(y.mean())))
-    sure = ok & (bad >= least) & (odds > np.log(6))
+    sure = ok & (bad >= least) & (odds > np.log(6)) & (bad >= 3 * good)
     telling = np.argsort(-np.where(sure, odds, -np.inf), kind="stable")[:TELLING]
     rest = np.argsort(np.where(ok, uniq, ~S.U64(0)), kind="stable")[:OTHERS]
     return np.unique(np.concatenate([telling[sure[telling]], rest[ok[rest]]])), sure
@@ -346,14 +360,18 @@ def train(texts: list[str], y: np.ndarray, share: float) -> Model:
     marks_at, sure = landmarks(uniq, w.size[pick], back, doc, y)
     if not len(marks_at) or not sure.any():
         return Model(empty, 0.0, np.zeros(4), share)
-    column, marks, among = landmark_table([t.data[w.start[i]:w.start[i] + w.size[i]].tobytes() for i in pick[marks_at].tolist()])
-    value, vector = np.linalg.eigh(among.astype(float) + 1e-6 * np.eye(len(among)))
-    white = vector / np.sqrt(np.maximum(value, 1e-4))  # Nystroem features of a word: its kernel row times this
     toxic = y[doc] == 1
     clean = np.zeros(len(uniq), bool)
     clean[back[~toxic]] = True
-    positive, f, v = sure & ~clean if (sure & ~clean).any() else sure, np.zeros(len(uniq)), None
-    for _ in range(ROUNDS):
+    clean &= ~sure  # a word that tells does so in a document with a wrong label too
+    positive, f, v = sure, np.zeros(len(uniq)), None
+    for turn in range(ROUNDS):
+        if turn < 2:  # the second time with the clean words that are mistaken most
+            hard = np.argsort(np.where(clean & ~positive, -f, np.inf), kind="stable")[:HARD * turn]
+            marks_at, v = np.unique(np.concatenate([marks_at, hard[f[hard] > 0]])), None
+            column, marks, among = landmark_table([t.data[w.start[i]:w.start[i] + w.size[i]].tobytes() for i in pick[marks_at].tolist()])
+            value, vector = np.linalg.eigh(among.astype(float) + 1e-6 * np.eye(len(among)))
+            white = vector / np.sqrt(np.maximum(value, 1e-4))  # Nystroem features of a word: its kernel row times this
         # all positives, the clean words that score highest, and some others
         some = np.argsort(np.where(clean & ~positive, -f, np.inf) + (uniq >> S.U64(40)) / 2.0**40, kind="stable")[:min(WORDS, int((clean & ~positive).sum()))]
         use = np.sort(np.concatenate([np.flatnonzero(positive), some]))
@@ -364,11 +382,10 @@ def train(texts: list[str], y: np.ndarray, share: float) -> Model:
         v = machine(x, np.where(positive[use], 1.0, -1.0), np.where(positive[use], len(use) / positive.sum() / 4, 1.0), v)
         table = (marks @ (white @ v[:-1]).astype(np.float32))[np.minimum(column, len(marks) - 1)].astype(np.float32)
         f = pick_scores(t, w, pick, table) + v[-1]
-        best = np.full(len(t), -np.inf)
-        np.maximum.at(best, doc[toxic], f[back[toxic]])
+        # what stands for the sentences of toxic documents: the words half-way to the margin
         positive = np.zeros(len(uniq), bool)
-        positive[back[toxic][f[back[toxic]] >= np.minimum(best[doc[toxic]], 0.5) - 1e-9]] = True
-        positive = positive & ~clean if (positive & ~clean).any() else positive
+        positive[back[toxic][f[back[toxic]] >= 0.5]] = True
+        positive = (positive & ~clean) | sure
     two = two_highest(f[back], w.doc, float(v[-1]))
     return Model(table, float(v[-1]), fit_logistic(seen(two, bounds), y.astype(float), share), None)
 
@@ -380,16 +397,18 @@ def _score(shared):
     return run
 
 
-def learn(docs: DataFrame, labels: DataFrame, train_on=None, label_col: str = "toxic", rows: int = 2500, letters: int = 4000, id_col: str = "doc_id", text_col: str = "text") -> Model:
+def learn(docs: DataFrame, labels: DataFrame, train_on=None, label_col: str = "toxic", rows: int = 2500, budget: int = 64 << 20, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """The machine, from labels for which ``train_on``, a Column, holds."""
     known = (labels if train_on is None else labels.where(train_on)).select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label")).where("label in (0, 1)")
     sample = None
     for k in (0, 1):  # a bounded sample of each class, drawn by hash
         part = known.where(F.col("label") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
         sample = part if sample is None else sample.unionByName(part)
-    text = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    got = (text.join(F.broadcast(sample), "doc_id").select("doc_id", "label", F.substring(F.coalesce("text", F.lit("")), 1, letters).alias("text"))
-           .orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(4 * rows).collect())
+    text = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    order = [F.xxhash64("doc_id"), "doc_id", "text", "label"]
+    drawn = text.join(F.broadcast(sample), "doc_id").select("doc_id", "label", "text").orderBy(*order).limit(4 * rows)  # ids may be repeated
+    upto = F.sum(F.octet_length("text").cast("long")).over(Window.orderBy(*order))  # one task, of so many rows at most
+    got = drawn.withColumn("upto", upto).where(F.col("upto") <= budget).collect()
     share = known.agg(F.avg("label").alias("share")).first().share
     return train([r.text for r in got], np.array([r.label for r in got], int), 0.5 if share is None else float(share))
 

@@ -173,6 +173,12 @@ def test_toxicity_held_out(spark):
     assert clean > 0.97 and toxic > 0.9
 
 
+def test_toxicity_of_few_labels(spark):
+    """39 toxic training documents; 9 of the 14 held out hold one of the words that these share."""
+    clean, toxic = accuracy(spark, "op8_toxicity", "toxic", 4, 2, SF)
+    assert clean > 0.97 and toxic > 0.6
+
+
 def test_scores_of_odd_rows(spark, odd, empty):
     labels = spark.createDataFrame([(1, 0, 1), (2, 1, 0), (4, None, None), (5, 1, 1), (7, 0, 0), (8, 1, 0), (9, 0, 1), (None, 1, 1)], "doc_id long, quality int, toxic int")
     none = labels.limit(0)
