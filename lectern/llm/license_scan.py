@@ -1,29 +1,34 @@
 """Operator 10: licence scans by a trained paragraph classifier.
 
-A paragraph is a line.  Its words and pairs of words are hashed into a sparse
-vector, and a multinomial logistic regression gives the probabilities of the
-licence families and of ``unknown``.  It is trained on variants of the template
-sentences below (words left out, put in, cut off at either end) against
-paragraphs of a bounded sample of the documents and mixed words of the
-templates.  A temperature, fitted on variants that training did not see, keeps
-the probabilities honest.  A paragraph that gets a family with CONFIDENT
-probability is then compared with the templates of that family: most words of
-one must occur in it, in order.
-
-Scoring sums one row of weights for each word and pair, so its cost does not
-depend on the templates.
-
-Defined cases: null and empty texts have no paragraphs and no licence; blank
-lines are no paragraphs; a paragraph that repeats counts each time; an empty
-table trains on the templates alone; null ids stay null; other columns are not
-read.
+A paragraph is a run of lines without a blank one between them.  It is read in
+segments: each of its lines, and windows of WINDOW words, a quarter of that
+apart, over its lines as one text, so that a notice is found whether it stands
+on a line, is wrapped over several or is part of a long one.  The words and pairs
+of words of a segment are hashed into a sparse vector, and a multinomial logistic
+regression gives the probabilities of the licence families and of ``unknown``.
+It is trained on variants of the template sentences below (words left out, put
+in, cut off at either end) against segments of a bounded sample of the documents
+and mixed words of the templates.  A temperature, fitted on variants that
+training did not see, keeps the probabilities honest.  A segment that gets a
+family with CONFIDENT probability is then compared with the templates of that
+family: most words of one must occur in order in it and a window's length around
+it, within the paragraph.
+
+Scores are differences of running totals of weights, so their cost does not
+depend on the templates or on how windows overlap.
+
+Defined cases: null and empty texts have no paragraphs and no licence; lines
+without words are blank; a licence that repeats counts each time; of several
+the likeliest names the document, the last by name of equal ones; an empty table
+trains on the templates alone; null ids stay null; repeated rows get a row each;
+other columns are not read.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import spool as S
@@ -47,6 +52,8 @@ FAMILIES = sorted(TEMPLATES)
 UNKNOWN = len(FAMILIES)
 #: Size of the table of hashed features, and the probability from which a family is compared with its templates.
 FEATURES, CONFIDENT = 1 << 16, 0.5
+#: Words of a window.
+WINDOW = 24
 #: Share of a template's words that a paragraph must hold in order.
 HELD = 0.75
 
@@ -54,24 +61,46 @@ _LINE = np.ones(256, bool)
 _LINE[0x0A] = False
 
 
-def features(t: S.Texts) -> tuple[S.Words, np.ndarray, np.ndarray, np.ndarray]:
-    """(lines, features, line of each feature, words of each line)."""
-    lines = S.words(t, _LINE, hashed=False)
-    w = S.words(t, S.ALNUM, lower=True)
-    line = np.searchsorted(lines.start, w.start, "right") - 1
-    two = S.grams(w.hash, 2)
-    same = np.flatnonzero(line[1:] == line[:-1])
-    index = np.concatenate([w.hash >> S.U64(48), two[same] >> S.U64(48)]).astype(np.int64)
-    return lines, index, np.concatenate([line, line[same]]), np.bincount(line, minlength=len(lines.start))
-
-
-def logits(t: S.Texts, weights: np.ndarray, bias: np.ndarray) -> tuple[S.Words, np.ndarray, np.ndarray]:
-    """(lines, log odds of each line, words of each line); a feature counts by the root of the line's length."""
-    lines, index, line, size = features(t)
-    out = np.zeros((len(lines.start), weights.shape[1]))
-    for k in range(weights.shape[1]):
-        out[:, k] = np.bincount(line, weights=weights[index, k], minlength=len(out))
-    return lines, out / np.sqrt(np.maximum(1, size))[:, None] + bias, size
+class Segments:
+    """The words of texts and their segments, begin:end among the words; lines come first."""
+
+    def __init__(self, t: S.Texts):
+        lines = S.words(t, _LINE, hashed=False)
+        w = self.words = S.words(t, S.ALNUM, lower=True)
+        n = len(w.start)
+        line = np.searchsorted(lines.start, w.start, "right") - 1
+        #: The number of each word's line among the lines of its document that are not empty.
+        self.line = line - np.repeat(lines.doc[:-1], np.diff(w.doc))
+        feeds = np.concatenate(([0], np.cumsum(t.data == 0x0A)))[w.start]
+        first, new = np.ones(n, bool), np.ones(n, bool)
+        first[1:] = line[1:] != line[:-1]
+        new[1:] = first[1:] & (feeds[1:] - feeds[:-1] > 1)
+        new[w.doc[:-1][w.doc[:-1] < n]] = True
+        begin = np.flatnonzero(first)
+        self.n_lines = len(begin)
+        self.lines_upto = np.searchsorted(begin, w.doc)
+        self.para = np.append(np.flatnonzero(new), n)
+        size, step = np.diff(self.para), WINDOW // 4
+        # windows of paragraphs that are more than a line, or longer than a window; the last one ends with the paragraph
+        many = np.flatnonzero((size > WINDOW) | (np.searchsorted(begin, self.para[1:]) - np.searchsorted(begin, self.para[:-1]) > 1))
+        count = np.maximum(0, -(-(size[many] - WINDOW) // step)) + 1
+        at = np.repeat(self.para[many], count) + (np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)) * step
+        self.begin = np.concatenate([begin, at])
+        self.end = np.concatenate([np.append(begin[1:], n)[:len(begin)], np.minimum(at + WINDOW, np.repeat(self.para[many + 1], count))])
+
+    def features(self) -> tuple[np.ndarray, np.ndarray]:
+        """Of each word, and of each word and the next one."""
+        h = self.words.hash
+        return (h >> S.U64(48)).astype(np.int64), (S.grams(h, 2) >> S.U64(48)).astype(np.int64)
+
+    def logits(self, weights: np.ndarray, bias: np.ndarray) -> np.ndarray:
+        """Log odds of each segment; a feature counts by the root of the segment's length."""
+        one, two = self.features()
+        out = np.empty((len(self.begin), weights.shape[1]))
+        for k in range(weights.shape[1]):
+            a, b = (np.concatenate(([0.0], np.cumsum(weights[x, k], dtype=float))) for x in (one, two))
+            out[:, k] = a[self.end] - a[self.begin] + b[self.end - 1] - b[self.begin]
+        return out / np.sqrt(np.maximum(1, self.end - self.begin))[:, None] + bias
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
@@ -105,15 +134,34 @@ def _texts(rows: list[str]) -> S.Texts:
     return S.texts_of(pa.nulls(len(rows)), pa.array([x.replace("\n", " ") for x in rows], pa.large_string()))
 
 
-def fit(sample: list[str], seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and bias; sample: paragraphs of documents, taken as unknown unless they hold a template's words."""
+def segments_of(sample: list[str], most: int) -> list[str]:
+    """At most so many different segments of the texts, drawn by hash."""
+    t = S.texts_of(pa.nulls(len(sample)), pa.array(sample, pa.large_string()))
+    g = Segments(t)
+    w = g.words
+    # a segment's hash is that of its first word's place, so that long paragraphs give as many as their words
+    order = np.argsort(S.mix(g.begin.astype(S.U64) * S.U64(2) + (np.arange(len(g.begin)) < g.n_lines)), kind="stable")
+    out: dict[str, None] = {}
+    for i in order.tolist():
+        if len(out) == most:
+            break
+        a, b = int(w.start[g.begin[i]]), int(w.start[g.end[i] - 1] + w.size[g.end[i] - 1])
+        out[" ".join(t.data[a:b].tobytes().decode("utf-8", "replace").split())] = None
+    return sorted(out)
+
+
+def fit(sample: list[str], seed: int = 7) -> tuple[np.ndarray, np.ndarray, dict]:
+    """Weights, bias and what the rows that training did not see say of them.
+
+    sample: segments of documents, taken as unknown unless they hold a template's words.
+    """
     r = np.random.default_rng(seed)
-    filler = sorted({w for x in sample[:2000] for w in x.split()[:20]}) or ["lorem", "ipsum", "dolor", "sit", "amet"]
+    filler = sorted({w for x in sample for w in x.split()}) or ["lorem", "ipsum", "dolor", "sit", "amet"]
     known = [_words_of(x) for family in FAMILIES for x in TEMPLATES[family]]
     clean = [x for x in dict.fromkeys(sample) if x.strip() and not like_any(_words_of(x), known)]
     texts, y = variants(r, filler, 40)
     texts, y = texts + clean, np.array(y + [UNKNOWN] * len(clean))
-    _, index, line, size = features(_texts(texts))
+    index, line, size = _rows_of(texts)
     value = 1 / np.sqrt(np.maximum(1, size))[line]
     held_out = np.arange(len(texts)) % 5 == 4
     share = np.where(y == UNKNOWN, 0.5 / max(1, (y == UNKNOWN).sum()), 0.5 / max(1, (y != UNKNOWN).sum())) * len(y)
@@ -139,7 +187,25 @@ def fit(sample: list[str], seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
     best = min(loss, key=loss.get)
     table = np.zeros((FEATURES, UNKNOWN + 1), np.float32)
     table[kinds] = weights.T / best
-    return table, bias / best
+    return table, bias / best, held_out_report(_softmax(out[rows] / best), y[rows])
+
+
+def held_out_report(p: np.ndarray, y: np.ndarray) -> dict:
+    """Accuracy of families and of unknown, log loss, and the mean gap between probability and accuracy over ten bins."""
+    top, sure = p.argmax(1), p.max(1)
+    bins = np.minimum((sure * 10).astype(int), 9)
+    gap = sum(abs((top[bins == b] == y[bins == b]).mean() - sure[bins == b].mean()) * (bins == b).mean() for b in np.unique(bins))
+    return {"rows": len(y), "families": float((top == y)[y != UNKNOWN].mean()), "unknown": float((top == y)[y == UNKNOWN].mean()),
+            "log_loss": float(-np.log(p[np.arange(len(y)), y] + 1e-12).mean()), "calibration_gap": float(gap)}
+
+
+def _rows_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(features, row of each, words of each row); a row is one line."""
+    w = S.words(_texts(texts), S.ALNUM, lower=True)
+    row = np.repeat(np.arange(len(texts)), np.diff(w.doc))
+    same = np.flatnonzero(row[1:] == row[:-1])
+    index = np.concatenate([w.hash >> S.U64(48), S.grams(w.hash, 2)[same] >> S.U64(48)]).astype(np.int64)
+    return index, np.concatenate([row, row[same]]), np.diff(w.doc)
 
 
 def _words_of(text: str) -> list[bytes]:
@@ -171,40 +237,66 @@ def held(paragraph: str | list[bytes], template: list[bytes]) -> float:
 RESULT = "doc_id long, n_paragraphs long, n_license long, families array<string>, paragraphs array<long>, probability double, license string"
 
 
+def found_in(t: S.Texts, weights: np.ndarray, bias: np.ndarray, templates: list) -> tuple[Segments, list[list]]:
+    """(segments, for each document [(family, line, probability)] by place)."""
+    g = Segments(t)
+    p = _softmax(g.logits(weights, bias))
+    top = p[:, :UNKNOWN].argmax(1) if len(p) else np.zeros(0, int)
+    sure = np.flatnonzero(p[np.arange(len(p)), top] >= CONFIDENT)
+    found: list[list] = [[] for _ in range(len(t))]
+    taken: dict[tuple[int, int], int] = {}  # (paragraph, family) -> end of what was found
+    # lines first, then windows, which find only what no line holds
+    for i in sure.tolist():
+        a, b, k = int(g.begin[i]), int(g.end[i]), int(top[i])
+        para = int(np.searchsorted(g.para, a, "right")) - 1
+        if i >= g.n_lines:
+            if a < taken.get((para, k), -1):
+                continue
+            a, b = max(int(g.para[para]), a - WINDOW), min(int(g.para[para + 1]), b + WINDOW)
+        w = g.words
+        words = _words_of(t.data[w.start[a]:w.start[b - 1] + w.size[b - 1]].tobytes().decode("utf-8", "replace"))
+        if max(held(words, x) for x in templates[k]) >= HELD:
+            taken[para, k] = max(taken.get((para, k), -1), b)
+            found[int(np.searchsorted(w.doc, a, "right")) - 1].append((FAMILIES[k], int(g.line[int(g.begin[i])]), float(p[i, k])))
+    for x in found:
+        x.sort(key=lambda y: (y[1], y[0]))
+    return g, found
+
+
 def _scan(shared):
     templates = [[_words_of(x) for x in TEMPLATES[f]] for f in FAMILIES]
 
     def run(batches):
         weights, bias = shared.value
         for t in S.pieces(batches, 1 << 20):
-            lines, out, size = logits(t, weights, bias)
-            p = _softmax(out) if len(out) else out
-            top = p[:, :UNKNOWN].argmax(1) if len(p) else np.zeros(0, int)
-            sure = np.flatnonzero((p[np.arange(len(p)), top] >= CONFIDENT) & (size > 0)) if len(p) else top
-            found: list[list] = [[] for _ in range(len(t))]
-            for i, d in zip(sure.tolist(), (np.searchsorted(lines.doc, sure, "right") - 1).tolist(), strict=True):
-                words = _words_of(t.data[lines.start[i]:lines.start[i] + lines.size[i]].tobytes().decode("utf-8", "replace"))
-                if max(held(words, x) for x in templates[top[i]]) >= HELD:
-                    found[d].append((FAMILIES[top[i]], i - int(lines.doc[d]), float(p[i, top[i]])))
+            g, found = found_in(t, weights, bias, templates)
             best = [max(x, key=lambda y: (y[2], y[0])) if x else None for x in found]
-            blank = np.concatenate(([0], np.cumsum(size > 0)))
+            inside = np.diff(np.searchsorted(g.para[:-1], g.words.doc))
             yield pa.RecordBatch.from_arrays([
-                t.ids.cast(pa.int64()), pa.array(blank[lines.doc[1:]] - blank[lines.doc[:-1]]), pa.array([len(x) for x in found], pa.int64()),
+                t.ids.cast(pa.int64()), pa.array(inside), pa.array([len(x) for x in found], pa.int64()),
                 pa.array([sorted({y[0] for y in x}) for x in found], pa.list_(pa.string())), pa.array([[y[1] for y in x] for x in found], pa.list_(pa.int64())),
                 pa.array([x[2] if x else None for x in best], pa.float64()), pa.array([x[0] if x else "unknown" for x in best], pa.string())],
                 [x.split()[0] for x in RESULT.split(", ")])
     return run
 
 
-def license_scan(docs: DataFrame, paragraphs: int = 4000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Licence families and their paragraphs (numbers of lines that are not empty) in each document.
+def learn(docs: DataFrame, segments: int = 4000, texts: int = 500, budget: int = 16 << 20, id_col: str = "doc_id", text_col: str = "text") -> tuple[np.ndarray, np.ndarray, dict]:
+    """The classifier; ``unknown`` is learnt from so many segments of so many whole texts, drawn by hash until these have ``budget`` bytes."""
+    text = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    # ids are drawn first, so that no text goes along
+    few = text.select("doc_id").where("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(texts)
+    order = [F.xxhash64("doc_id"), "doc_id", "text"]
+    drawn = text.join(F.broadcast(few), "doc_id", "left_semi").orderBy(*order).limit(texts)  # ids may be repeated
+    upto = F.sum(F.octet_length("text").cast("long")).over(Window.orderBy(*order))  # one task, of so many rows at most
+    rows = drawn.withColumn("upto", upto).where(F.col("upto") <= budget).orderBy(*order).collect()
+    return fit(segments_of([r.text for r in rows], segments))
+
 
-    paragraphs: bound of the sample of paragraphs that stand for ``unknown`` in training.
+def license_scan(docs: DataFrame, segments: int = 4000, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """Licence families and the lines (numbers among those that are not empty) where their notices begin, in each document.
+
+    segments: bound of the sample that stands for ``unknown`` in training.
     """
+    weights, bias, _ = learn(docs, segments, id_col=id_col, text_col=text_col, **options)
     text = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    # ids are drawn first, so that no text goes along
-    few = text.select("doc_id").where("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max(1, paragraphs // 8))
-    lines = text.join(F.broadcast(few), "doc_id", "left_semi").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "p")).where("p <> ''")
-    rows = lines.select(F.xxhash64("doc_id", "i").alias("h"), "doc_id", "i", F.substring("p", 1, 400).alias("p")).orderBy("h", "doc_id", "i", "p").limit(paragraphs).collect()
-    shared = docs.sparkSession.sparkContext.broadcast(fit([r.p for r in rows]))
-    return text.mapInArrow(_scan(shared), RESULT)
+    return text.mapInArrow(_scan(docs.sparkSession.sparkContext.broadcast((weights, bias))), RESULT)

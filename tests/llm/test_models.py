@@ -216,6 +216,63 @@ def test_licences(spark, odd, empty):
     assert license_scan.license_scan(odd).count() == 12 and license_scan.license_scan(empty).count() == 0
 
 
+NOTICES = {
+    "mit": """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights""",
+    "bsd": """# Redistribution and use in source and binary forms, with or without
+# modification, are permitted provided that the following conditions are
+# met:""",
+    "apache-2.0": """   Licensed under the Apache License, Version 2.0 (the "License");
+   you may not use this file except in compliance with the License.
+   You may obtain a copy of the License at""",
+    "gpl": """ * This program is free software: you can redistribute it and/or modify
+ * it under the terms of the GNU General Public License as published by
+ * the Free Software Foundation, either version 3 of the License, or
+ * (at your option) any later version.""",
+}
+
+
+def test_wrapped_notices(spark):
+    r = random.Random(5)
+    prose = lambda n: " ".join("".join(r.choices("etaoinshr", k=r.randrange(2, 9))) for _ in range(n))
+    shapes = [lambda x: x, lambda x: f"{prose(30)}\n\n{x}\n\n{prose(30)}", lambda x: f"{prose(40)}\n{x}\n{prose(40)}", lambda x: f"{prose(200)} {' '.join(x.split())} {prose(200)}"]
+    rows = [(10 * i + k, s(x)) for i, x in enumerate(NOTICES.values()) for k, s in enumerate(shapes)] + [(1000 + i, prose(300)) for i in range(50)]
+    got = {x.doc_id: x for x in license_scan.license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, f in enumerate(NOTICES):
+        for k in range(len(shapes)):
+            assert f in got[10 * i + k].families, (f, k)
+    assert not any(got[1000 + i].families for i in range(50))
+
+
+def test_licence_scores_are_plain_sums(spark, odd):
+    """Every segment's log odds, and what is found, by loops over words."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60).select("doc_id", "text").unionByName(odd.select("doc_id", "text")).collect()
+    weights, bias, report = license_scan.fit(license_scan.segments_of([x.text or "" for x in docs], 500))
+    assert report["families"] > 0.95 and report["unknown"] > 0.95 and report["calibration_gap"] < 0.05
+    t = spool.texts_of(pa.array([x.doc_id for x in docs]), pa.array([x.text for x in docs], pa.large_string()))
+    g, found = license_scan.found_in(t, weights, bias, [[license_scan._words_of(x) for x in license_scan.TEMPLATES[f]] for f in license_scan.FAMILIES])
+    out, want = g.logits(weights, bias), []
+    for x in docs:
+        lines = [re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", y.lower().replace("\u0130".lower(), "\u0130")) for y in (x.text or "").split("\n")]
+        want.append(sum(map(bool, lines)))
+    assert np.diff(g.lines_upto).tolist() == want
+    one, two = g.features()
+    for i in list(range(0, len(out), 97)) + list(range(g.n_lines, len(out), 89)):
+        a, b = int(g.begin[i]), int(g.end[i])
+        plain = [sum(float(weights[one[j], k]) for j in range(a, b)) + sum(float(weights[two[j], k]) for j in range(a, b - 1)) for k in range(len(bias))]
+        assert b - a <= license_scan.WINDOW or i < g.n_lines
+        assert out[i] == pytest.approx(np.array(plain) / np.sqrt(b - a) + bias, abs=1e-6)
+
+
+def test_licence_ties():
+    """Equal notices in one document count each; the last name of equally likely ones stands for it."""
+    t = spool.texts_of(pa.array([1]), pa.array(["All rights reserved.\nAll rights reserved."], pa.large_string()))
+    weights, bias, _ = license_scan.fit([])
+    _, found = license_scan.found_in(t, weights, bias, [[license_scan._words_of(x) for x in license_scan.TEMPLATES[f]] for f in license_scan.FAMILIES])
+    assert [(f, line) for f, line, _ in found[0]] == [("all-rights-reserved", 0), ("all-rights-reserved", 1)]
+
+
 def test_pipeline(spark):
     import corpus_pipeline as P
 
