@@ -217,21 +217,33 @@ def leaves_of(e) -> list:
     return [x for p in e.parts for x in leaves_of(p)]
 
 
-def _starts(leaf: Leaf) -> Column:
-    """Where a leaf begins in a passage, from the map ``m`` of its terms to their positions."""
-    n, none = len(leaf.words), F.array().cast("array<int>")
+def _starts(leaf: Leaf, places) -> Column:
+    """Where a leaf begins in a passage; places(word, prefix): the positions of a word's, or of all words that begin so."""
+    n = len(leaf.words)
 
     def of(i: int) -> Column:
-        word = leaf.words[i]
-        if i == n - 1 and leaf.prefix:
-            p = F.array_distinct(F.flatten(F.map_values(F.map_filter("m", lambda k, v: k.startswith(word)))))
-        else:
-            p = F.coalesce(F.element_at("m", F.lit(word)), none)
-        return F.transform(p, lambda x: x - i)
+        return F.transform(places(leaf.words[i], i == n - 1 and leaf.prefix), lambda x: x - i)
     s = reduce(F.array_intersect, [of(i) for i in range(n)])
     return F.array_sort(F.filter(s, lambda p: p == 0) if leaf.initial else s)
 
 
+def _in_map(word: str, prefix: bool) -> Column:
+    """From the map ``m`` of a passage's terms to their positions."""
+    if prefix:
+        return F.array_distinct(F.flatten(F.map_values(F.map_filter("m", lambda k, v: k.startswith(word)))))
+    return F.coalesce(F.element_at("m", F.lit(word)), F.array().cast("array<int>"))
+
+
+def _in_hits(word: str, prefix: bool) -> Column:
+    """From the array ``h`` of a passage's terms that the expression names."""
+    return F.transform(F.filter("h", lambda x: x["term"].startswith(word) if prefix else x["term"] == word), lambda x: x["pos"])
+
+
+def _wanted(term: Column, found: list) -> Column:
+    exact = sorted({w for x in found for w in (x.words[:-1] if x.prefix else x.words)})
+    return reduce(lambda a, b: a | b, [term.startswith(x.words[-1]) for x in found if x.prefix], term.isin(exact))
+
+
 def _clump(starts: list[Column], sizes: list[int], distance: int) -> list[Column]:
     """For each phrase of a NEAR, its instances that stand in a clump with all others (pairs are exact; more phrases need a common window)."""
     def tagged(i: int) -> Column:
@@ -260,15 +272,35 @@ def match(index: DataFrame, total: int, avgdl: float, expression: str) -> DataFr
     if any(not x.words for x in found):
         return index.sparkSession.createDataFrame([], f"id {index.schema['id'].dataType.simpleString()}, score double")
     # the terms of the expression only, once for all leaves; a passage holds a few of them
-    exact = sorted({w for x in found for w in (x.words[:-1] if x.prefix else x.words)})
-    cond = reduce(lambda a, b: a | b, [F.col("term").startswith(x.words[-1]) for x in found if x.prefix], F.col("term").isin(exact))
-    terms_of = index.where(cond).groupBy("id", "len").agg(F.map_from_entries(F.collect_list(F.struct("term", "positions"))).alias("m"))
-    g = terms_of.select("id", "len", *[_starts(x).alias(f"s{i}") for i, x in enumerate(found)])
-    n = dict(enumerate(g.agg(*[F.count_if(F.size(f"s{i}") > 0).alias(f"n{i}") for i in range(len(found))]).first()))
-    at = iter(range(len(found)))
+    terms_of = index.where(_wanted(F.col("term"), found)).groupBy("id", "len").agg(F.map_from_entries(F.collect_list(F.struct("term", "positions"))).alias("m"))
+    g = terms_of.select("id", "len", *[_starts(x, _in_map).alias(f"s{i}") for i, x in enumerate(found)]).persist()  # counted, then scored
+    n = list(g.agg(*[F.count_if(F.size(f"s{i}") > 0) for i in range(len(found))]).first())
+    return _scores(tree, g, total, avgdl, n)
+
+
+def search(passages: DataFrame, expression: str, k: int = 5, condition: Column | None = None, id_col: str = "id", text_col: str = "text") -> DataFrame:
+    """The k best matching passages without an index: one scan, which keeps of each passage its length and where the leaves begin.
+
+    Nothing is shuffled but the counts; filters come before the limit, ties by id.
+    """
+    tree = Parser(expression).parse()
+    found = leaves_of(tree)
+    if any(not x.words for x in found):
+        return passages.limit(0).withColumn("score", F.lit(0.0))
+    t = passages.select(F.col(id_col).alias("id"), terms(F.col(text_col)).alias("t"))
+    h = F.filter(F.transform("t", lambda x, i: F.struct(x.alias("term"), i.alias("pos"))), lambda x: _wanted(x["term"], found))
+    g = t.select("id", F.size("t").alias("len"), h.alias("h")).select("id", "len", *[_starts(x, _in_hits).alias(f"s{i}") for i, x in enumerate(found)]).persist()
+    total, avgdl, *n = g.agg(F.count("*"), F.avg("len"), *[F.count_if(F.size(f"s{i}") > 0) for i in range(len(found))]).first()
+    rows = _scores(tree, g, total, float(avgdl or 0.0), n).join(passages.withColumnRenamed(id_col, "id"), "id")
+    return (rows.where(condition) if condition is not None else rows).orderBy("score", "id").limit(k)
+
+
+def _scores(tree, g: DataFrame, total: int, avgdl: float, n: list[int]) -> DataFrame:
+    """(id, score) from the starts s0, s1, ... of the leaves and the numbers of passages that have them."""
+    at = iter(range(len(leaves_of(tree))))
 
     def leaf_score(i: int, s: Column) -> Column:
-        return idf(F.lit(float(total)), F.lit(float(n.get(i, 0)))) * weight(F.size(s).cast("double"), F.col("len"), F.lit(avgdl))
+        return idf(F.lit(float(total)), F.lit(float(n[i]))) * weight(F.size(s).cast("double"), F.col("len"), F.lit(avgdl))
 
     def walk(e) -> tuple[Column, Column]:
         if isinstance(e, Leaf):
@@ -297,13 +329,32 @@ def literal(index: DataFrame, total: int, avgdl: float, expression: str, passage
     return (rows.where(condition) if condition is not None else rows).orderBy("score", "id").limit(k)
 
 
+#: Distinct terms and (query, term) pairs up to which they are broadcast; more are joined by shuffles.
+FEW = 1 << 18
+
+
 def any_term(index: DataFrame, total: int, avgdl: float, queries: DataFrame, k: int) -> DataFrame:
-    """(qid, id, score, rank) for many queries (qid, query), each the OR of its distinct terms; one join on terms.
+    """(qid, id, score, rank) for many queries (qid, query), each the OR of its distinct terms.
 
-    Terms are joined with their document frequencies first; a frequent term's postings spread over all its passages.
+    index: (term, id, tf, len), read twice.  A small table of queries is broadcast, so that postings of
+    frequent terms stay where they are; its size is counted first.
     """
+    asked = queries.select("qid", F.explode(F.array_distinct(terms(F.col("query")))).alias("term"))
+    if asked.limit(FEW + 1).count() <= FEW:
+        asked = F.broadcast(asked)
+        index = index.join(F.broadcast(asked.select("term").distinct()), "term", "left_semi")
     df = index.groupBy("term").agg(F.count("*").alias("n"))
-    asked = queries.select("qid", F.explode(F.array_distinct(terms(F.col("query")))).alias("term")).join(df, "term")
+    asked = asked.join(df, "term")
     s = index.join(asked, "term").groupBy("qid", "id").agg(F.sum(idf(F.lit(float(total)), F.col("n").cast("double")) * weight(F.col("tf").cast("double"), F.col("len"), F.lit(avgdl))).alias("s"))
     return (s.withColumn("rank", F.row_number().over(W.partitionBy("qid").orderBy(F.desc(F.round("s", 9)), "id"))).where(F.col("rank") <= k)
             .select("qid", "id", (-F.col("s")).alias("score"), "rank"))
+
+
+def any_term_search(passages: DataFrame, queries: DataFrame, k: int, id_col: str = "id", text_col: str = "text") -> DataFrame:
+    """The same without an index: frequencies of the queries' terms only, without positions."""
+    total, avgdl = statistics(passages, text_col)
+    asked = queries.select(F.explode(F.array_distinct(terms(F.col("query")))).alias("term")).distinct()
+    t = passages.select(F.col(id_col).alias("id"), terms(F.col(text_col)).alias("t")).select("id", F.size("t").alias("len"), F.explode("t").alias("term"))
+    few = asked.limit(FEW + 1).count() <= FEW
+    tf = t.join(F.broadcast(asked) if few else asked, "term", "left_semi").groupBy("term", "id", "len").agg(F.count("*").alias("tf"))
+    return any_term(tf.persist(), total, avgdl, queries, k)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -69,9 +71,7 @@ def scored(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec_c
     rows = queries.select("qid", F.col("qvec").cast("array<double>").alias("qvec")).limit(most + 1).collect()
     if len(rows) > most:
         raise ValueError(f"over {most} queries: use top_k")
-    if not rows:
-        return vectors.limit(0).select(F.lit(0).cast("long").alias("qid"), F.col(id_col).alias("id"), F.lit(0.0).alias("score"))
-    asked = F.array(*[F.struct(F.lit(r.qid).cast("long").alias("qid"), F.array(*map(F.lit, r.qvec)).alias("qvec")) for r in rows])
+    asked = F.from_json(F.lit(json.dumps([{"qid": r.qid, "qvec": r.qvec} for r in rows])), "array<struct<qid:bigint,qvec:array<double>>>")  # one literal
     return vectors.select(F.col(id_col).alias("id"), F.col(vec_col).alias("v"), F.explode(asked).alias("q")).select("q.qid", "id", V.dot("q.qvec", "v").alias("score"))
 
 
@@ -97,32 +97,61 @@ def ivf_assign(vectors: DataFrame, centroids: np.ndarray, id_col: str = "vec_id"
     return vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<float>").alias("vec")).mapInArrow(run, "id long, vec array<float>, cell int")
 
 
+def _ranked(scores: DataFrame, k: int) -> DataFrame:
+    return scores.withColumn("ann_rank", F.row_number().over(W.partitionBy("qid").orderBy(F.desc("score"), "id"))).where(F.col("ann_rank") <= k)
+
+
 def ivf_top_k(index: DataFrame, centroids: np.ndarray, queries: DataFrame, k: int, probes: int) -> DataFrame:
-    """Exact scores within the best cells of each query; cells are added until they hold k vectors or are all."""
-    sizes = {r.cell: r.n for r in index.groupBy("cell").agg(F.count("*").alias("n")).collect()}
-    rows = []
-    for r in queries.select("qid", "qvec").collect():
-        held = 0
-        for n, cell in enumerate(np.argsort(-(np.array(r.qvec) @ centroids.T), kind="stable").tolist()):
-            if n >= probes and held >= k:
-                break
-            held += sizes.get(cell, 0)
-            rows.append((r.qid, cell, [float(x) for x in r.qvec]))
-    asked = index.sparkSession.createDataFrame(rows, "qid long, cell int, qvec array<double>")
-    s = index.join(asked, "cell").select("qid", "id", V.dot("qvec", "vec").alias("score"))
-    return s.withColumn("ann_rank", F.row_number().over(W.partitionBy("qid").orderBy(F.desc("score"), "id"))).where(F.col("ann_rank") <= k)
-
-
-def lsh_top_k(vectors: DataFrame, query: list[float], k: int, tables: int = 8, bucket: float = 1.0, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """Approximate neighbours by random projections; the distance of unit vectors orders like their inner product."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-    from pyspark.ml.linalg import Vectors
-
-    x = vectors.select(F.col(id_col).alias("id"), array_to_vector(F.col(vec_col).cast("array<double>")).alias("v"))
-    model = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=bucket, numHashTables=tables, seed=3).fit(x)
-    near = model.approxNearestNeighbors(x, Vectors.dense(query), k, distCol="d")
-    return near.select("id", (1 - F.col("d") * F.col("d") / 2).alias("score"))
+    """Exact scores within the best cells of each query; cells are added until they hold k vectors or are all.
+
+    What goes to the tasks is bounded by the number of cells; queries and vectors meet in a join on cells.
+    """
+    held = np.zeros(len(centroids), np.int64)
+    for r in index.groupBy("cell").agg(F.count("*").alias("n")).collect():  # a row for each cell
+        held[r.cell] = r.n
+
+    def run(batches):
+        for b in batches:
+            if not b.num_rows:
+                continue
+            q = np.array(b.column(1).to_pylist(), np.float64).reshape(b.num_rows, -1)
+            near = np.argsort(-(q @ centroids.T), axis=1, kind="stable")
+            before = np.cumsum(held[near], axis=1) - held[near]  # vectors in the cells that come first
+            row, nth = np.nonzero((np.arange(len(held)) < probes) | (before < k))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), pa.array(near[row, nth].astype(np.int32)), b.column(1).take(pa.array(row))], ["qid", "cell", "qvec"])
+    asked = queries.select(F.col("qid").cast("long"), F.col("qvec").cast("array<double>")).mapInArrow(run, "qid long, cell int, qvec array<double>")
+    return _ranked(index.join(asked, "cell").select("qid", "id", V.dot("qvec", "vec").alias("score")), k)
+
+
+def _signatures(planes: np.ndarray, tables: int):
+    """The key of each vector in each table: which side of the table's planes it lies on."""
+    bits = planes.shape[1] // tables
+    power = 1 << np.arange(bits, dtype=np.int64)
+
+    def run(batches):
+        for b in batches:
+            if not b.num_rows:
+                continue
+            v = np.array(b.column(1).to_pylist(), np.float64).reshape(b.num_rows, -1)
+            side = ((v @ planes) > 0).reshape(len(v), tables, bits) @ power + np.arange(tables) * (1 << bits)
+            row = np.repeat(np.arange(len(v)), tables)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), b.column(1).take(pa.array(row)), pa.array(side.reshape(-1))], ["id", "vec", "key"])
+    return run
+
+
+def lsh_top_k(vectors: DataFrame, queries: DataFrame, k: int, tables: int = 24, bits: int = 4, seed: int = 3, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+    """Approximate neighbours for any number of queries (qid, qvec): exact scores of what shares a side of all planes with the query in some table."""
+    size = vectors.select(F.size(vec_col).alias("n")).where("n > 0").limit(1).collect()
+    if not size:
+        return vectors.limit(0).select(F.lit(0).cast("long").alias("qid"), F.col(id_col).cast("long").alias("id"), F.lit(0.0).alias("score"), F.lit(0).alias("ann_rank"))
+    planes = np.random.default_rng(seed).standard_normal((size[0].n, tables * bits))
+    schema = "id long, vec array<double>, key long"
+    there = vectors.where(F.col(vec_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vec")).mapInArrow(_signatures(planes, tables), schema)
+    asked = queries.where("qvec is not null").select(F.col("qid").cast("long").alias("id"), F.col("qvec").cast("array<double>").alias("vec")).mapInArrow(_signatures(planes, tables), schema)
+    asked = asked.select(F.col("id").alias("qid"), F.col("vec").alias("qvec"), "key")
+    # a pair that meets in several tables is scored where it meets and told once
+    met = there.join(asked, "key").select("qid", "id", V.dot("qvec", "vec").alias("score"))
+    return _ranked(met.groupBy("qid", "id").agg(F.max("score").alias("score")), k)
 
 
 def append(index: DataFrame, new: DataFrame, id_col: str = "vec_id") -> DataFrame:

@@ -103,8 +103,8 @@ def id_order_join(spark, sf):
 
 def upsert_latest(spark, sf):
     e = table(spark, sf, "events")
-    old = e.where("event_id < 3000").groupBy("user_id").agg(F.max_by("event_type", "event_id").alias("event_type"), F.max("event_id").alias("event_id"))
-    new = e.where("event_id >= 3000 and user_id % 3 = 0").select("user_id", "event_type", "event_id", F.col("event_id").alias("seq"))
+    old = e.where("event_id % 2 = 0").groupBy("user_id").agg(F.max_by("event_type", "event_id").alias("event_type"), F.max("event_id").alias("event_id"))
+    new = e.where("event_id % 2 = 1 and user_id % 3 = 0").select("user_id", "event_type", "event_id", F.col("event_id").alias("seq"))
     return ingest.upserted(old, new, "user_id", ["event_type", "event_id"], "seq").select("user_id", "event_type", "event_id")
 
 
@@ -164,11 +164,11 @@ def map_keys_lower(spark, sf):
 
 
 def sha256_ids(spark, sf):
-    return table(spark, sf, "events").where("event_id < 500").select("event_id", T.sha256_hex(F.concat(F.lit("k"), F.col("event_id").cast("string"))).alias("h"), F.substring(F.concat(F.lit("sk_"), F.sha2(F.col("event_id").cast("string"), 256)), 1, 11).alias("prefix"))
+    return table(spark, sf, "events").select("event_id", T.sha256_hex(F.concat(F.lit("k"), F.col("event_id").cast("string"))).alias("h"), F.substring(F.concat(F.lit("sk_"), F.sha2(F.col("event_id").cast("string"), 256)), 1, 11).alias("prefix"))
 
 
 def pkce_challenge(spark, sf):
-    return table(spark, sf, "events").where("event_id < 500").select("event_id", T.pkce_challenge(F.concat(F.lit("verifier-"), F.col("event_id").cast("string"))).alias("c"))
+    return table(spark, sf, "events").select("event_id", T.pkce_challenge(F.concat(F.lit("verifier-"), F.col("event_id").cast("string"))).alias("c"))
 
 
 def title_case(spark, sf):
@@ -185,7 +185,7 @@ def snippet_text(spark, sf):
 
 
 def string_tools(spark, sf):
-    e = table(spark, sf, "events").where("event_id < 300")
+    e = table(spark, sf, "events")
     who = F.concat(F.lit("  User"), F.col("user_id").cast("string"), F.lit("@Example.COM "))
     return e.select("event_id", T.email(who).alias("email"), T.bearer(F.concat(F.lit("BeArer tok"), F.col("event_id").cast("string"))).alias("token"), T.base_url(F.concat(F.lit("https://a/"), F.col("event_type"), F.lit("//"))).alias("base"),
                     T.local_target(F.when(F.col("event_id") % 2 == 0, "/x").otherwise("//x")).alias("local"), T.first_int(F.concat(F.lit("vol. "), F.col("event_id").cast("string"), F.lit(" of 12"))).alias("first"),
@@ -217,7 +217,7 @@ def length_batches(spark, sf):
 
 
 def mode_tiebreak(spark, sf):
-    e = table(spark, sf, "events").where("event_id < 2000")
+    e = table(spark, sf, "events")
     c = e.groupBy("user_id", "event_type").agg(F.count("*").alias("c"), F.min("event_id").alias("first"))
     return c.groupBy("user_id").agg(F.max_by("event_type", F.struct("c", -F.col("first"))).alias("mode"))
 
@@ -259,7 +259,7 @@ def key_violations(spark, sf):
 
 
 def fk_orphans(spark, sf):
-    return schemas.orphans(table(spark, sf, "labels").where("doc_id < 50"), _docs(spark, sf).where("doc_id < 20"), "doc_id", "doc_id").select("doc_id")
+    return schemas.orphans(table(spark, sf, "labels"), _docs(spark, sf).where("lang <> 'de'"), "doc_id", "doc_id").select("doc_id")
 
 
 def slim_copy(spark, sf):
@@ -267,14 +267,14 @@ def slim_copy(spark, sf):
 
 
 def result_envelope_text(spark, sf):
-    b = _books(spark, sf).where("book_id < 40").select((F.col("book_id") % 4).alias("qid"), F.concat(F.lit("q"), (F.col("book_id") % 4).cast("string")).alias("query"), (F.floor(F.col("book_id") / 4) + 1).cast("int").alias("rank"), "title", "author",
+    b = _books(spark, sf).select(F.expr("book_id div 10").alias("qid"), F.expr("'q' || book_id div 10").alias("query"), F.expr("int(book_id % 10 + 1)").alias("rank"), "title", "author",
                                                        F.when(F.col("book_id") % 3 == 0, F.col("year")).alias("year"), "book_id", (F.col("book_id") / 7).alias("score"), F.when(F.col("book_id") % 2 == 0, F.lit("u")).alias("url"),
                                                        F.lit(0).alias("char_start"), F.length("text").alias("char_end"), "text")
     return retrieve.rendered(b, 300).select("qid", F.sha2("text", 256).alias("h"), F.length("text").cast("long").alias("n"))
 
 
 def result_envelope_json(spark, sf):
-    b = _books(spark, sf).where("book_id < 20").select((F.col("book_id") % 2).alias("qid"), F.lit("q").alias("query"), (F.floor(F.col("book_id") / 2) + 1).cast("int").alias("rank"), "title", "author", "book_id", (F.col("book_id") / 7).alias("score"), F.lit("t").alias("text"))
+    b = _books(spark, sf).select(F.expr("book_id div 10").alias("qid"), F.lit("q").alias("query"), F.expr("int(book_id % 10 + 1)").alias("rank"), "title", "author", "book_id", (F.col("book_id") / 7).alias("score"), F.lit("t").alias("text"))
     j = retrieve.envelope(b)
     return j.select("qid", F.get_json_object("json", "$.count").cast("long").alias("count"), F.get_json_object("json", "$.results[2].book_id").cast("long").alias("third"))
 
@@ -331,8 +331,8 @@ SQL = {
     "three_way_join": "SELECT o_orderpriority, count(*) AS n, CAST(sum(CAST(round(l_extendedprice, 2) AS DECIMAL(18,2))) AS DOUBLE) AS price FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey WHERE c_mktsegment = 'BUILDING' GROUP BY 1",
     "left_outer_submissions": "SELECT doc_id, coalesce(quality, -1) AS quality, coalesce(toxic, -1) AS toxic FROM documents LEFT JOIN labels USING (doc_id) ORDER BY doc_id DESC LIMIT 200",
     "id_order_join": "SELECT doc_id, r AS ann_rank FROM (VALUES (7::BIGINT, 0::BIGINT), (100000, 1), (3, 2), (950, 3), (12, 4)) v(id, r) JOIN documents ON doc_id = id",
-    "upsert_latest": """WITH o AS (SELECT user_id, arg_max(event_type, event_id) AS event_type, max(event_id) AS event_id FROM events WHERE event_id < 3000 GROUP BY 1),
-n AS (SELECT user_id, arg_max(event_type, event_id) AS event_type, max(event_id) AS event_id FROM events WHERE event_id >= 3000 AND user_id % 3 = 0 GROUP BY 1)
+    "upsert_latest": """WITH o AS (SELECT user_id, arg_max(event_type, event_id) AS event_type, max(event_id) AS event_id FROM events WHERE event_id % 2 = 0 GROUP BY 1),
+n AS (SELECT user_id, arg_max(event_type, event_id) AS event_type, max(event_id) AS event_id FROM events WHERE event_id % 2 = 1 AND user_id % 3 = 0 GROUP BY 1)
 SELECT user_id, coalesce(n.event_type, o.event_type) AS event_type, coalesce(n.event_id, o.event_id) AS event_id FROM o FULL JOIN n USING (user_id)""",
     "insert_if_absent": "SELECT lang, count(*) AS n FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) GROUP BY lang",
     "already_in_library": r"WITH p AS (SELECT page_id, regexp_extract(url, '/([^/?#]+)(?:[?#].*)?$', 1) AS id FROM pages) SELECT count(*) AS n FROM p WHERE id IN (SELECT nullif(id, '') FROM p WHERE page_id < 100)",
@@ -345,20 +345,20 @@ CASE k WHEN 0 THEN format('item{}?x=1', page_id) WHEN 1 THEN CAST(page_id AS VAR
     "json_list_or_scalar": "SELECT CASE WHEN event_id % 2 = 0 THEN 'true' END AS b, count(*) AS n, max(event_id) AS m FROM events GROUP BY 1",
     "json_round_trip": "SELECT list_contains(CAST(to_json([event_type, 'x']) AS VARCHAR[]), event_type) AS ok, count(*) AS n FROM events GROUP BY 1",
     "map_keys_lower": "SELECT lower(upper(event_type)) AS k, count(*) AS n FROM events GROUP BY 1",
-    "sha256_ids": "SELECT event_id, sha256('k' || event_id) AS h, substring('sk_' || sha256(CAST(event_id AS VARCHAR)), 1, 11) AS prefix FROM events WHERE event_id < 500",
-    "pkce_challenge": "SELECT event_id, rtrim(translate(to_base64(unhex(sha256('verifier-' || event_id))), '+/', '-_'), '=') AS c FROM events WHERE event_id < 500",
+    "sha256_ids": "SELECT event_id, sha256('k' || event_id) AS h, substring('sk_' || sha256(CAST(event_id AS VARCHAR)), 1, 11) AS prefix FROM events",
+    "pkce_challenge": "SELECT event_id, rtrim(translate(to_base64(unhex(sha256('verifier-' || event_id))), '+/', '-_'), '=') AS c FROM events",
     "title_case": rf"""WITH t AS (SELECT doc_id, regexp_replace('of_' || translate({_TITLE}, '.,', ''), '[_\s]+', ' ', 'g') AS t FROM documents WHERE lang = 'en'), w AS (SELECT doc_id, t, string_split(trim(t), ' ') AS l FROM t)
 SELECT doc_id, array_to_string(list_transform(l, lambda x, i: CASE WHEN lower(x) IN ('of','the','and','to','in','a','an','on','for','with','de') AND i > 1 AND i < len(l) THEN lower(x) ELSE {_CAP} END), ' ') AS title, trim(t) AS clean FROM w""",
     "match_case": "SELECT n_nationkey, CASE n_nationkey % 3 WHEN 0 THEN 'SHEW' WHEN 1 THEN 'Shew' ELSE 'shew' END AS w FROM nation",
     "snippet_text": f"SELECT doc_id, sha256(CASE WHEN length(t) > 1200 THEN substring(t, 1, 1200) || ' […]' ELSE t END) AS s FROM (SELECT doc_id, {_ONE} AS t FROM documents)",
     "string_tools": """SELECT event_id, 'user' || user_id || '@example.com' AS email, 'tok' || event_id AS token, 'https://a/' || event_type AS base, event_id % 2 = 0 AS local,
-CAST(event_id AS BIGINT) AS first, 'Instruct: find' || chr(10) || 'Query: ' || event_type AS q, replace(url_encode(event_type || ' &é'), '%20', '+') AS enc FROM events WHERE event_id < 300""",
+CAST(event_id AS BIGINT) AS first, 'Instruct: find' || chr(10) || 'Query: ' || event_type AS q, replace(url_encode(event_type || ' &é'), '%20', '+') AS enc FROM events""",
     "letter_counts": f"SELECT doc_id, CAST({count_class('text', chr(92) + 'p{L}')} AS INTEGER) AS letters, CAST({count_class('text', chr(92) + 'p{Lu}')} AS INTEGER) AS uppers, CAST({count_class('text', chr(92) + 'p{Ll}')} AS INTEGER) AS lowers FROM documents",
     "deep_units": "SELECT event_id, CASE WHEN event_id % 4 = 0 THEN CAST(ceil(greatest(1, least(event_id % 230, 200)) / 25.0) AS BIGINT) ELSE 1 END AS units FROM events",
     "k_clamp": "SELECT event_id, CAST(greatest(1, least(event_id % 300 - 20, 25)) AS INTEGER) AS normal, CAST(greatest(1, least(event_id % 300 - 20, 200)) AS INTEGER) AS deep FROM events",
     "page_math": 'SELECT event_id, (event_id % 17) * 40 AS "offset", CAST(ceil(event_id / 40.0) AS BIGINT) AS pages FROM events',
     "length_batches": "SELECT doc_id, n, CAST(greatest(1, least(256, floor(4000000 / (n * n)::DOUBLE))) AS INTEGER) AS size FROM (SELECT doc_id, CAST(length(text) // 3 + 8 AS INTEGER) AS n FROM documents)",
-    "mode_tiebreak": "SELECT user_id, event_type AS mode FROM (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY count(*) DESC, min(event_id)) AS r FROM events WHERE event_id < 2000 GROUP BY 1, 2) WHERE r = 1",
+    "mode_tiebreak": "SELECT user_id, event_type AS mode FROM (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY count(*) DESC, min(event_id)) AS r FROM events GROUP BY 1, 2) WHERE r = 1",
     "concat_work": "SELECT conv_id, sha256(string_agg(text, chr(10) || chr(10) ORDER BY turn)) AS h FROM conversations GROUP BY 1",
     "work_ordinal": "SELECT 'v' || conv_id AS volume, 'v' || conv_id || '#' || lpad(CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS VARCHAR), 3, '0') AS ccel_id FROM conversations",
     "token_topn": "WITH t AS (SELECT doc_id, i, l[i] AS w FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z]+') AS l FROM documents))) SELECT w, n FROM (SELECT w, count(*) AS n, min(struct_pack(d := doc_id, i := i)) AS pos FROM t WHERE length(w) >= 4 AND w LIKE '%f%' GROUP BY w) ORDER BY n DESC, pos LIMIT 30",
@@ -367,11 +367,11 @@ CAST(event_id AS BIGINT) AS first, 'Instruct: find' || chr(10) || 'Query: ' || e
     "todo_enrich": "SELECT doc_id FROM documents LEFT JOIN labels USING (doc_id) WHERE source = 'src2' AND quality IS NULL ORDER BY doc_id LIMIT 10",
     "evolved_schema": "SELECT count(*) AS n, 0::BIGINT AS years, count(doc_id) AS ids FROM documents",
     "key_violations": "SELECT conv_id, count(*) AS n FROM conversations GROUP BY 1 HAVING count(*) > 1",
-    "fk_orphans": "SELECT doc_id FROM labels WHERE doc_id < 50 AND doc_id NOT IN (SELECT doc_id FROM documents WHERE doc_id < 20)",
+    "fk_orphans": "SELECT doc_id FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE lang <> 'de')",
     "slim_copy": "SELECT lang, count(*) AS n FROM documents GROUP BY lang",
-    "result_envelope_text": f"""WITH r AS (SELECT book_id % 4 AS qid, 'q' || (book_id % 4) AS query, CAST(book_id // 4 + 1 AS INTEGER) AS rank, format('[{{}}] {{}} — {{}}{{}} (book_id {{}}, score {{:.3f}})', book_id // 4 + 1, title, author, CASE WHEN book_id % 3 = 0 THEN ', ' || year ELSE '' END, book_id, book_id / 7.0::DOUBLE)
-  || chr(10) || '    source: ' || CASE WHEN book_id % 2 = 0 THEN 'u' ELSE 'n/a' END || '  chars 0-' || length(text) || chr(10) || '    ' || CASE WHEN length({_ONE}) > 300 THEN substring({_ONE}, 1, 300) || ' […]' ELSE {_ONE} END || chr(10) AS one FROM {_BOOKS} WHERE book_id < 40)
+    "result_envelope_text": f"""WITH r AS (SELECT book_id // 10 AS qid, 'q' || (book_id // 10) AS query, CAST(book_id % 10 + 1 AS INTEGER) AS rank, format('[{{}}] {{}} — {{}}{{}} (book_id {{}}, score {{:.3f}})', book_id % 10 + 1, title, author, CASE WHEN book_id % 3 = 0 THEN ', ' || year ELSE '' END, book_id, book_id / 7.0::DOUBLE)
+  || chr(10) || '    source: ' || CASE WHEN book_id % 2 = 0 THEN 'u' ELSE 'n/a' END || '  chars 0-' || length(text) || chr(10) || '    ' || CASE WHEN length({_ONE}) > 300 THEN substring({_ONE}, 1, 300) || ' […]' ELSE {_ONE} END || chr(10) AS one FROM {_BOOKS})
 SELECT qid, sha256(t) AS h, length(t) AS n FROM (SELECT qid, 'Top ' || count(*) || ' results for "' || any_value(query) || '":' || chr(10) || chr(10) || string_agg(one, chr(10) ORDER BY rank) AS t FROM r GROUP BY qid)""",
-    "result_envelope_json": "SELECT doc_id % 2 AS qid, count(*) AS count, max(doc_id) FILTER (doc_id // 2 = 2) AS third FROM documents WHERE doc_id < 20 GROUP BY 1",
+    "result_envelope_json": "SELECT doc_id // 10 AS qid, count(*) AS count, max(doc_id) FILTER (doc_id % 10 = 2) AS third FROM documents GROUP BY 1",
     "xml_paragraphs": f"SELECT conv_id, turn, sha256(array_to_string({words(chr(39) + chr(39) + ' || t')}, ' ')) AS h FROM (SELECT conv_id, turn, regexp_replace(text, '[<>&]', '', 'g') || ' tail' AS t FROM conversations)",
 }

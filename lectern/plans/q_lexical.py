@@ -15,9 +15,7 @@ def _docs(spark, sf):
 
 def _search(expression, k=20, condition=None):
     def run(spark, sf):
-        docs = _docs(spark, sf)
-        total, avgdl = lexical.statistics(docs)
-        out = lexical.literal(lexical.postings(docs), total, avgdl, expression, docs, k, F.expr(condition) if condition else None)
+        out = lexical.search(_docs(spark, sf), expression, k, F.expr(condition) if condition else None)
         return out.select("id", F.round("score", 6).alias("score"))
     return run
 
@@ -33,10 +31,8 @@ def corpus_stats(spark, sf):
 
 
 def benchmark_queries_bm25(spark, sf):
-    docs = _docs(spark, sf)
-    total, avgdl = lexical.statistics(docs)
     q = table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
-    out = lexical.any_term(lexical.postings(docs), total, avgdl, q, 10)
+    out = lexical.any_term_search(_docs(spark, sf), q, 10)
     return out.select("qid", "id", F.round("score", 5).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
@@ -68,6 +64,10 @@ def _count(word: str) -> str:
     return f"len(list_filter(w, lambda x: x = '{word}'))"
 
 
+def _near(word: str, other: str, places: int) -> str:
+    return f"len(list_filter(range(1, len(w) + 1), lambda i: w[i] = '{word}' AND list_contains(w[greatest(1, i - {places}):i + {places}], '{other}')))"
+
+
 def _sql(leaves: list[tuple[str, str]], where: str, score: str, k: int = 20, more: str = "") -> str:
     first = leaves[0][0]
     joins = "".join(f" JOIN {n} USING (doc_id)" for n, _ in leaves[1:])
@@ -94,6 +94,9 @@ SELECT qid, id, round(-s, 5) AS score, rank FROM (SELECT *, row_number() OVER (P
     "bm25_nested": _sql([("a", _count("anin")), ("b", _count("thble")), ("c", _count("inan"))], "(a.f > 0 AND b.f > 0) OR c.f > 0", "CASE WHEN a.f > 0 AND b.f > 0 THEN a.s + b.s ELSE 0 END + CASE WHEN c.f > 0 THEN c.s ELSE 0 END"),
     "bm25_filtered_topk": _sql([("a", _count("the")), ("b", _count("of"))], "a.f > 0 AND b.f > 0", "a.s + b.s", 7, "AND source = 'src3'"),
     "bm25_phrase": _sql([("a", "len(list_filter(range(1, len(w)), lambda i: w[i] = 'of' AND w[i + 1] = 'the'))")], "a.f > 0", "a.s"),
+    "bm25_near": _T + _leaf("a", _count("the")) + _leaf("b", _count("of")) + f""", k AS (SELECT doc_id, len(w) AS l, {_near('the', 'of', 4)} AS ka, {_near('of', 'the', 4)} AS kb FROM d),
+s AS (SELECT doc_id, {_idf('(SELECT count(*) FROM a WHERE f > 0)')} * ka * 2.2 / (ka + 1.2 * (0.25 + 0.75 * l / st.a)) + {_idf('(SELECT count(*) FROM b WHERE f > 0)')} * kb * 2.2 / (kb + 1.2 * (0.25 + 0.75 * l / st.a)) AS s FROM k, st WHERE ka > 0 AND kb > 0)
+SELECT doc_id AS id, round(-s, 6) AS score FROM s ORDER BY -s, doc_id LIMIT 20""",
     "bm25_prefix": _sql([("a", "len(list_filter(w, lambda x: starts_with(x, 'tion')))")], "a.f > 0", "a.s"),
     "bm25_initial": _sql([("a", "CASE WHEN len(w) > 0 AND w[1] = 'the' THEN 1 ELSE 0 END")], "a.f > 0", "a.s"),
 }

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
 from ..operators import longs, usage
 from ..streaming import jobs
-from .base import CANDIDATES, lexicon_ctes, long_s_ctes, table
+from .base import CANDIDATES, lexicon_ctes, long_s_ctes, shared_folder, table
 
 
 def _events(spark, sf):
@@ -75,11 +74,11 @@ def submission_state(spark, sf):
 
 def duplicate_submissions(spark, sf):
     s = _changes(spark, sf).select("seq", F.lit("ia").alias("source_type"), (F.col("submission_id") % 70).cast("string").alias("source_id"), "status")
-    return usage.duplicate_of(s.where("seq >= 200 and seq < 400").drop("status"), s.where("seq < 200")).select("seq")
+    return usage.duplicate_of(s.where("seq % 2 = 1").drop("status"), s.where("seq % 2 = 0")).select("seq")
 
 
 def single_use_codes(spark, sf):
-    a = _events(spark, sf).where("event_id < 3000").select("event_id", "ts", (F.col("user_id") * 10 + F.col("event_id") % 3).alias("code"), F.unix_timestamp(F.date_trunc("day", F.col("ts").cast("timestamp"))).alias("issued"))
+    a = _events(spark, sf).select("event_id", "ts", (F.col("user_id") * 10 + F.col("event_id") % 3).alias("code"), F.unix_timestamp(F.date_trunc("day", F.col("ts").cast("timestamp"))).alias("issued"))
     return usage.single_use(a, 43200).select("event_id", "ok")
 
 
@@ -138,18 +137,17 @@ def unresolved_tokens_topn(spark, sf):
 
 # ---------------------------------------------------------------- streams
 
-def _run(stream, spark, mode, columns):
-    """The table that a stream leaves when all that is there was read."""
-    name = f"stream_{uuid.uuid4().hex}"
-    folder = f"{_folder(spark)}/{name}"
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", folder).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(name).select(*columns)
+def _run(stream, spark, mode, columns, key=None):
+    """What a stream leaves in a folder of its own when all that is there was read; of several updates of a key the last."""
+    folder = f"{shared_folder(spark)}/stream_{uuid.uuid4().hex}"
 
-
-def _folder(spark):
-    d = spark.sparkContext._jsc.sc().getCheckpointDir()
-    return d.get() if d.isDefined() else spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lectern-stream-")
+    def work(frame, batch):
+        frame.write.mode("overwrite").parquet(f"{folder}/out" if mode == "complete" else f"{folder}/out/batch={batch}")
+    stream.writeStream.outputMode(mode).foreachBatch(work).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    rows = spark.read.parquet(f"{folder}/out")
+    if key:
+        rows = rows.groupBy(key).agg(F.max_by(F.struct(*[c for c in columns if c != key]), "batch").alias("_last")).select(key, "_last.*")
+    return rows.select(*columns)
 
 
 _EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
@@ -175,12 +173,12 @@ def stream_rate_limiter(spark, sf):
 def stream_submission_state(spark, sf):
     status = F.array(*map(F.lit, _STATUSES))[(F.col("event_id") % 6).cast("int")]
     s = jobs.submission_states(_stream(spark, sf).select(F.col("user_id").alias("submission_id"), F.col("event_id").alias("seq"), status.alias("status")))
-    return _run(s, spark, "update", ["submission_id", "status", "invalid"])
+    return _run(s, spark, "update", ["submission_id", "status", "invalid"], "submission_id")
 
 
 def _files(spark, start, read):
     """What a stream of batches wrote, from a folder of its own."""
-    folder = f"{_folder(spark)}/out_{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/out_{uuid.uuid4().hex}"
     start(folder, f"{folder}-state").awaitTermination()
     return read(folder)
 
@@ -203,7 +201,7 @@ def stream_postings(spark, sf):
 def stream_query_batch(spark, sf):
     v = table(spark, sf, "embeddings")
     passages = v.select(F.col("vec_id").alias("id"), F.lit("").alias("text"))
-    s = _stream(spark, sf, "embeddings", "vec_id long, embedding array<float>, label int").where("vec_id < 20").select(
+    s = _stream(spark, sf, "embeddings", "vec_id long, embedding array<float>, label int").where("vec_id % 20 = 0").select(
         F.col("vec_id").alias("qid"), F.lit("").alias("query"), F.col("embedding").alias("qvec"), F.lit(5).alias("k"), F.lit(50).alias("fetch_k"), F.lit(False).alias("rerank"), F.lit(80).alias("pool"))
     out = _files(spark, lambda f, c: jobs.query_batches(s, v, passages, f, c), lambda f: spark.read.parquet(f))
     return out.select("qid", "id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
@@ -218,7 +216,7 @@ _CHANGES = "SELECT user_id AS submission_id, event_id AS seq, ['pending','approv
 _STATE = f"""WITH c AS ({_CHANGES}), b AS (SELECT *, lag(status) OVER (PARTITION BY submission_id ORDER BY seq) AS p FROM c)
 SELECT submission_id, arg_max(status, seq) AS status, {{}} count(*) FILTER (p IS NOT NULL AND NOT (p = 'pending' AND status IN ('approved', 'rejected') OR p = 'approved' AND status IN ('imported', 'failed', 'needs_manual') OR p = 'needs_manual' AND status = 'approved')) AS invalid FROM b GROUP BY 1"""
 _TERMS = r"(SELECT doc_id, unnest(regexp_extract_all(strip_accents(lower(coalesce(text, ''))), '[\p{L}\p{N}]+')) AS term FROM documents WHERE doc_id % 10 <> 9)"
-_TOP = "SELECT qid, id, round(s, 6) AS score, rank FROM (SELECT q.vec_id AS qid, v.vec_id AS id, list_inner_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) AS s, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_inner_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) DESC, v.vec_id) AS rank FROM embeddings q, embeddings v WHERE q.vec_id < 20) WHERE rank <= 5"
+_TOP = "SELECT qid, id, round(s, 6) AS score, rank FROM (SELECT q.vec_id AS qid, v.vec_id AS id, list_inner_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) AS s, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_inner_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) DESC, v.vec_id) AS rank FROM embeddings q, embeddings v WHERE q.vec_id % 20 = 0) WHERE rank <= 5"
 
 QUERIES = {f.__name__: f for f in (
     monthly_usage, usage_default_zero, users_overview, valid_keys, quota_precheck, rate_limiter, rate_limiter_fold, quota_admission, submission_state, duplicate_submissions, single_use_codes, rotation_latest, recent_three_status_union,
@@ -238,8 +236,8 @@ SQL = {
 r AS (SELECT user_id, list_reduce(list_prepend({'used': 0::BIGINT, 'out': []::STRUCT(id BIGINT, ok BOOLEAN)[]}, l), lambda a, x: {'used': CASE WHEN a.used < 50 THEN a.used + x.used ELSE a.used END, 'out': list_append(a.out, {'id': x.out[1].id, 'ok': a.used < 50})}).out AS o FROM h)
 SELECT user_id, o.id AS event_id, o.ok AS admitted FROM (SELECT user_id, unnest(o) AS o FROM r)""",
     "submission_state": _STATE.format("coalesce(arg_max(detail, seq) FILTER (detail IS NOT NULL), '') AS detail,"), "stream_submission_state": _STATE.format(""),
-    "duplicate_submissions": f"WITH c AS ({_CHANGES}) SELECT seq FROM c n WHERE seq >= 200 AND seq < 400 AND EXISTS (SELECT 1 FROM c o WHERE o.seq < 200 AND o.submission_id % 70 = n.submission_id % 70 AND o.status IN ('pending', 'approved', 'imported'))",
-    "single_use_codes": "SELECT event_id, row_number() OVER (PARTITION BY user_id * 10 + event_id % 3 ORDER BY ts, event_id) = 1 AND CAST(epoch(date_trunc('day', ts)) AS BIGINT) + 43200 >= CAST(floor(epoch(ts)) AS BIGINT) AS ok FROM events WHERE event_id < 3000",
+    "duplicate_submissions": f"WITH c AS ({_CHANGES}) SELECT seq FROM c n WHERE seq % 2 = 1 AND EXISTS (SELECT 1 FROM c o WHERE o.seq % 2 = 0 AND o.submission_id % 70 = n.submission_id % 70 AND o.status IN ('pending', 'approved', 'imported'))",
+    "single_use_codes": "SELECT event_id, row_number() OVER (PARTITION BY user_id * 10 + event_id % 3 ORDER BY ts, event_id) = 1 AND CAST(epoch(date_trunc('day', ts)) AS BIGINT) + 43200 >= CAST(floor(epoch(ts)) AS BIGINT) AS ok FROM events",
     "rotation_latest": "SELECT client_id, user_id, event_id FROM (SELECT event_type AS client_id, user_id, event_id, row_number() OVER (PARTITION BY event_type, user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1",
     "recent_three_status_union": f"WITH c AS ({_CHANGES}) SELECT seq, status, CAST(list_position(['imported','failed','rejected'], status) - 1 AS INTEGER) AS part FROM (SELECT *, row_number() OVER (PARTITION BY status ORDER BY seq DESC) AS r FROM c WHERE status IN ('imported', 'failed', 'rejected')) WHERE r <= 10",
     "partial_update": "SELECT c_custkey, CASE WHEN c_custkey % 14 = 0 THEN 'X' ELSE c_mktsegment END AS c_mktsegment, c_nationkey FROM customer",

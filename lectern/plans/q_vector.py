@@ -14,8 +14,9 @@ def _vectors(spark, sf):
     return table(spark, sf, "embeddings")
 
 
-def _queries(spark, sf, n=20):
-    return _vectors(spark, sf).where(F.col("vec_id") < n).select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qvec"))
+def _queries(spark, sf):
+    """Every row whose id is divisible by 20."""
+    return _vectors(spark, sf).where("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qvec"))
 
 
 def _score():
@@ -23,7 +24,7 @@ def _score():
 
 
 def vec_topk_exact(spark, sf):
-    hits = vector.top_k(_vectors(spark, sf), _queries(spark, sf, 3), 10)
+    hits = vector.top_k(_vectors(spark, sf), _queries(spark, sf), 10)
     meta = _vectors(spark, sf).select(F.col("vec_id").alias("id"), "label")
     return hits.join(meta, "id").select("qid", "id", "label", _score(), F.col("ann_rank").cast("long").alias("ann_rank"))
 
@@ -33,7 +34,7 @@ def vec_topk_batched(spark, sf):
 
 
 def vec_topk_expression(spark, sf):
-    s = vector.scored(_vectors(spark, sf), _queries(spark, sf, 5))
+    s = vector.scored(_vectors(spark, sf), _queries(spark, sf))
     w = W.partitionBy("qid").orderBy(F.desc("score"), "id")
     return s.withColumn("ann_rank", F.row_number().over(w)).where("ann_rank <= 7").select("qid", "id", _score(), F.col("ann_rank").cast("long").alias("ann_rank"))
 
@@ -46,7 +47,7 @@ def vec_topk_postfilter(spark, sf):
 
 
 def vec_topk_batched_var_fetch(spark, sf):
-    q = (_queries(spark, sf).withColumn("query", F.lit("")).withColumn("k", (3 + F.col("qid") % 4).cast("int")).withColumn("fetch_k", (10 + F.col("qid")).cast("int"))
+    q = (_queries(spark, sf).withColumn("query", F.lit("")).withColumn("k", (3 + F.col("qid") % 4).cast("int")).withColumn("fetch_k", (10 + F.col("qid") % 30).cast("int"))
          .withColumn("rerank", F.lit(False)).withColumn("pool", F.lit(80)))
     passages = _vectors(spark, sf).where("label <> 2").select(F.col("vec_id").alias("id"), F.lit("").alias("text"))
     out = retrieve.batched(_vectors(spark, sf), passages, q)
@@ -55,14 +56,14 @@ def vec_topk_batched_var_fetch(spark, sf):
 
 def vec_rerank_pool(spark, sf):
     docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
-    q = _queries(spark, sf, 10).join(docs.select(F.col("id").alias("qid"), F.substring("text", 1, 200).alias("query")), "qid")
+    q = _queries(spark, sf).join(docs.select(F.col("id").alias("qid"), F.col("text").alias("query")), "qid")
     out = retrieve.semantic(_vectors(spark, sf), docs, q, k=5, rerank=True, fetch_k=60, pool=40)
     return out.select("qid", "id", F.round("score", 6).alias("score"), F.col("ann_rank").cast("long").alias("ann_rank"), F.col("rank").cast("long").alias("rank"))
 
 
 def vec_matryoshka_topk(spark, sf):
     v = _vectors(spark, sf).select("vec_id", V.truncated("embedding", 16).alias("embedding"))
-    q = v.where("vec_id < 5").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qvec"))
+    q = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qvec"))
     return vector.top_k(v, q, 10).select("qid", "id", _score(), F.col("ann_rank").cast("long").alias("ann_rank"))
 
 
@@ -76,7 +77,7 @@ def vec_norm_stats(spark, sf):
 
 def vec_append(spark, sf):
     v = _vectors(spark, sf)
-    old, new = v.where("vec_id < 100"), v.where("vec_id between 50 and 149")
+    old, new = v.where("label <> 0"), v.where("label <> 1")
     return vector.append(old, new).groupBy().agg(F.count("*").alias("n"), F.countDistinct("vec_id").alias("ids"))
 
 
@@ -86,19 +87,22 @@ def vec_ivf_topk(spark, sf):
     return vector.ivf_top_k(vector.ivf_assign(v, c), c, _queries(spark, sf), 10, 10).select("qid", "id", _score(), F.col("ann_rank").cast("long").alias("ann_rank"))
 
 
-def vec_ivf_recall(spark, sf):
-    r = vector.recall(vec_ivf_topk(spark, sf), vec_topk_batched(spark, sf))
-    return r.agg(F.round(F.avg("recall"), 4).alias("recall"))
+def vec_lsh_topk(spark, sf):
+    return vector.lsh_top_k(_vectors(spark, sf), _queries(spark, sf), 10).select("qid", "id", _score(), F.col("ann_rank").cast("long").alias("ann_rank"))
 
 
-def vec_lsh_topk(spark, sf):
-    v = _vectors(spark, sf)
-    q = v.where("vec_id = 0").select("embedding").first().embedding
-    return vector.lsh_top_k(v, [float(x) for x in q], 5).select("id", _score())
+def _recall(approximate):
+    def run(spark, sf):
+        r = vector.recall(approximate(spark, sf), vec_topk_batched(spark, sf))
+        return r.agg(F.round(F.avg("recall"), 4).alias("recall"))
+    return run
+
+
+vec_ivf_recall, vec_lsh_recall = _recall(vec_ivf_topk), _recall(vec_lsh_topk)
 
 
-def _rank_sql(n: int, k: int, vec: str = "embedding", where: str = "") -> str:
-    return (f"SELECT qid, id, s, rank FROM (SELECT q.vec_id AS qid, v.vec_id AS id, s, row_number() OVER (PARTITION BY q.vec_id ORDER BY s DESC, v.vec_id) AS rank FROM (SELECT vec_id, {vec}::DOUBLE[] AS e FROM embeddings WHERE vec_id < {n}) q, "
+def _rank_sql(k: int, vec: str = "embedding", where: str = "") -> str:
+    return (f"SELECT qid, id, s, rank FROM (SELECT q.vec_id AS qid, v.vec_id AS id, s, row_number() OVER (PARTITION BY q.vec_id ORDER BY s DESC, v.vec_id) AS rank FROM (SELECT vec_id, {vec}::DOUBLE[] AS e FROM embeddings WHERE vec_id % 20 = 0) q, "
             f"(SELECT vec_id, {vec}::DOUBLE[] AS e FROM embeddings {where}) v, LATERAL (SELECT list_inner_product(q.e, v.e) AS s)) WHERE rank <= {k}")
 
 
@@ -106,19 +110,19 @@ _UNIT16 = "list_transform(embedding[1:16], lambda x: x::DOUBLE / sqrt(list_inner
 _OVERLAP = f"len(list_intersect(list_distinct({words('lower(query)')}), {words('lower(text)')})) / len(list_distinct({words('lower(query)')}))::DOUBLE"
 
 QUERIES = {f.__name__: f for f in (vec_topk_exact, vec_topk_batched, vec_topk_expression, vec_topk_postfilter, vec_topk_batched_var_fetch, vec_rerank_pool, vec_matryoshka_topk,
-                                   vec_dim_guard, vec_norm_stats, vec_append, vec_ivf_topk, vec_ivf_recall, vec_lsh_topk)}
+                                   vec_dim_guard, vec_norm_stats, vec_append, vec_ivf_topk, vec_lsh_topk)} | {"vec_ivf_recall": vec_ivf_recall, "vec_lsh_recall": vec_lsh_recall}
 SQL = {
-    "vec_topk_exact": f"SELECT qid, id, label, round(s, 6) AS score, rank AS ann_rank FROM ({_rank_sql(3, 10)}) JOIN embeddings ON id = vec_id",
-    "vec_topk_batched": f"SELECT qid, id, round(s, 6) AS score, rank AS ann_rank FROM ({_rank_sql(20, 10)})",
-    "vec_topk_expression": f"SELECT qid, id, round(s, 6) AS score, rank AS ann_rank FROM ({_rank_sql(5, 7)})",
-    "vec_topk_postfilter": f"SELECT qid, id, round(s, 6) AS score, ann_rank, rank FROM (SELECT qid, id, s, t.rank AS ann_rank, row_number() OVER (PARTITION BY qid ORDER BY t.rank) AS rank FROM ({_rank_sql(20, 50)}) t JOIN embeddings ON id = vec_id WHERE label = 3) WHERE rank <= 5",
-    "vec_topk_batched_var_fetch": f"SELECT qid, id, round(s, 6) AS score, rank FROM (SELECT qid, id, s, row_number() OVER (PARTITION BY qid ORDER BY t.rank) AS rank FROM ({_rank_sql(20, 40)}) t JOIN embeddings ON id = vec_id WHERE label <> 2 AND t.rank <= 10 + qid) WHERE rank <= 3 + qid % 4",
-    "vec_rerank_pool": f"""WITH c AS ({_rank_sql(10, 60)}),
-p AS (SELECT qid, id, rank AS ann_rank, text, substring(q.qt, 1, 200) AS query, row_number() OVER (PARTITION BY qid ORDER BY rank) AS n FROM c JOIN documents ON id = doc_id JOIN (SELECT doc_id AS qd, text AS qt FROM documents) q ON qid = qd),
+    "vec_topk_exact": f"SELECT qid, id, label, round(s, 6) AS score, rank AS ann_rank FROM ({_rank_sql(10)}) JOIN embeddings ON id = vec_id",
+    "vec_topk_batched": f"SELECT qid, id, round(s, 6) AS score, rank AS ann_rank FROM ({_rank_sql(10)})",
+    "vec_topk_expression": f"SELECT qid, id, round(s, 6) AS score, rank AS ann_rank FROM ({_rank_sql(7)})",
+    "vec_topk_postfilter": f"SELECT qid, id, round(s, 6) AS score, ann_rank, rank FROM (SELECT qid, id, s, t.rank AS ann_rank, row_number() OVER (PARTITION BY qid ORDER BY t.rank) AS rank FROM ({_rank_sql(50)}) t JOIN embeddings ON id = vec_id WHERE label = 3) WHERE rank <= 5",
+    "vec_topk_batched_var_fetch": f"SELECT qid, id, round(s, 6) AS score, rank FROM (SELECT qid, id, s, row_number() OVER (PARTITION BY qid ORDER BY t.rank) AS rank FROM ({_rank_sql(40)}) t JOIN embeddings ON id = vec_id WHERE label <> 2 AND t.rank <= 10 + qid % 30) WHERE rank <= 3 + qid % 4",
+    "vec_rerank_pool": f"""WITH c AS ({_rank_sql(60)}),
+p AS (SELECT qid, id, rank AS ann_rank, text, q.qt AS query, row_number() OVER (PARTITION BY qid ORDER BY rank) AS n FROM c JOIN documents ON id = doc_id JOIN (SELECT doc_id AS qd, text AS qt FROM documents) q ON qid = qd),
 r AS (SELECT qid, id, ann_rank, {_OVERLAP} AS score FROM p WHERE n <= 40)
 SELECT qid, id, round(score, 6) AS score, ann_rank, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, ann_rank) AS rank FROM r) WHERE rank <= 5""",
-    "vec_matryoshka_topk": f"SELECT qid, id, round(s, 6) AS score, rank AS ann_rank FROM ({_rank_sql(5, 10, _UNIT16)})",
+    "vec_matryoshka_topk": f"SELECT qid, id, round(s, 6) AS score, rank AS ann_rank FROM ({_rank_sql(10, _UNIT16)})",
     "vec_dim_guard": "SELECT CAST(len(embedding) AS INTEGER) AS dim, count(*) AS n FROM embeddings GROUP BY 1",
     "vec_norm_stats": "SELECT label, count(*) AS n, round(avg(sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[]))), 6) AS mean_norm FROM embeddings GROUP BY label",
-    "vec_append": "SELECT count(*) AS n, count(DISTINCT vec_id) AS ids FROM embeddings WHERE vec_id < 150",
+    "vec_append": "SELECT count(*) AS n, count(DISTINCT vec_id) AS ids FROM embeddings",
 }
