@@ -18,7 +18,10 @@
    sets are compared inside a group only, exactly, skipping pairs that links
    already join.  A group too large for a task is dealt in chunks by a salt; all
    chunks see the group's pivots, and classes that are still apart are then
-   shown to all chunks.  So no pair of a group goes unseen.
+   shown to all chunks.  So every pair of a group meets, but for pairs whose
+   minimum hashes agree in less than ``Filters.compare`` of their places: of pairs
+   right at the threshold, 6e-7 at 0.85 and 3e-7 at 0.8, and far fewer above it.
+   A lost link loses a component only if no chain of others joins it.
 4. The components of the links give each document the least id.
 
 No step emits all pairs of a node or a group: only links that join something new.
@@ -26,7 +29,7 @@ No step emits all pairs of a node or a group: only links that join something new
 Defined cases: null and empty texts, and those of white space, have no shingles
 and are linked with nothing; with fewer words than a shingle the whole sequence
 is one; repeated rows are one class; null ids never name a component unless all
-of it have none; other columns are not read.
+of it have none; an empty table gives an empty one; other columns are not read.
 """
 
 from __future__ import annotations
@@ -421,14 +424,14 @@ def labelled(docs: DataFrame, num: int, den: int, k: int, trees: int | None, sma
     return sketched.drop("sketch").join(of, "key", "left").select("doc_id", "n_shingles", "digest", "key", F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "root")
 
 
-def near_duplicates(docs: DataFrame, num: int = 85, den: int = 100, k: int = 5, trees: int | None = None, small: int = 200, task: int = 8 << 20,
+def near_duplicates(docs: DataFrame, num: int = 85, den: int = 100, k: int = 5, trees: int | None = None, small: int = 200, task: int = 2 << 20,
                     id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Each document's component under links of den * intersection >= num * union, and whether it stays."""
     rows = labelled(docs, num, den, k, trees, small, task, id_col, text_col)
     return rows.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-def near_dedup(docs: DataFrame, num: int = 85, den: int = 100, k: int = 5, trees: int | None = None, small: int = 200, task: int = 8 << 20,
+def near_dedup(docs: DataFrame, num: int = 85, den: int = 100, k: int = 5, trees: int | None = None, small: int = 200, task: int = 2 << 20,
                id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each component, with all its columns, and every row without words.
 

@@ -1,16 +1,19 @@
 """Operators 1, 3, 7, 8, 10 and the pipeline: brute force, round trips, held-out accuracy."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
 from collections import Counter
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import public_tokenizers
 import pytest
 from common import SF
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer as Reference
 
 from lectern.llm import bpe, license_scan, near_dedup, quality, registry, spool, toxicity
@@ -168,6 +171,74 @@ def test_quality_held_out(spark):
     assert low > 0.95 and high > 0.95
 
 
+def plain_statistics(text):
+    """The statistics of one text, by plain loops over its bytes."""
+    b = (text or "").encode()
+    words, lines = re.findall(rb"[^\x20\x09-\x0D]+", b), [x for x in b.split(b"\n") if x]
+
+    def share(part, of):
+        q = (part + 0.5) / (of + 1)
+        return math.log(q / max(1e-6, 1 + 1e-6 - min(q, 1)))
+
+    def having(test):
+        return share(sum(map(test, b)), len(b))
+    n = len(words)
+    mean = sum(map(len, words)) / max(n, 1)
+    spread = sum(len(w) ** 2 for w in words) / max(n, 1) - mean**2
+    triples = {tuple(words[i:i + 3]) for i in range(n - 2)}
+    return [math.log1p(len(b)), math.log1p(n), math.log1p(mean), math.log1p(max(0, spread)), having(lambda c: 65 <= c <= 90), having(lambda c: 48 <= c <= 57),
+            having(lambda c: 0x21 <= c < 0x7F and not chr(c).isalnum()), having(lambda c: chr(c) in "!?"), having(lambda c: chr(c) in "|<>{}[]#*=_~^\\"), having(lambda c: c >= 128), having(lambda c: c == 32 or 9 <= c <= 13),
+            share(len(set(words)), n), share(len(triples), max(n - 2, 0)), math.log1p(len(lines)), math.log1p(len(b) / max(len(lines), 1)), share(len(lines) - len(set(lines)), len(lines)),
+            share(sum(w[-1:] in (b".", b"!", b"?") for w in words), n), share(sum(65 <= w[0] <= 90 for w in words), n), share(max(Counter(words).values(), default=0), n)]
+
+
+def test_quality_by_hand(spark, odd):
+    """Scores from plain statistics and the densities of two normal distributions."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").unionByName(odd.select((F.col("doc_id") + 10**6).alias("doc_id"), "text"))
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    data, label = docs.collect(), {r.doc_id: r.quality for r in labels.collect()}
+    x = np.array([plain_statistics(r.text) for r in data])
+    y = np.array([label.get(r.doc_id, -1) for r in data])
+    z = (x - x[y >= 0].mean(0)) / np.sqrt(np.maximum(1e-8, x[y >= 0].var(0)))
+    cov = [np.cov(z[y == k].T, bias=True) for k in (0, 1)]
+    pooled = sum((y == k).sum() * cov[k] for k in (0, 1)) / (y >= 0).sum()
+    log = []
+    for k in (0, 1):
+        c = (1 - quality.POOLED) * cov[k] + quality.POOLED * pooled
+        c = (1 - quality.UNIT) * c + quality.UNIT * np.trace(c) / len(c) * np.eye(len(c)) + 1e-6 * np.eye(len(c))
+        far = z - z[y == k].mean(0)
+        log.append(-0.5 * np.linalg.slogdet(c)[1] - 0.5 * (far * np.linalg.solve(c, far.T).T).sum(1))
+    want = 1 / (1 + np.exp(np.clip((log[0] - log[1]) / quality.TEMPER, -500, 500)))
+    got = sorted(((r.doc_id or -1), r.score) for r in quality.quality(docs, labels).collect())
+    plain = sorted(((r.doc_id or -1), float(w)) for r, w in zip(data, want, strict=True))
+    assert [g[0] for g in got] == [w[0] for w in plain] and [g[1] for g in got] == pytest.approx([w[1] for w in plain], abs=1e-6)
+
+
+def test_string_kernel_by_hand():
+    """The kernel of two words by all their sequences of four letters, and the score of a word without landmarks."""
+    r = random.Random(4)
+    words = [bytes(r.choices(b"abcdABCD1*-", k=r.randrange(1, 14))) for _ in range(40)] + ["né-éne".encode(), b"worthless", b"w*orth-less"]
+
+    def weights(w):
+        c, out = toxicity.CODES[list(w)], Counter()
+        for i in combinations(range(len(w)), 4):
+            if i[3] - i[0] < toxicity.SPAN and all(c[j] for j in i):
+                out[tuple(int(c[j]) for j in i)] += toxicity.DECAY ** (i[3] - i[0] + 1)
+        return out
+    marks_of = words[::4]
+    column, marks, _ = toxicity.landmark_table(marks_of)
+    t = spool.texts_of(pa.nulls(1), pa.array([b" ".join(words).decode()], pa.large_string()))
+    w = spool.words(t)
+    codes, begin = toxicity.padded(t, w, np.arange(len(words)))
+    got = toxicity.kernel(codes, begin, w.size, column, marks)
+    norm = toxicity.norms(w.size)
+    want = np.array([[sum(v * weights(b)[k] for k, v in weights(a).items()) / norm[i] / norm[4 * j] for j, b in enumerate(marks_of)] for i, a in enumerate(words)])
+    assert got == pytest.approx(want, rel=1e-4, abs=1e-6) and want.max() > 0.5
+    v = np.random.default_rng(0).normal(size=len(marks_of)).astype(np.float32)
+    table = (marks @ v)[np.minimum(column, len(marks) - 1)].astype(np.float32)
+    assert toxicity.word_scores(codes, begin, w.size, table) == pytest.approx(want @ v, rel=1e-3, abs=1e-5)
+
+
 def test_toxicity_held_out(spark):
     clean, toxic = accuracy(spark, "op8_toxicity", "toxic", 4, 2)
     assert clean > 0.97 and toxic > 0.9
