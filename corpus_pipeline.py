@@ -2,7 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor
 kept.  The first four return the columns of documents, the last the encoding of
-each document.  ``run`` writes every stage as Parquet and reads it again.
+each document.  ``run`` writes every stage as Parquet and reads it again; what a
+stage wrote is deleted when the next one is written, so the last one's rows stay.
+
+Rows are judged, not ids: a row's own text decides, repeated ids are no fault,
+and a null id is an id like others.  A null text is an empty one throughout.  An
+empty table passes every stage as one.
 """
 
 from __future__ import annotations
@@ -22,24 +27,27 @@ from lectern.llm.toxicity import reject_toxic
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score below 0.3; the machine learns from labels that op8 does not hold out."""
+    """Documents that score below 0.3; the machine learns from labels that op8 does not hold out.
+
+    Empty texts have the score of a text without words, which is low.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     rest = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4))
     return reject_toxic(docs, labels, rest != 2)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, the document with the largest id."""
+    """Of equal texts, the document with the largest id; all empty texts are equal, and so one of them stays."""
     return exact_dedup(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near-duplicates, from a similarity of 0.8 on, the document with the least id."""
+    """Of each component of near-duplicates, from a similarity of 0.8 on, the document with the least id; texts without words all stay."""
     return near_dedup(docs, num=80, den=100)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that share no window of ten words with the benchmark."""
+    """Documents that share no window of ten words with the benchmark; texts without words share none."""
     return reject_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
@@ -54,12 +62,19 @@ STAGES = [("toxicity", toxicity), ("exact_dedup", exact), ("near_dedup", near),
 ORACLE_SQL = None
 
 
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages over ``documents``, each written to the checkpoint folder and read again."""
     ensure_checkpoint_dir(spark)
     folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/pipeline-{uuid.uuid4().hex}"
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
-        docs = spark.read.parquet(f"{folder}/{name}")
+        if before:
+            _delete(spark, before)
+        docs, before = spark.read.parquet(f"{folder}/{name}"), f"{folder}/{name}"
     return docs
