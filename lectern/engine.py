@@ -11,7 +11,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import chunk, clean, lexical, retrieve, vector
+from .operators import chunk, clean, graph, lexical, retrieve, vector
 
 
 @dataclass(frozen=True)
@@ -19,9 +19,10 @@ class EngineConfig:
     folder: str = field(default_factory=lambda: os.environ.get("LECTERN_DATA", "library"))
     rerank_pool: int = field(default_factory=lambda: int(os.environ.get("LECTERN_RERANK_POOL", retrieve.POOL)))
     reranker: str = field(default_factory=lambda: os.environ.get("LECTERN_RERANKER", "overlap"))
-    index: str = field(default_factory=lambda: os.environ.get("LECTERN_INDEX", "flat"))  # flat or ivf
+    index: str = field(default_factory=lambda: os.environ.get("LECTERN_INDEX", "flat"))  # flat, ivf or hnsw
     cells: int = 64
     probes: int = 16
+    ef: int = 256
     dimension: int | None = None
 
 
@@ -79,7 +80,7 @@ class Library:
         self.embed, self.config = embed or hashed_embedder(), config or EngineConfig()
         self._index: DataFrame | None = None
         self._stats: tuple[int, float] | None = None
-        self._cells = None
+        self._cells, self._graphs = None, None
 
     @classmethod
     def open(cls, spark: SparkSession, config: EngineConfig | None = None, embed: Embedder | None = None) -> Library:
@@ -121,6 +122,10 @@ class Library:
                 c = vector.ivf_fit(self.vectors, self.config.cells)
                 self._cells = c, vector.ivf_assign(self.vectors, c, "id").cache()
             found = vector.ivf_top_k(self._cells[1], self._cells[0], q, n, self.config.probes)
+        elif self.config.index == "hnsw":
+            if self._graphs is None:
+                self._graphs = graph.build(self.vectors, id_col="id").cache()
+            found = graph.top_k(self._graphs, q, n, self.config.ef)
         else:
             found = vector.top_k(self.vectors, q, n, "id")
         found = found.withColumn("query", F.lit(query))

@@ -43,27 +43,37 @@ def _scan(shared, k: int):
     return run
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """(qid, id, score, ann_rank): the k vectors of greatest inner product for each of queries (qid, qvec); ties by id.
+def in_blocks(queries: DataFrame, scan, k: int) -> DataFrame:
+    """The k best rows (qid, id, score) for each of queries (qid, qvec); scan(shared) answers one block of them.
 
-    Each partition keeps k rows a query, so the shuffle is queries x partitions x k rows.
-    Queries go to the executors in blocks of bounded size.
+    Queries go to the executors in blocks of PASS numbers, so what is broadcast at once is bounded.
     """
-    spark, found, block, size = vectors.sparkSession, None, [], 0
+    spark, found, block, size = queries.sparkSession, None, [], 0
 
-    def scan(block):
-        qids, q = np.array([r.qid for r in block], np.int64), np.array([r.qvec for r in block], np.float64)
-        return vectors.select(F.col(id_col).cast("long"), vec_col).where(F.col(vec_col).isNotNull()).mapInArrow(_scan(spark.sparkContext.broadcast((qids, q)), k), "qid long, id long, score double")
+    def answer(block):
+        return scan(spark.sparkContext.broadcast((np.array([r.qid for r in block], np.int64), np.array([r.qvec for r in block], np.float64))))
     for r in queries.select("qid", "qvec").orderBy("qid").toLocalIterator():
         block.append(r)
         size += len(r.qvec)
         if size >= PASS:
-            found, block, size = (scan(block) if found is None else found.union(scan(block))), [], 0
+            found, block, size = (answer(block) if found is None else found.union(answer(block))), [], 0
     if block or found is None:
-        last = scan(block) if block else spark.createDataFrame([], "qid long, id long, score double")
+        last = answer(block) if block else spark.createDataFrame([], "qid long, id long, score double")
         found = last if found is None else found.union(last)
-    w = W.partitionBy("qid").orderBy(F.desc("score"), "id")
-    return found.withColumn("ann_rank", F.row_number().over(w)).where(F.col("ann_rank") <= k)
+    return _ranked(found, k)
+
+
+def top_k(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+    """(qid, id, score, ann_rank): the k vectors of greatest inner product for each of queries (qid, qvec); ties by id.
+
+    Each partition keeps k rows a query, so the shuffle is queries x partitions x k rows.
+    """
+    rows = vectors.select(F.col(id_col).cast("long"), vec_col).where(F.col(vec_col).isNotNull())
+    return in_blocks(queries, lambda shared: rows.mapInArrow(_scan(shared, k), "qid long, id long, score double"), k)
+
+
+def _ranked(scores: DataFrame, k: int) -> DataFrame:
+    return scores.withColumn("ann_rank", F.row_number().over(W.partitionBy("qid").orderBy(F.desc("score"), "id"))).where(F.col("ann_rank") <= k)
 
 
 def scored(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", most: int = 1000) -> DataFrame:
@@ -97,10 +107,6 @@ def ivf_assign(vectors: DataFrame, centroids: np.ndarray, id_col: str = "vec_id"
     return vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<float>").alias("vec")).mapInArrow(run, "id long, vec array<float>, cell int")
 
 
-def _ranked(scores: DataFrame, k: int) -> DataFrame:
-    return scores.withColumn("ann_rank", F.row_number().over(W.partitionBy("qid").orderBy(F.desc("score"), "id"))).where(F.col("ann_rank") <= k)
-
-
 def ivf_top_k(index: DataFrame, centroids: np.ndarray, queries: DataFrame, k: int, probes: int) -> DataFrame:
     """Exact scores within the best cells of each query; cells are added until they hold k vectors or are all.
 

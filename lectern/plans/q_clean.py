@@ -121,7 +121,7 @@ c AS (SELECT e.book, e.first, row_number() OVER (PARTITION BY e.book ORDER BY e.
 
 _LINE_PARAS = f"""SELECT doc_id AS book, line_no AS para_no, line AS text, CAST(e - length(line) - 1 AS BIGINT) AS a, CAST(e - 1 AS BIGINT) AS b FROM (
   SELECT *, sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS e FROM ({_LINES.format(body='text')})) WHERE line <> ''"""
-_CHUNKS = f"WITH {_packed(_LINE_PARAS)} SELECT book AS doc_id, chunk_index, a AS char_start, b AS char_end, CAST({tokens('text')} AS BIGINT) AS n_tokens, sha256(text) AS text_sha FROM c"
+CHUNKS = f"WITH {_packed(_LINE_PARAS)} SELECT book AS doc_id, chunk_index, a AS char_start, b AS char_end, CAST({tokens('text')} AS BIGINT) AS n_tokens, sha256(text) AS text_sha FROM c"
 
 QUERIES = {f.__name__: f for f in (doc_lines_offsets, noise_lines, prose_lines, content_start, paragraphs, dehyphenate, clean_stats, token_estimate,
                                    chunks_packed, chunks_by_book, chunk_len_stats, split_sentences, process_body)}
@@ -135,7 +135,7 @@ SQL = {
 t AS (SELECT doc_id, translate(regexp_replace(j, '([A-Za-z])-' || chr(1) || '(\p{{Ll}})', '\1\2', 'g'), chr(1), ' ') AS text FROM j) SELECT doc_id, sha256(text) AS text_sha, length(text) AS n FROM t""",
     "clean_stats": _PARAS + """ SELECT f.book_id, count(*) AS total_lines, count(*) FILTER (blank) AS blank_lines, count(*) FILTER (noise AND line_no >= start) AS noise_removed, max(start) AS content_start,
   coalesce((SELECT count(*) FROM q WHERE q.book_id = f.book_id), 0) AS paragraphs FROM f JOIN st USING (book_id) GROUP BY f.book_id""",
-    "chunks_packed": _CHUNKS, "chunks_by_book": _CHUNKS,
+    "chunks_packed": CHUNKS, "chunks_by_book": CHUNKS,
     "chunk_len_stats": f"WITH {_packed(_LINE_PARAS)} SELECT CAST(min(n) AS BIGINT) AS least, CAST(sum(n) // count(*) AS BIGINT) AS mean, CAST(max(n) AS BIGINT) AS most, count(*) AS chunks FROM (SELECT {tokens('text')} AS n FROM c)",
     "process_body": _PARAS + f""", z AS (SELECT book_id, row_number() OVER (PARTITION BY book_id ORDER BY g) - 1 AS para_no, char_start, char_end, text FROM q), {lexicon_ctes('z')}, {long_s_ctes('z', 'book_id, para_no')},
 {_packed('SELECT z.book_id AS book, z.para_no, fixed.text, CAST(char_start AS BIGINT) AS a, CAST(char_end AS BIGINT) AS b FROM z JOIN fixed USING (book_id, para_no)')}

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..operators import longs, usage
 from ..streaming import jobs
 from .base import CANDIDATES, lexicon_ctes, long_s_ctes, shared_folder, table
+from .q_clean import CHUNKS
 
 
 def _events(spark, sf):
@@ -247,6 +248,7 @@ SELECT user_id, o.id AS event_id, o.ok AS admitted FROM (SELECT user_id, unnest(
     "stream_windowed_usage": "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2",
     "stream_postings": f"SELECT term, count(DISTINCT doc_id) AS df, count(*) AS cf FROM {_TERMS} GROUP BY term HAVING count(DISTINCT doc_id) >= 50",
     "stream_query_batch": _TOP,
+    "stream_resumable_chunks": f"SELECT doc_id, chunk_index, char_start, char_end, n_tokens FROM ({CHUNKS})",
     "fix_long_s_text": f"WITH {_LONG_S}, {long_s_ctes('x', 'doc_id')} SELECT doc_id, sha256(text) AS h, changed FROM fixed",
     "fix_long_s_candidates": f"WITH {_LONG_S}, t AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[A-Za-z]+')) AS token FROM x) " + CANDIDATES.format(t="t"),
     "unresolved_tokens_topn": f"""WITH {_LONG_S} SELECT token, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '[A-Za-z]+')) AS token FROM x)

@@ -6,7 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
-from ..operators import retrieve, vector
+from ..operators import graph, retrieve, vector
 from .base import table, words
 
 
@@ -91,6 +91,10 @@ def vec_lsh_topk(spark, sf):
     return vector.lsh_top_k(_vectors(spark, sf), _queries(spark, sf), 10).select("qid", "id", _score(), F.col("ann_rank").cast("long").alias("ann_rank"))
 
 
+def vec_hnsw_topk(spark, sf):
+    return graph.top_k(graph.build(_vectors(spark, sf)), _queries(spark, sf), 10).select("qid", "id", _score(), F.col("ann_rank").cast("long").alias("ann_rank"))
+
+
 def _recall(approximate):
     def run(spark, sf):
         r = vector.recall(approximate(spark, sf), vec_topk_batched(spark, sf))
@@ -98,7 +102,7 @@ def _recall(approximate):
     return run
 
 
-vec_ivf_recall, vec_lsh_recall = _recall(vec_ivf_topk), _recall(vec_lsh_topk)
+vec_ivf_recall, vec_lsh_recall, vec_hnsw_recall = _recall(vec_ivf_topk), _recall(vec_lsh_topk), _recall(vec_hnsw_topk)
 
 
 def _rank_sql(k: int, vec: str = "embedding", where: str = "") -> str:
@@ -110,7 +114,7 @@ _UNIT16 = "list_transform(embedding[1:16], lambda x: x::DOUBLE / sqrt(list_inner
 _OVERLAP = f"len(list_intersect(list_distinct({words('lower(query)')}), {words('lower(text)')})) / len(list_distinct({words('lower(query)')}))::DOUBLE"
 
 QUERIES = {f.__name__: f for f in (vec_topk_exact, vec_topk_batched, vec_topk_expression, vec_topk_postfilter, vec_topk_batched_var_fetch, vec_rerank_pool, vec_matryoshka_topk,
-                                   vec_dim_guard, vec_norm_stats, vec_append, vec_ivf_topk, vec_lsh_topk)} | {"vec_ivf_recall": vec_ivf_recall, "vec_lsh_recall": vec_lsh_recall}
+                                   vec_dim_guard, vec_norm_stats, vec_append, vec_ivf_topk, vec_lsh_topk, vec_hnsw_topk)} | {"vec_hnsw_recall": vec_hnsw_recall, "vec_ivf_recall": vec_ivf_recall, "vec_lsh_recall": vec_lsh_recall}
 SQL = {
     "vec_topk_exact": f"SELECT qid, id, label, round(s, 6) AS score, rank AS ann_rank FROM ({_rank_sql(10)}) JOIN embeddings ON id = vec_id",
     "vec_topk_batched": f"SELECT qid, id, round(s, 6) AS score, rank AS ann_rank FROM ({_rank_sql(10)})",

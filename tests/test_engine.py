@@ -28,10 +28,25 @@ def test_modes(library):
         library.run("fox", used=5, limit=5)
 
 
-def test_ivf_and_missing(library, spark, tmp_path):
+def test_approximate(library, spark):
     other = engine.Library(spark, library.books, library.passages, library.vectors, library.embed, engine.EngineConfig(index="ivf", cells=4, probes=4))
     flat, ivf = (sorted(r.score for r in x.semantic("fox number 7", 5, rerank=False).collect()) for x in (library, other))
     assert ivf == pytest.approx(flat)
+    graphs = engine.Library(spark, library.books, library.passages, library.vectors, library.embed, engine.EngineConfig(index="hnsw"))
+    assert sorted(r.score for r in graphs.semantic("fox number 7", 5, rerank=False).collect()) == pytest.approx(flat)
+
+
+def test_long_s_in_build(spark, tmp_path):
+    """Words in which an f was read for a long s are repaired in what is indexed, by the lexicon that is given, unless it is switched off."""
+    text = "\n\n".join("The houfe of the wife is fafe and the Houfe stands by the river every day." for _ in range(8))
+    books = spark.createDataFrame([(1, "T", "A", "c", 1700, None, None, text)], "book_id long, title string, author string, category string, year int, publisher string, url string, content string")
+    words = spark.createDataFrame([(w, 5) for w in "the house of wife is safe and stands by river every day".split()], "word string, freq long")
+    for on, first in ((True, "The house of the wife is safe and the House stands"), (False, "The houfe of the wife is fafe and the Houfe stands")):
+        lib = engine.Library.build(spark, books, engine.EngineConfig(folder=str(tmp_path / str(on))), apply_long_s=on, lexicon=words)
+        assert all(r.text.startswith(first) for r in lib.passages.collect())
+
+
+def test_missing(spark, tmp_path):
     with pytest.raises(engine.SearchUnavailable):
         engine.Library.open(spark, engine.EngineConfig(folder=str(tmp_path / "none")))
 

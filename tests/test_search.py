@@ -4,7 +4,7 @@ import sqlite3
 import numpy as np
 import pytest
 
-from lectern.operators import lexical, retrieve, vector
+from lectern.operators import graph, lexical, retrieve, vector
 
 V = ["alpha", "beta", "gamma", "zeta", "alpine", "été", "x1"]
 
@@ -57,6 +57,24 @@ def test_vectors(spark):
     assert vector.recall(found, exact).agg({"recall": "avg"}).first()[0] >= 0.9
 
 
+def test_graph_index(spark, tmp_path):
+    """Recall of layered graphs against all scores, of one graph and of many, kept and read again; ef below k is raised."""
+    r = np.random.default_rng(5)
+    x = r.normal(size=(900, 24))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    rows = [(i, [float(a) for a in y]) for i, y in enumerate(x)] + [(10_000, None), (None, [0.0] * 24)]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(2).cache()
+    q = spark.createDataFrame([(i, [float(a) for a in x[i]]) for i in range(0, 900, 20)], "qid long, qvec array<float>")
+    exact = vector.top_k(v.where("vec_id is not null"), q, 10).cache()
+    for most in (20_000, 100):
+        graph.build(v, m=8, ef=60, most=most).write.parquet(str(tmp_path / f"index{most}"))
+        index = spark.read.parquet(str(tmp_path / f"index{most}"))
+        assert sum(t.n for t in index.select("n").collect()) == 900 and index.count() == (2 if most > 900 else index.where("n = 100").count() + index.where("n < 100").count())
+        found = graph.top_k(index, q, 10, ef=4 if most == 100 else 64).cache()
+        assert found.count() == 450 and vector.recall(found, exact).agg({"recall": "avg"}).first()[0] >= 0.9
+    assert graph.build(v.limit(0)).count() == 0 and graph.top_k(index, q.limit(0), 3).count() == 0
+
+
 def test_filters_and_policy():
     f = retrieve.Filters(author="")
     assert f.any() and retrieve.fetch_size(f, 5) == 600 and retrieve.fetch_size(retrieve.Filters(), 5) == 200 and retrieve.fetch_size(retrieve.Filters(), 900) == 900
