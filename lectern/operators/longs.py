@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 
-# Spellings that a modern lexicon lacks, and their repairs.
+# Spellings that a modern lexicon lacks, and their repairs (one key has a blank, and so no word is it).
 CURATED = {
-    "alfo": "also", "doft": "dost", "fhew": "shew", "fhewed": "shewed", "fheweth": "sheweth", "fhewing": "shewing", "fhewn": "shewn", "fhews": "shews",
-    "fo": "so", "haft": "hast", "thefe": "these", "thofe": "those", "waft": "wast", "whofe": "whose",
+    "fhew": "shew", "fhewn": "shewn", "fhewed": "shewed", "fheweth": "sheweth", "fhewing": "shewing", "fhews": "shews", "fo": "so", " alfo": "also",
+    "thofe": "those", "thefe": "these", "whofe": "whose", "doft": "dost", "haft": "hast", "waft": "wast",
 }
 # British and archaic words that are never repaired.
 PROTECTED = """

@@ -175,9 +175,9 @@ def works_by_head(parts: DataFrame, key: str = "volume", editor: str = "schaff")
     return numbered(out.where(F.length("text") >= LEAST), key, "_head")
 
 
-def numbered(works: DataFrame, key: str, order: str) -> DataFrame:
-    """Works with an id of volume and number."""
-    return works.withColumn("ccel_id", F.format_string("%s#%03d", F.col(key).cast("string"), F.row_number().over(W.partitionBy(key).orderBy(order)))).drop(order)
+def numbered(works: DataFrame, key: str, order: str, name: str = "ccel_id") -> DataFrame:
+    """Works with an id of volume and number, in a column of that name."""
+    return works.withColumn(name, F.format_string("%s#%03d", F.col(key).cast("string"), F.row_number().over(W.partitionBy(key).orderBy(order)))).drop(order)
 
 
 # ---------------------------------------------------------------- connectors
