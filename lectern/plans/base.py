@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,7 +20,7 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder that the driver and the executors share; where none is named, one of this machine, if all tasks run on it."""
     d = spark.sparkContext._jsc.sc().getCheckpointDir()
     path = d.get() if d.isDefined() else spark.conf.get("spark.checkpoint.dir", None)
-    if not path and not spark.sparkContext.master.startswith("local") or not path and "," in spark.sparkContext.master:
+    if not path and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return path or tempfile.mkdtemp(prefix="lectern-")
 
