@@ -38,7 +38,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
     path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path and not re.fullmatch(r"local(\[[^,]*\])?", sc.master):
+    if not path and not re.fullmatch(r"local(\[.*\])?", sc.master):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     sc.setCheckpointDir(path or tempfile.mkdtemp(prefix="lectern-checkpoint-"))
 
