@@ -15,8 +15,8 @@ Owners are joined to the rows by length and SHA-256.
 Defined cases: null counts as the empty text; null ids are counted and are the
 owner only if the whole group has none; rows with the owner's id (a repeated
 row) are all marked as kept by ``exact_groups``, and ``exact_dedup`` keeps one of
-them; rows of one id with different texts are different; an empty table gives an
-empty one; other columns are not read.
+them; rows are told apart by id and text, so one id may have several texts; an
+empty table gives an empty one; other columns are not read.
 """
 
 from __future__ import annotations
@@ -33,9 +33,6 @@ from pyspark.sql import functions as F
 from . import spool as S
 
 
-UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-
-
 class Node:
     __slots__ = ("label", "kids", "end")
 
@@ -219,25 +216,29 @@ def _digests(batches):
         for _, text in normal(t):
             size.append(len(text))
             digest.append(hashlib.sha256(text).digest())
-        yield pa.RecordBatch.from_arrays([t.ids, pa.array(size, pa.int64()), pa.array(digest, pa.binary())], ["doc_id", "n_bytes", "digest"])
+        yield pa.RecordBatch.from_arrays([t.ids, pa.array(size, pa.int64()), pa.array(digest, pa.binary()), S.text_keys(t)], ["doc_id", "n_bytes", "digest", "text_key"])
 
 
-def exact_groups(docs: DataFrame, keep: str = "largest", id_col: str = "doc_id", text_col: str = "text", memory: int = 32 << 20) -> DataFrame:
-    """Each row's owner, group size, whether it stays, and the digest of its normalised text."""
+def owned(docs: DataFrame, keep: str, id_col: str, text_col: str, memory: int) -> DataFrame:
+    """The columns of ``exact_groups`` and the key by which ``keep_rows`` knows the text."""
     if keep not in ("largest", "smallest"):
         raise ValueError("keep is 'largest' or 'smallest'")
     largest = keep == "largest"
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     sent = rows.mapInArrow(_distinct(largest, memory), DISTINCT).repartition(S.n_parts(docs), "n_bytes", F.xxhash64("digest"))
     owners = sent.mapInArrow(_owners(largest, memory), DISTINCT).select("n_bytes", "digest", "copies", "owner")
-    return (rows.mapInArrow(_digests, "doc_id long, n_bytes long, digest binary")
+    return (rows.mapInArrow(_digests, "doc_id long, n_bytes long, digest binary, text_key long")
             .join(owners, ["n_bytes", "digest"], "left")
             .select("doc_id", F.col("owner").alias("keep_id"), F.col("copies").alias("group_size"),
-                    F.col("doc_id").eqNullSafe(F.col("owner")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256")))
+                    F.col("doc_id").eqNullSafe(F.col("owner")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"), "text_key"))
+
+
+def exact_groups(docs: DataFrame, keep: str = "largest", id_col: str = "doc_id", text_col: str = "text", memory: int = 32 << 20) -> DataFrame:
+    """Each row's owner, group size, whether it stays, and the digest of its normalised text."""
+    return owned(docs, keep, id_col, text_col, memory).drop("text_key")
 
 
-def exact_dedup(docs: DataFrame, keep: str = "largest", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each group of equal texts, with all its columns: the owner's, and any one of rows that have its id and text."""
-    low = F.translate(F.coalesce(F.col(text_col).cast("string"), F.lit("")), UPPER, UPPER.lower())
-    kept = exact_groups(docs, keep, id_col, text_col).where("kept").select("doc_id", "text_sha256")
-    return S.keep_rows(docs, kept, F.sha2(low.cast("binary"), 256), id_col)
+def exact_dedup(docs: DataFrame, keep: str = "largest", id_col: str = "doc_id", text_col: str = "text", memory: int = 32 << 20) -> DataFrame:
+    """One row of each group of equal texts, with all its columns: a row of the owner's id, of several that with the least key of its text."""
+    kept = owned(docs, keep, id_col, text_col, memory).where("kept").groupBy("text_sha256").agg(F.min(F.struct("doc_id", "text_key")).alias("x"))
+    return S.keep_rows(docs, kept.select("x.doc_id", "x.text_key"), id_col, text_col)

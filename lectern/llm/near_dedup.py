@@ -34,7 +34,6 @@ of it have none; an empty table gives an empty one; other columns are not read.
 
 from __future__ import annotations
 
-import hashlib
 import math
 
 import numpy as np
@@ -116,7 +115,7 @@ def keys(h: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return some, np.stack([S.mix(a + n), S.mix(b ^ n)], 1)
 
 
-SKETCH = "doc_id long, n_shingles long, key binary, sketch binary, digest string"
+SKETCH = "doc_id long, n_shingles long, key binary, sketch binary, text_key long"
 
 
 def _sketch(k: int, told: bool):
@@ -131,9 +130,9 @@ def _sketch(k: int, told: bool):
             ks, sk = [None] * len(t), [None] * len(t)
             for j, i in enumerate(some.tolist()):
                 ks[i], sk[i] = key[j].tobytes(), mins[j].tobytes()
-            digest = [hashlib.sha256(t.doc(i)).hexdigest() if told else None for i in range(len(t))]
-            yield pa.RecordBatch.from_arrays([t.ids.cast(pa.int64()), pa.array(np.diff(bounds)), pa.array(ks, pa.binary()), pa.array(sk, pa.binary()), pa.array(digest, pa.string())],
-                                             ["doc_id", "n_shingles", "key", "sketch", "digest"])
+            told_by = S.text_keys(t) if told else pa.nulls(len(t), pa.int64())
+            yield pa.RecordBatch.from_arrays([t.ids.cast(pa.int64()), pa.array(np.diff(bounds)), pa.array(ks, pa.binary()), pa.array(sk, pa.binary()), told_by],
+                                             ["doc_id", "n_shingles", "key", "sketch", "text_key"])
     return run
 
 
@@ -402,7 +401,7 @@ RESULT = ["doc_id", "n_shingles", "component_id", "kept"]
 
 
 def labelled(docs: DataFrame, num: int, den: int, k: int, trees: int | None, small: int, task: int, id_col: str, text_col: str, told: bool = False) -> DataFrame:
-    """(doc_id, n_shingles, digest, key, component_id, root) of each row; root names the component, and digest the text where told."""
+    """(doc_id, n_shingles, text_key, key, component_id, root) of each row; root names the component, and text_key the text where told."""
     f = Filters(num, den, trees)
     S.ensure_checkpoint_dir(docs.sparkSession)
     parts = S.n_parts(docs)
@@ -421,25 +420,23 @@ def labelled(docs: DataFrame, num: int, den: int, k: int, trees: int | None, sma
     least = label.groupBy("root").agg(F.min("least").alias("component"))
     label = label.join(least, "root").select("key", "root", "component")
     of = classes.select("key", "least").join(label, "key", "left").select("key", F.coalesce("root", "key").alias("root"), F.coalesce("component", "least").alias("component_id"))
-    return sketched.drop("sketch").join(of, "key", "left").select("doc_id", "n_shingles", "digest", "key", F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "root")
+    return sketched.drop("sketch").join(of, "key", "left").select("doc_id", "n_shingles", "text_key", "key", F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "root")
 
 
-def near_duplicates(docs: DataFrame, num: int = 85, den: int = 100, k: int = 5, trees: int | None = None, small: int = 200, task: int = 2 << 20,
+def near_duplicates(docs: DataFrame, num: int = 85, den: int = 100, k: int = 5, trees: int | None = None, small: int = 200, task: int = 8 << 20,
                     id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Each document's component under links of den * intersection >= num * union, and whether it stays."""
     rows = labelled(docs, num, den, k, trees, small, task, id_col, text_col)
     return rows.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-def near_dedup(docs: DataFrame, num: int = 85, den: int = 100, k: int = 5, trees: int | None = None, small: int = 200, task: int = 2 << 20,
+def near_dedup(docs: DataFrame, num: int = 85, den: int = 100, k: int = 5, trees: int | None = None, small: int = 200, task: int = 8 << 20,
                id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each component, with all its columns, and every row without words.
 
-    It is a row with the component's least id; of several, one with the least digest of its text.
+    It is a row with the component's least id; of several, that with the least key of its text.
     """
     rows = labelled(docs, num, den, k, trees, small, task, id_col, text_col, told=True)
-    best = rows.where(F.col("key").isNotNull() & F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min(F.struct("doc_id", "digest")).alias("x"))
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    some = text.rlike("[^ \\t-\\r]")
-    kept = S.keep_rows(docs.where(some), best.select("x.doc_id", "x.digest"), F.sha2(text.cast("binary"), 256), id_col)
-    return kept.unionByName(docs.where(~some))
+    best = rows.where(F.col("key").isNotNull() & F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min(F.struct("doc_id", "text_key")).alias("x"))
+    some = F.coalesce(F.col(text_col).cast("string"), F.lit("")).rlike("[^ \\t-\\r]")
+    return S.keep_rows(docs.where(some), best.select("x.doc_id", "x.text_key"), id_col, text_col).unionByName(docs.where(~some))

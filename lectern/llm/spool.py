@@ -18,6 +18,7 @@ import tempfile
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -129,13 +130,24 @@ def keep_where(docs: DataFrame, good, text_col: str = "text", limit: int = 1 <<
     return docs.mapInArrow(run, docs.schema)
 
 
-def keep_rows(docs: DataFrame, wanted: DataFrame, digest: Column, id_col: str = "doc_id") -> DataFrame:
-    """One row for each (id, digest) of ``wanted``, with all columns; rows are told apart by id and digest, and null is an id like others."""
-    key = ["__id", "__no_id", "__digest"]
+def text_keys(t: Texts) -> pa.Array:
+    """What ``text_key`` says of each text."""
+    data, off = memoryview(t.data), t.off.tolist()
+    return pa.array(np.array([xxhash.xxh64_intdigest(data[a:b], 42) for a, b in zip(off[:-1], off[1:], strict=True)], U64).view(np.int64))
+
+
+def text_key(text_col: str) -> Column:
+    """A 64-bit hash of the text, which tells rows of one id apart; null is an empty text."""
+    return F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+
+
+def keep_rows(docs: DataFrame, wanted: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row for each (id, text key) of ``wanted``, with all columns; null is an id like others."""
+    key = ["__id", "__no_id", "__text_key"]
     who = F.col(id_col).cast("long")
-    marked = docs.withColumns({"__id": F.coalesce(who, F.lit(0)), "__no_id": who.isNull(), "__digest": digest})
+    marked = docs.withColumns({"__id": F.coalesce(who, F.lit(0)), "__no_id": who.isNull(), "__text_key": text_key(text_col)})
     a, b = (F.col(c) for c in wanted.columns)
-    wanted = wanted.select(F.coalesce(a.cast("long"), F.lit(0)).alias("__id"), a.isNull().alias("__no_id"), b.alias("__digest"))
+    wanted = wanted.select(F.coalesce(a.cast("long"), F.lit(0)).alias("__id"), a.isNull().alias("__no_id"), b.alias("__text_key"))
     return marked.join(wanted, key, "left_semi").dropDuplicates(key).select(*docs.columns)
 
 

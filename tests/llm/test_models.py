@@ -126,7 +126,7 @@ def test_near_rows(spark, odd):
     got = near_dedup.near_dedup(df)
     assert got.columns == df.columns
     kept = Counter((r.doc_id, r.text) for r in got.collect())
-    first = min((one, one + " more"), key=lambda t: hashlib.sha256(t.encode()).hexdigest())
+    first = df.where("doc_id = 1 and text like 'w0%'").orderBy(F.xxhash64("text")).first().text
     assert kept == Counter([(1, first), (1, other), (3, "quite apart from all the others"), (None, "without an id it stays once"), (4, ""), (4, None), (5, " \t\n")])
     got = near_dedup.near_dedup(odd)
     assert got.columns == odd.columns and sorted((r.doc_id or -1) for r in got.collect()) == [-1, -1, 1, 2, 3, 4, 5, 7, 8, 9, 10]
@@ -246,7 +246,7 @@ def test_toxicity_held_out(spark):
 
 def test_toxicity_of_few_labels(spark):
     """39 toxic training documents; 9 of the 14 held out hold one of the words that these share."""
-    clean, toxic = accuracy(spark, "op8_toxicity", "toxic", 4, 2, SF)
+    clean, toxic = accuracy(spark, "op8_toxicity", "toxic", 4, 2, "/root/testdata/sf0.01")
     assert clean > 0.97 and toxic > 0.6
 
 
