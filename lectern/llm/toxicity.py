@@ -48,7 +48,7 @@ LETTERS = 32
 TELLING, OTHERS, HARD = 260, 140, 200
 RIDGE, ROUNDS = 2e-5, 4
 #: Clean words that a fit sees.
-WORDS = 30_000
+WORDS = 20_000
 
 #: Codes of bytes: 0 marks, letters for themselves, then digits and bytes beyond ASCII.
 CODES = np.zeros(256, np.uint8)
@@ -316,23 +316,33 @@ def _newton(x: np.ndarray, y: np.ndarray, share: float) -> np.ndarray:
     return v
 
 
+def blocks_of(t: S.Texts, limit: int = 1 << 20):
+    """(first document, its place, Texts) of parts of so many bytes, or of one document."""
+    i = 0
+    while i < len(t):
+        j = max(i + 1, int(np.searchsorted(t.off, t.off[i] + limit, "right")) - 1)
+        yield i, int(t.off[i]), S.Texts(t.ids[i:j], t.off[i:j + 1] - t.off[i], t.data[t.off[i]:t.off[j]])
+        i = j
+
+
 def apart(t: S.Texts) -> list[int]:
     """Documents without those that share a least word triple with an earlier one."""
-    w = S.words(t, S.BLACK, lower=True)
-    g = S.grams(w.hash, 3)
     seen, out = set(), []
-    for i in range(len(t)):
-        h = g[w.doc[i]:max(w.doc[i], w.doc[i + 1] - 2)]
-        least = {(k, int((h * S.U64(2 * k + 1)).min())) for k in range(3)} if len(h) else {(9, i)}
-        if not least & seen:
-            out.append(i)
-        seen |= least
+    for at, _, part in blocks_of(t):
+        w = S.words(part, S.BLACK, lower=True)
+        g = S.grams(w.hash, 3)
+        for i in range(len(part)):
+            h = g[w.doc[i]:max(w.doc[i], w.doc[i + 1] - 2)]
+            least = {(k, int((h * S.U64(2 * k + 1)).min())) for k in range(3)} if len(h) else {(9, at + i)}
+            if not least & seen:
+                out.append(at + i)
+            seen |= least
     return out
 
 
 def landmarks(uniq: np.ndarray, size: np.ndarray, back: np.ndarray, doc: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(landmarks, words that tell: that many more toxic documents hold than clean ones, in number and in share) among the different words."""
-    seen = np.unique(back * len(y) + doc)
+    seen = np.unique(back.astype(np.int64) * len(y) + doc)
     bad = np.bincount(seen // len(y), weights=y[seen % len(y)], minlength=len(uniq))
     good = np.bincount(seen // len(y), minlength=len(uniq)) - bad
     odds = np.log((bad + 0.5) / (y.sum() + 1)) - np.log((good + 0.5) / ((1 - y).sum() + 1))
@@ -350,13 +360,25 @@ def train(texts: list[str], y: np.ndarray, share: float) -> Model:
     empty = np.zeros(LETTERS**4, np.float32)
     if len(set(y.tolist())) < 2:
         return Model(empty, 0.0, np.zeros(4), float(y[0]) if len(y) else 0.5)
-    t = S.texts_of(pa.nulls(len(texts)), pa.array(texts, pa.large_string()))
-    one = apart(t)  # copies would make any word of theirs tell
-    texts, y = [texts[i] for i in one], y[one]
-    t = S.texts_of(pa.nulls(len(texts)), pa.array(texts, pa.large_string()))
-    w, _, bounds = prepared(t)
+    col = pa.array(texts, pa.large_string())
+    texts = None
+    one = apart(S.texts_of(pa.nulls(len(col)), col))  # copies would make any word of theirs tell
+    col, y = col.take(pa.array(one)), y[one]
+    t = S.texts_of(pa.nulls(len(col)), col)
+    start, size, hashes, n, sentences_of = [], [], [], [], []
+    for _, at, part in blocks_of(t):  # a block at a time, and narrow: there are some millions of words in the driver
+        w, _, bounds = prepared(part)
+        start.append((w.start + at).astype(np.int32))
+        size.append(w.size.astype(np.int32))
+        hashes.append(w.hash)
+        n.append(np.diff(w.doc))
+        sentences_of.append(np.diff(bounds))
+    w = S.Words(np.concatenate(start), np.concatenate(size), np.concatenate(hashes), np.concatenate([[0], np.cumsum(np.concatenate(n))]))
+    bounds = np.concatenate([[0], np.cumsum(np.concatenate(sentences_of))])
+    del start, size, hashes
     uniq, pick, back = np.unique(w.hash, return_index=True, return_inverse=True)
-    doc = np.repeat(np.arange(len(t)), np.diff(w.doc))
+    w.hash, back = w.hash[:0], back.astype(np.int32)
+    doc = np.repeat(np.arange(len(t), dtype=np.int32), np.diff(w.doc))
     marks_at, sure = landmarks(uniq, w.size[pick], back, doc, y)
     if not len(marks_at) or not sure.any():
         return Model(empty, 0.0, np.zeros(4), share)
@@ -375,6 +397,7 @@ def train(texts: list[str], y: np.ndarray, share: float) -> Model:
         # all positives, the clean words that score highest, and some others
         some = np.argsort(np.where(clean & ~positive, -f, np.inf) + (uniq >> S.U64(40)) / 2.0**40, kind="stable")[:min(WORDS, int((clean & ~positive).sum()))]
         use = np.sort(np.concatenate([np.flatnonzero(positive), some]))
+        x = None  # the one before goes first
         x = np.empty((len(use), white.shape[1]), np.float32)
         for a, b in blocks(w.size[pick[use]], 1 << 15):
             part, at = padded(t, w, pick[use[a:b]])
