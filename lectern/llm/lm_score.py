@@ -115,7 +115,8 @@ def counted(rows: DataFrame, parts: int, hot: list[int], who: list[str]) -> Data
     part = F.pmod(F.shiftrightunsigned("context", CONTEXT_BITS), F.lit(parts)).cast("int")
     key = F.shiftleft(F.col("context").bitwiseAND(F.lit((1 << CONTEXT_BITS) - 1)), 64 - CONTEXT_BITS).bitwiseOR(F.col("word").cast("long"))
     dealt = cold.select(*who, "n", part.alias("part"), key.alias("key")).repartitionById(parts, F.col("part"))
-    in_order = Window.partitionBy("part", F.shiftrightunsigned("key", 64 - CONTEXT_BITS)).orderBy("key")
+    # the sort compares its first column without reading rows; part is one number in each partition
+    in_order = Window.partitionBy(F.shiftrightunsigned("key", 64 - CONTEXT_BITS), "part").orderBy("key")
     out = dealt.select(*who, "n", (F.col("key").bitwiseAND(F.lit(WORD - 1)) == 0).alias("end"), F.count(F.lit(1)).over(in_order.rangeBetween(Window.currentRow, Window.currentRow)).alias("c"),
                        F.count(F.lit(1)).over(in_order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("below"))
     if hot:

@@ -193,6 +193,14 @@ def test_hot_contexts_are_found(spark):
     assert total == 60 * 82 and len(hot) == 2 and short == 0
 
 
+def test_language_model_sorts_by_context_first(corpus):
+    """One sort of the n-grams; a first column that is the same for all rows of a partition would leave every comparison to whole rows."""
+    out = lm_score.counted(lm_score.grams(corpus[0], 3), 4, [], ["doc_id"])
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    first = re.findall(r"Sort \[(\w+)#", plan)
+    assert len(first) == 1 and first[0] != "part", plan
+
+
 @pytest.mark.parametrize("order", [1, 2, 3])
 def test_language_model_of_another_corpus(odd, corpus, order):
     some = corpus[0].where("doc_id % 3 = 0")
