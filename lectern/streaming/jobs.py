@@ -13,6 +13,12 @@ from ..operators import chunk, lexical, retrieve, usage
 
 
 def source(spark: SparkSession, folder: str, schema: str, files_per_trigger: int = 1, glob: str | None = None) -> DataFrame:
+    """New Parquet files of a folder, those that the glob names; a table that is a folder of this name is read whole."""
+    if glob:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{glob}")
+        found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path)
+        if found and len(found) == 1 and found[0].isDirectory():
+            folder, glob = f"{folder}/{glob}", None
     reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
     if glob:
         reader = reader.option("pathGlobFilter", glob)
