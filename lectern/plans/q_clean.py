@@ -22,13 +22,13 @@ def doc_lines_offsets(spark, sf):
 
 
 def noise_lines(spark, sf):
-    rows = clean.lines(_bodies(spark, sf)).where(T.is_noise("line"))
+    rows = clean.flagged(clean.lines(_bodies(spark, sf))).where("noise")
     return rows.select("book_id", F.col("line_no").cast("long").alias("line_no"), "line")
 
 
 def prose_lines(spark, sf):
-    rows = clean.lines(_bodies(spark, sf))
-    return rows.groupBy("book_id").agg(F.count_if(T.is_prose("line")).alias("prose"), F.count("*").alias("n"))
+    rows = clean.flagged(clean.lines(_bodies(spark, sf)))
+    return rows.groupBy("book_id").agg(F.count_if("prose").alias("prose"), F.count("*").alias("n"))
 
 
 def content_start(spark, sf):
