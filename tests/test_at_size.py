@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from common import SF
 from conftest import rows
@@ -9,7 +10,7 @@ from test_text import values
 
 from lectern import catalog
 from lectern.functions import text as T
-from lectern.operators import clean
+from lectern.operators import clean, vector
 
 QUERIES = catalog.queries()
 
@@ -45,3 +46,30 @@ def test_lines_have_offsets_of_their_own_body(spark):
         assert sorted(map(tuple, clean.lines(df).collect()), key=repr) == sorted(want, key=repr)
     finally:
         clean.STEP = old
+
+
+def test_block_search_equals_all_pairs(spark):
+    """Few numbers to a slice: every slice of vectors meets each of queries; equal vectors go by id, whatever tile they are in."""
+    r = np.random.default_rng(3)
+    x = np.repeat(r.normal(size=(40, 8)).astype(np.float32), 5, 0)[r.permutation(200)]
+    v = spark.createDataFrame([(i, [float(a) for a in y]) for i, y in enumerate(x)] + [(900, None)], "vec_id long, embedding array<float>")
+    q = v.where("vec_id < 30").selectExpr("vec_id qid", "embedding qvec")
+    s = [[(-sum(float(a) * float(b) for a, b in zip(x[i], y, strict=True)), j) for j, y in enumerate(x)] for i in range(30)]
+    want = sorted((i, j, rank + 1) for i in range(30) for rank, (_, j) in enumerate(sorted(s[i])[:7]))
+    old = vector.PASS, vector.TILE
+    vector.PASS, vector.TILE = 64, (3, 16)
+    try:
+        found = vector.top_k(v, q, 7)
+        assert sorted((t.qid, t.id, t.ann_rank) for t in found.collect()) == want
+        assert vector.top_k(v.limit(0), q, 7).count() == 0 and vector.top_k(v, q.limit(0), 7).count() == 0
+        near = vector.lsh_top_k(v, q, 7, 200, 1)
+        assert sorted((t.qid, t.id, t.ann_rank) for t in near.collect()) == want
+        c = vector.ivf_fit(v.where("embedding is not null"), 4)
+        assert sorted((t.qid, t.id, t.ann_rank) for t in vector.ivf_top_k(vector.ivf_assign(v.where("embedding is not null"), c), c, q, 7, 4).collect()) == want
+    finally:
+        vector.PASS, vector.TILE = old
+
+
+def test_scores_of_more_than_a_thousand_queries(spark):
+    v = spark.range(1100).selectExpr("id vec_id", "array(cast(id as float), 1f) embedding")
+    assert vector.scored(v.limit(2), v.selectExpr("vec_id qid", "embedding qvec")).count() == 2200
