@@ -7,6 +7,9 @@ import unicodedata
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -38,7 +41,7 @@ def fold(s: str) -> str:
 
 
 def terms(c: Column) -> Column:
-    return F.regexp_extract_all(folded(F.coalesce(c, F.lit(""))), F.lit("[\\p{L}\\p{N}]+"), F.lit(0))
+    return F.array_remove(F.split(folded(F.coalesce(c, F.lit(""))), "[^\\p{L}\\p{N}]+"), "")
 
 
 def postings(passages: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
@@ -59,7 +62,7 @@ def idf(total: Column, n: Column) -> Column:
     return F.when(x <= 0, F.lit(1e-6)).otherwise(x)
 
 
-def weight(f: Column, length: Column, avgdl: Column) -> Column:
+def weight(f, length, avgdl):
     return f * (K1 + 1) / (f + K1 * (1 - B + B * length / avgdl))
 
 
@@ -351,10 +354,80 @@ def any_term(index: DataFrame, total: int, avgdl: float, queries: DataFrame, k:
 
 
 def any_term_search(passages: DataFrame, queries: DataFrame, k: int, id_col: str = "id", text_col: str = "text") -> DataFrame:
-    """The same without an index: frequencies of the queries' terms only, without positions."""
-    total, avgdl = statistics(passages, text_col)
-    asked = queries.select(F.explode(F.array_distinct(terms(F.col("query")))).alias("term")).distinct()
-    t = passages.select(F.col(id_col).alias("id"), terms(F.col(text_col)).alias("t")).select("id", F.size("t").alias("len"), F.explode("t").alias("term"))
-    few = asked.limit(FEW + 1).count() <= FEW
-    tf = t.join(F.broadcast(asked) if few else asked, "term", "left_semi").groupBy("term", "id", "len").agg(F.count("*").alias("tf"))
-    return any_term(tf.persist(), total, avgdl, queries, k)
+    """The same without an index: frequencies of the queries' terms only, without positions.
+
+    The terms of few queries are sent to the tasks, which keep of each passage its length and the terms that it
+    shares, and then add up the weights of a passage for all queries at once; nothing is shuffled but each task's best.
+    """
+    asked = queries.select("qid", F.explode(F.array_distinct(terms(F.col("query")))).alias("term"))
+    pairs = asked.limit(FEW + 1).collect()
+    t = passages.select(F.col(id_col).alias("id"), terms(F.col(text_col)).alias("t"))
+    if len(pairs) > FEW:
+        total, avgdl = statistics(passages, text_col)
+        rows = t.select("id", F.size("t").alias("len"), F.explode("t").alias("term"))
+        tf = rows.join(asked.select("term").distinct(), "term", "left_semi").groupBy("term", "id", "len").agg(F.count("*").alias("tf"))
+        return any_term(tf.persist(), total, avgdl, queries, k)
+    words, qids = sorted({p.term for p in pairs}), sorted({p.qid for p in pairs})
+    at, of = {w: i for i, w in enumerate(words)}, {q: i for i, q in enumerate(qids)}
+    term, query = np.array([at[p.term] for p in pairs], np.int64), np.array([of[p.qid] for p in pairs], np.int64)
+    order = np.argsort(term, kind="stable")
+    query, first = query[order], np.concatenate(([0], np.cumsum(np.bincount(term, minlength=len(words)))))
+    shared = passages.sparkSession.sparkContext.broadcast((pa.array(words, pa.string()), query, first))
+    kind = passages.schema[id_col].dataType.simpleString()
+    held = t.mapInArrow(_frequencies(shared), f"id {kind}, len int, terms array<int>, tfs array<int>").persist()  # counted, then scored
+    total, avgdl = held.agg(F.count("*").alias("n"), F.avg("len").alias("avgdl")).first()
+    df = np.zeros(len(words))
+    for r in held.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n")).collect():  # a row for each term of the queries
+        df[r.term] = r.n
+    x = np.log((total - df + 0.5) / (df + 0.5))
+    scored = held.mapInArrow(_best_of(shared, np.where(x <= 0, 1e-6, x), float(avgdl or 0.0), k), f"q int, id {kind}, s double")
+    w = W.partitionBy("q").orderBy(F.desc(F.round("s", 9)), "id")
+    best = scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    names = passages.sparkSession.createDataFrame(list(enumerate(qids)), f"q int, qid {queries.schema['qid'].dataType.simpleString()}")
+    return best.join(F.broadcast(names), "q").select("qid", "id", (-F.col("s")).alias("score"), "rank")
+
+
+def _frequencies(shared):
+    """Of each passage its length and the numbers and frequencies of the terms that queries name."""
+    def run(batches):
+        for b in batches:
+            t = b.column(1)
+            size = t.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            found = pc.fill_null(pc.index_in(t.flatten(), value_set=shared.value[0]), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+            row = np.repeat(np.arange(b.num_rows), size)[found >= 0]
+            both, tf = np.unique(row << 32 | found[found >= 0], return_counts=True)
+            ends = pa.array(np.searchsorted(both >> 32, np.arange(b.num_rows + 1)).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(ends, pa.array(x.astype(np.int32))) for x in (both & 0xFFFFFFFF, tf)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size.astype(np.int32)), *lists], ["id", "len", "terms", "tfs"])
+    return run
+
+
+#: Scores, and pairs of a posting and a query, that a task holds at once.
+TILE = 1 << 22
+
+
+def _best_of(shared, idf_of: np.ndarray, avgdl: float, k: int):
+    """(number of the query, id, score): for each query the k best of every tile of passages, and what is as good as the last of these."""
+    def run(batches):
+        _, query, first = shared.value
+        n = int(query.max()) + 1 if len(query) else 0
+        for b in batches:
+            bounds = b.column(2).value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            row, term = np.repeat(np.arange(b.num_rows), bounds), b.column(2).flatten().to_numpy(zero_copy_only=False)
+            tf, size = b.column(3).flatten().to_numpy(zero_copy_only=False).astype(float), b.column(1).to_numpy(zero_copy_only=False)
+            w = idf_of[term] * weight(tf, size[row], avgdl)
+            times = (first[1:] - first[:-1])[term]
+            cost = np.cumsum(np.bincount(row, times, b.num_rows) + n)
+            a = 0
+            while a < b.num_rows and n:
+                z = max(a + 1, int(np.searchsorted(cost, (cost[a - 1] if a else 0) + TILE, "right")))
+                p, q = np.searchsorted(row, [a, z])
+                m = times[p:q]
+                nth = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
+                who = query[np.repeat(first[term[p:q]], m) + nth]
+                s = np.bincount((np.repeat(row[p:q], m) - a) * n + who, np.repeat(w[p:q], m), (z - a) * n).reshape(z - a, n)
+                least = np.partition(s, z - a - k, axis=0)[z - a - k] if z - a > k else np.zeros(n)
+                i, j = np.nonzero((s > 0) & (s >= least - 2e-9))
+                yield pa.RecordBatch.from_arrays([pa.array(j.astype(np.int32)), b.column(0).take(pa.array(i + a)), pa.array(s[i, j])], ["q", "id", "s"])
+                a = z
+    return run

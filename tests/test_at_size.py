@@ -10,7 +10,7 @@ from test_text import values
 
 from lectern import catalog
 from lectern.functions import text as T
-from lectern.operators import clean, vector
+from lectern.operators import clean, lexical, vector
 
 QUERIES = catalog.queries()
 
@@ -73,3 +73,20 @@ def test_block_search_equals_all_pairs(spark):
 def test_scores_of_more_than_a_thousand_queries(spark):
     v = spark.range(1100).selectExpr("id vec_id", "array(cast(id as float), 1f) embedding")
     assert vector.scored(v.limit(2), v.selectExpr("vec_id qid", "embedding qvec")).count() == 2200
+
+
+def test_many_queries_in_tiles(spark):
+    """The matrix of passages and queries, in tiles of any size, and the joins of an index give the same rows."""
+    r = random.Random(4)
+    docs = [(f"d{i:03}", " ".join(r.choices(["Été", "alpha", "beta", "x1", "zeta", "ß"], k=r.randrange(9)))) for i in range(120)] + [("none", None)]
+    p, q = spark.createDataFrame(docs, "id string, text string"), spark.createDataFrame([(7, "ete alpha alpha"), (9, "zeta x1 unknown"), (11, "...")], "qid long, query string")
+
+    def plain(df):
+        return sorted((t.qid, t.rank, t.id, round(t.score, 9)) for t in df.collect())
+    want = plain(lexical.any_term(lexical.postings(p), *lexical.statistics(p), q, 5))
+    old = lexical.TILE, lexical.FEW
+    try:
+        for lexical.TILE, lexical.FEW in ((1 << 22, 1 << 18), (30, 1 << 18), (1 << 22, 2)):
+            assert plain(lexical.any_term_search(p, q, 5)) == want and len(want) == 10
+    finally:
+        lexical.TILE, lexical.FEW = old
