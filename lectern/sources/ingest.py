@@ -7,6 +7,7 @@ from collections.abc import Callable
 from html.parser import HTMLParser
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -73,6 +74,10 @@ def manifest(spark: SparkSession, path: str) -> DataFrame:
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 
 
+#: Characters of nodes that a task holds before it hands them on.
+HELD = 1 << 22
+
+
 class _Nodes(HTMLParser):
     """Paragraphs, heads and divisions in document order; notes, scripts and styles are left out, what follows them is not."""
 
@@ -123,16 +128,25 @@ def nodes(marked: DataFrame, key: str = "volume", xml: str = "xml") -> DataFrame
     """(key, node_no, kind, division, text) of broken or sound markup, in document order."""
     kind = marked.schema[key].dataType.simpleString()
 
-    def run(pdfs):
-        for pdf in pdfs:
-            rows = []
-            for k, x in zip(pdf[key], pdf[xml], strict=True):
+    def run(batches):
+        def batch(rows):
+            no, *rest = zip(*(r[1:] for r in rows), strict=True)
+            return pa.RecordBatch.from_arrays([keys.take(pa.array([r[0] for r in rows], pa.int64())), pa.array(no, pa.int32()), *(pa.array(c, pa.string()) for c in rest)], [key, "node_no", "kind", "division", "text"])
+        for b in batches:
+            keys, rows, size = b.column(0), [], 0
+            for at in range(b.num_rows):
                 p = _Nodes()
-                p.feed(x or "")
+                p.feed(b.column(1)[at].as_py() or "")
                 p.close()
-                rows += [(k, i, *n) for i, n in enumerate(p.out)]
-            yield pd.DataFrame(rows, columns=[key, "node_no", "kind", "division", "text"])
-    return marked.select(key, xml).mapInPandas(run, f"{key} {kind}, node_no int, kind string, division string, text string")
+                for i, n in enumerate(p.out):
+                    rows.append((at, i, *n))
+                    size += 100 + len(n[1]) + len(n[2])
+                    if size > HELD:
+                        yield batch(rows)
+                        rows, size = [], 0
+            if rows:
+                yield batch(rows)
+    return marked.select(key, xml).mapInArrow(run, f"`{key}` {kind}, node_no int, kind string, division string, text string")
 
 
 def xpath_paragraphs(xml) -> Column:

@@ -11,6 +11,7 @@ from test_text import values
 from lectern import catalog
 from lectern.functions import text as T
 from lectern.operators import clean, lexical, vector
+from lectern.sources import ingest
 
 QUERIES = catalog.queries()
 
@@ -90,3 +91,35 @@ def test_many_queries_in_tiles(spark):
             assert plain(lexical.any_term_search(p, q, 5)) == want and len(want) == 10
     finally:
         lexical.TILE, lexical.FEW = old
+
+
+def test_tiles_of_products():
+    r = np.random.default_rng(1)
+    v, q = r.integers(-2, 3, (90, 3)).astype(float), r.integers(-2, 3, (7, 3)).astype(float)  # full of ties
+    ids, old = r.permutation(90), vector.TILE
+    v[4] = np.nan
+    want = [(i, int(j)) for i in range(7) for j in ids[np.lexsort((ids, np.where(np.arange(90) == 4, -np.inf, -(v @ q[i]))))[:5]]]
+    try:
+        for vector.TILE in ((512, 4096), (2, 4), (3, 20)):
+            row, found, _ = vector.best(ids, v, q, 5)
+            assert list(zip(row.tolist(), found.tolist(), strict=True)) == want
+    finally:
+        vector.TILE = old
+
+
+def test_nodes_leave_a_task_in_pieces(spark):
+    df = spark.createDataFrame([(i, f"<title>t {i}</title>" + "<p>one</p><p>two</p>" * i) for i in range(9)] + [(None, "<p>x</p>"), (10, None)], "volume long, xml string").coalesce(1)
+    whole, old = rows(ingest.nodes(df)), ingest.HELD
+    try:
+        ingest.HELD = 150
+        assert rows(ingest.nodes(df)) == whole and len(whole) == 9 + 2 * 36 + 1
+    finally:
+        ingest.HELD = old
+
+
+def test_graph_is_built_once(spark, monkeypatch):
+    """Several blocks of queries read one index."""
+    monkeypatch.setattr(vector, "PASS", 64)
+    plan = QUERIES["vec_hnsw_topk"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("InMemoryRelation") > 1 and plan.count("mapInArrow") == 0 or plan.count("InMemoryRelation") == plan.count("MapInArrow")
+    spark.catalog.clearCache()
