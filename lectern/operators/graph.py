@@ -26,11 +26,15 @@ class Graph:
     def __init__(self, dim: int, m: int, ef: int):
         self.m, self.ef = m, ef
         self.vec, self.n, self.entry = np.zeros((64, dim), np.float32), 0, -1
+        self.stamp, self.round = np.zeros(64, np.int64), 0  # nodes that the present walk has seen bear its number
         self.links: list[dict[int, np.ndarray]] = []
 
     def beam(self, q: np.ndarray, start: list[int], ef: int, layer: int) -> list[tuple[float, int]]:
         """The ef best nodes that are found from ``start``, best first."""
-        seen = set(start)
+        if len(self.stamp) < len(self.vec):
+            self.stamp = np.concatenate([self.stamp, np.zeros(len(self.vec) - len(self.stamp), np.int64)])
+        self.round += 1
+        self.stamp[start] = self.round
         score = (self.vec[start] @ q).tolist()
         best = list(zip(score, start, strict=True))  # the worst of these on top
         open_ = [(-s, i) for s, i in best]
@@ -40,11 +44,16 @@ class Graph:
             s, i = heapq.heappop(open_)
             if len(best) >= ef and -s < best[0][0]:
                 break
-            fresh = [j for j in self.links[layer][i].tolist() if j not in seen]
-            if not fresh:
+            near = self.links[layer][i]
+            fresh = near[self.stamp[near] != self.round]
+            if not len(fresh):
                 continue
-            seen.update(fresh)
-            for t, j in zip((self.vec[fresh] @ q).tolist(), fresh, strict=True):
+            self.stamp[fresh] = self.round
+            t = self.vec[fresh] @ q
+            if len(best) >= ef:  # most are worse than all that are held
+                good = t > best[0][0]
+                t, fresh = t[good], fresh[good]
+            for t, j in zip(t.tolist(), fresh.tolist(), strict=True):
                 if len(best) < ef or t > best[0][0]:
                     heapq.heappush(open_, (-t, j))
                     heapq.heappush(best, (t, j))
@@ -54,13 +63,18 @@ class Graph:
 
     def spread_out(self, found: list[tuple[float, int]], most: int) -> np.ndarray:
         """Of nodes in order of nearness those that are nearer to the base than to one already chosen, then the nearest others."""
+        ids = [i for _, i in found]
+        alike = self.vec[ids] @ self.vec[ids].T
+        nearest = np.full(len(ids), -np.inf)  # to any that is chosen
         chosen: list[int] = []
-        for s, i in found:
+        for at, (s, i) in enumerate(found):
             if len(chosen) == most:
                 break
-            if not chosen or float((self.vec[chosen] @ self.vec[i]).max()) < s:
+            if not chosen or nearest[at] < s:
                 chosen.append(i)
-        rest = [i for _, i in found if i not in set(chosen)][:most - len(chosen)]
+                np.maximum(nearest, alike[at], out=nearest)
+        taken = set(chosen)
+        rest = [i for i in ids if i not in taken][:most - len(chosen)]
         return np.array(chosen + rest, np.int32)
 
     def add(self, v: np.ndarray, level: int) -> None:
@@ -105,7 +119,7 @@ class Graph:
     @classmethod
     def of(cls, n: int, vecs: np.ndarray, level: np.ndarray, bounds: np.ndarray, links: np.ndarray) -> Graph:
         g = cls(len(vecs) // n, 0, 0)
-        g.vec, g.n = vecs.reshape(n, -1), n
+        g.vec, g.n, g.stamp = vecs.reshape(n, -1), n, np.zeros(n, np.int64)
         g.links = [{} for _ in range(int(level.max()) + 1)]
         at = 0
         for i, top in enumerate(level.tolist()):
@@ -130,7 +144,7 @@ def build(vectors: DataFrame, m: int = 32, ef: int = 200, most: int = 20_000, id
     def run(batches):
         graph, ids = None, []
         for b in batches:
-            for i, v, top in zip(b.column(0).to_pylist(), np.array(b.column(1).to_pylist(), np.float32), levels(b.column(0).to_numpy(), m).tolist(), strict=True):
+            for i, v, top in zip(b.column(0).to_pylist(), vector.matrix(b.column(1)).astype(np.float32), levels(b.column(0).to_numpy(), m).tolist(), strict=True):
                 if graph is None:
                     graph = Graph(len(v), m, ef)
                 graph.add(v, top)
